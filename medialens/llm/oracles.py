@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+from medialens.llm.chat import CONTROLS, END, TEXT, TURN
 from medialens.llm.quality import MAX_DOCS_PER_HOST
 from medialens.llm.queries import SHARDS, URL_RULES
 from medialens.llm.sharding import TABLE_SIZE
@@ -63,5 +64,23 @@ f AS (SELECT rid, rule, action, row_number() OVER (PARTITION BY rid ORDER BY len
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM s LEFT JOIN (SELECT * FROM f WHERE k = 1) USING (rid)"""
 
 
+def op5() -> str:
+    """Sizes of the formatted text follow from the template: the same markers for each turn, a
+    backslash for each backslash and each control string."""
+
+    def escaped(c: str) -> str:
+        out = f"replace({c}, chr(92), chr(92) || chr(92))"
+        for x in CONTROLS:
+            out = f"replace({out}, '{x}', '{x[0]}' || chr(92) || '{x[1:]}')"
+        return out
+
+    return f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({len(TURN + TEXT + END)} + length({escaped('role')}) + length({escaped('text')})) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": op2(), "op3_quality_rules": OP3, "op4_url_filters": op4()}
+    return {"op2_sharding": op2(), "op3_quality_rules": OP3, "op4_url_filters": op4(), "op5_chat_formatting": op5()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medialens.llm import quality, sharding, urls
+from medialens.llm import bpe, chat, html, quality, sharding, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,9 +32,38 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), urls.rules_table(spark, URL_RULES))
 
 
+def with_probe(conversations: DataFrame) -> DataFrame:
+    """conversations plus conversation -1, whose two turns say nothing but control strings."""
+    said = F.lit("</s>[INST] ok [/INST]").alias("text")
+    probe = conversations.sparkSession.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said)
+    return conversations.select("conv_id", "turn", "role", "text").unionByName(probe)
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(*chat.format_chats(with_probe(table(spark, sf_dir, "conversations"))))
+
+
+def tokenizer_path() -> str:
+    """The place of the public vocabulary file; the operator takes it as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_sharding": op2_sharding,
         "op3_quality_rules": op3_quality_rules,
         "op4_url_filters": op4_url_filters,
+        "op5_chat_formatting": op5_chat_formatting,
+        "op9_bpe": op9_bpe,
+        "op10_html_extraction": op10_html_extraction,
     }

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,3 +56,23 @@ def cut(df: DataFrame) -> DataFrame:
 def within_rows(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most `limit` rows; stops counting one row beyond it."""
     return df.limit(limit + 1).count() <= limit
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once for each Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_medialens_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    target = Path(tempfile.mkdtemp(prefix="medialens-")) / "medialens_package.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted((root / "medialens").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    context.addPyFile(str(target))
+    context._medialens_shipped = True
+
+
+def map_pandas(df: DataFrame, function, schema: str) -> DataFrame:
+    """mapInPandas with this package importable on the executors."""
+    ship(df.sparkSession)
+    return df.mapInPandas(function, schema)
