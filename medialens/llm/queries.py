@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medialens.llm import bpe, chat, html, quality, sharding, urls
+from medialens.llm import bpe, chat, decontamination, html, quality, sharding, substrings, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document: the text left, its sentences and how many of them were removed."""
+    done = substrings.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return done.select("doc_id", "n_sentences", "n_removed", F.length("text").cast("bigint").alias("n_chars_left"), "text")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id")
     return sharding.assign_shards(documents, "doc_id", SHARDS).select("doc_id", "slot", "shard")
@@ -50,6 +56,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
@@ -60,10 +70,12 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_sharding": op2_sharding,
         "op3_quality_rules": op3_quality_rules,
         "op4_url_filters": op4_url_filters,
         "op5_chat_formatting": op5_chat_formatting,
+        "op6_decontamination": op6_decontamination,
         "op9_bpe": op9_bpe,
         "op10_html_extraction": op10_html_extraction,
     }
