@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medialens.llm import bpe, chat, decontamination, html, quality, sharding, substrings, urls
+from medialens.llm import bpe, chat, decontamination, html, minhash, quality, sharding, substrings, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +60,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
@@ -76,6 +80,7 @@ def queries() -> dict[str, Query]:
         "op4_url_filters": op4_url_filters,
         "op5_chat_formatting": op5_chat_formatting,
         "op6_decontamination": op6_decontamination,
+        "op8_near_dedup": op8_near_dedup,
         "op9_bpe": op9_bpe,
         "op10_html_extraction": op10_html_extraction,
     }
