@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medialens.llm import bpe, chat, decontamination, html, minhash, quality, sharding, substrings, urls
+from medialens.llm import bpe, chat, decontamination, html, minhash, quality, sharding, substrings, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +60,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -80,6 +85,7 @@ def queries() -> dict[str, Query]:
         "op4_url_filters": op4_url_filters,
         "op5_chat_formatting": op5_chat_formatting,
         "op6_decontamination": op6_decontamination,
+        "op7_toxicity": op7_toxicity,
         "op8_near_dedup": op8_near_dedup,
         "op9_bpe": op9_bpe,
         "op10_html_extraction": op10_html_extraction,

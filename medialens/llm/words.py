@@ -58,16 +58,16 @@ _BY_SPACE, _BY_LETTER = _classes(False), _classes(True)
 
 class Words:
     """Words of some texts: hash, row (index of the text), start and end (byte offsets in the text's
-    buffer), in order; `first` has the index of each row's first word and, last, their number."""
+    buffer), in order; prefix: hashes of their first so many bytes, by that number; `first` has the index of each row's first word and, last, their number."""
 
-    __slots__ = ("hash", "row", "start", "end", "first")
+    __slots__ = ("hash", "row", "start", "end", "first", "prefix")
 
-    def __init__(self, hashes, rows, starts, ends, n_rows):
-        self.hash, self.row, self.start, self.end = hashes, rows, starts, ends
+    def __init__(self, hashes, rows, starts, ends, n_rows, prefix):
+        self.hash, self.row, self.start, self.end, self.prefix = hashes, rows, starts, ends, prefix
         self.first = np.searchsorted(rows, np.arange(n_rows + 1))
 
 
-def hash_words(texts: pa.Array, letters_only: bool = True, lower: bool = True) -> Words:
+def hash_words(texts: pa.Array, letters_only: bool = True, lower: bool = True, prefixes: tuple[int, ...] = ()) -> Words:
     """Words of an array of strings; nulls have none.
 
     A word is a run of bytes that are not white space or, with letters_only, of ASCII letters,
@@ -94,6 +94,7 @@ def hash_words(texts: pa.Array, letters_only: bool = True, lower: bool = True) -
     finish[before] = inside[before]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(finish) + 1
     hashes = np.empty(len(starts), U64)
+    prefix = {k: np.empty(len(starts), U64) for k in prefixes}
     at = 0
     with np.errstate(over="ignore"):
         while at < len(starts):
@@ -105,9 +106,11 @@ def hash_words(texts: pa.Array, letters_only: bool = True, lower: bool = True) -
             np.cumsum((piece.astype(U64) + U64(1)) * up[: len(piece)], out=sums[1:])
             a, b = starts[at:stop] - low, ends[at:stop] - low
             hashes[at:stop] = (sums[b] - sums[a]) * down[a]
+            for k in prefixes:
+                prefix[k][at:stop] = (sums[np.minimum(b, a + k)] - sums[a]) * down[a]
             at = stop
     rows = np.searchsorted(offsets[1:], starts, "right") if len(starts) else np.zeros(0, np.int64)
-    return Words(mix(hashes), rows, starts, ends, n)
+    return Words(mix(hashes), rows, starts, ends, n, {k: mix(v) for k, v in prefix.items()})
 
 
 def window_hashes(hashes: np.ndarray, offsets: tuple[int, ...]) -> np.ndarray:
