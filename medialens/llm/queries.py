@@ -77,6 +77,12 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -89,4 +95,5 @@ def queries() -> dict[str, Query]:
         "op8_near_dedup": op8_near_dedup,
         "op9_bpe": op9_bpe,
         "op10_html_extraction": op10_html_extraction,
+        "pipeline": pipeline,
     }
