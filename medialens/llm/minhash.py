@@ -9,8 +9,10 @@ Points come in order of time, so a shingle is done once its next point is later
 component of its text: about n + m log m points for n shingles and m components instead of n m.
 
 Bands of signatures bucket the texts; links are verified on the whole multisets; classes are the connected
-components of the links. Inside a bucket no pairs are made as long as classes can grow by comparing
-each text with one member of the bucket.
+components of the links. First each text of a bucket is compared with one member of it, then with another. Where a bucket
+still holds several classes after that, all its pairs of different classes are compared: those of a small
+bucket as pairs, those of a large one in blocks of two chunks of its texts, of which only links come out. No
+link between classes is lost, no task holds more than two chunks, and a large group of like texts costs a comparison or two each.
 """
 
 from __future__ import annotations
@@ -29,8 +31,10 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: 24 bands of 4: a pair of similarity 0.8 shares no band with a probability of 3e-6.
 BANDS, ROWS = 24, 4
-#: Rounds in which each text meets one member of its bucket before pairs between classes are compared.
-LEADER_ROUNDS = 4
+#: Buckets up to this size compare pairs; larger ones blocks of two chunks of about CHUNK texts.
+SMALL_BUCKET = 24
+CHUNK = 256
+_FEATURES = 4096
 
 
 def shingles_of(words: Words, n_rows: int, size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -161,42 +165,52 @@ def components(links: DataFrame) -> DataFrame:
     both = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
     labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("class")).withColumnRenamed("a", "node"))
     while True:
-        heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("class").alias("heard"))
-        step = labels.join(heard, F.col("node") == F.col("a"), "left").select("node", F.col("class").alias("old"), F.least("class", F.coalesce("heard", "class")).alias("class"))
+        heard = both.join(labels.withColumnRenamed("node", "b").hint("merge"), "b").groupBy("a").agg(F.min("class").alias("heard"))
+        step = labels.join(heard.hint("merge"), F.col("node") == F.col("a"), "left").select("node", F.col("class").alias("old"), F.least("class", F.coalesce("heard", "class")).alias("class"))
         up = labels.select(F.col("node").alias("class"), F.col("class").alias("up"))
-        step = cut(step.join(up, "class", "left").select("node", "old", F.least("class", F.coalesce("up", "class")).alias("class")))
+        step = cut(step.join(up.hint("merge"), "class", "left").select("node", "old", F.least("class", F.coalesce("up", "class")).alias("class")))
         labels = step.select("node", "class")
         if step.filter("class <> old").isEmpty():
             return labels
 
 
-def near_duplicate_labels(texts: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS, per_band: int = ROWS, leader_rounds: int = LEADER_ROUNDS) -> DataFrame:
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after further links: only links between classes are followed, on the graph of classes."""
+    for side in ("a", "b"):
+        named = labels.select(F.col("node").alias(side), F.col("class").alias(f"class_{side}"))
+        links = links.join(named.hint("merge"), side, "left").withColumn(f"class_{side}", F.coalesce(f"class_{side}", side))
+    merged = components(links.filter("class_a <> class_b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b")))
+    named = merged.select(F.col("node").alias("class"), F.col("class").alias("root"))
+    old = labels.join(named.hint("merge"), "class", "left").select("node", F.coalesce("root", "class").alias("class"))
+    new = merged.join(labels.select("node").hint("merge"), "node", "left_anti").select("node", "class")
+    return cut(old.unionByName(new))
+
+
+def near_duplicate_labels(texts: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
     """node, class of all nodes of (node, text) that have a link; a node stands for one text."""
     rows = written(_bands(texts, bands, per_band).distinct(), "bands")
     full = rows.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("band", "low")
-    rows = cut(rows.join(full, "band"))
+    rows = written(rows.join(full, "band"), "buckets")
     members = rows.select("node").distinct()
     known = written(texts.join(members, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
-    links = cut(_verified(rows.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), known, threshold))
-    tried = None
-    for k in range(1, leader_rounds + 1):
-        labels = components(links)
-        open_rows = _open(rows, labels)
-        if open_rows.isEmpty():
-            return labels
-        if k == leader_rounds:
-            other = open_rows.select("band", F.col("node").alias("b"), F.col("class").alias("b_class"))
-            pairs = open_rows.join(other, "band").filter("class < b_class").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        else:
-            order = F.xxhash64("node", "band", F.lit(k))
-            leaders = open_rows.groupBy("band").agg(F.min_by(F.struct("node", "class"), order).alias("leader")).select("band", F.col("leader.node").alias("l_node"), F.col("leader.class").alias("l_class"))
-            pairs = open_rows.join(leaders, "band").filter("class <> l_class").select(F.least("node", "l_node").alias("a"), F.greatest("node", "l_node").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        tried = pairs if tried is None else tried.union(pairs)
-        links = cut(links.union(_verified(pairs, known, threshold)))
-    return components(links)
+    tried = cut(rows.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct())
+    labels = components(_verified(tried, known, threshold))
+
+    rows = _open(rows, labels)
+    leaders = rows.groupBy("band").agg(F.min_by(F.struct("node", "class"), F.xxhash64("node", "band")).alias("leader")).select("band", F.col("leader.node").alias("l_node"), F.col("leader.class").alias("l_class"))
+    pairs = rows.join(leaders, "band").filter("class <> l_class").select(F.least("node", "l_node").alias("a"), F.greatest("node", "l_node").alias("b")).distinct()
+    pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+    labels = _joined(labels, _verified(pairs, known, threshold))
+
+    rows = _open(rows, labels)
+    tried = tried.union(pairs)
+    sizes = rows.groupBy("band", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("main"))
+    rows = cut(rows.join(sizes, "band"))
+    small = rows.filter(F.col("n") <= SMALL_BUCKET)
+    other = small.select("band", F.col("node").alias("b"), F.col("class").alias("b_class"))
+    pairs = small.join(other, "band").filter("class < b_class").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    links = _verified(pairs.join(tried, ["a", "b"], "left_anti"), known, threshold)
+    return _joined(labels, links.union(_block_links(rows.filter(F.col("n") > SMALL_BUCKET), known, threshold)))
 
 
 def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -206,6 +220,68 @@ def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return cut(named.join(several, "band", "left_semi"))
 
 
+def _block_links(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between different classes of large buckets.
+
+    The texts outside a bucket's largest class are the rest. Chunks of the rest meet each other and
+    the chunks of the largest class, which do not meet among themselves.
+    """
+    chunks = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(CHUNK))).cast("int")
+    n_main, n_rest = chunks(F.col("main.n")), chunks(F.col("n") - F.col("main.n"))
+    is_main = F.col("class") == F.col("main.class")
+    mine = F.pmod(F.xxhash64("node", "band"), F.when(is_main, n_main).otherwise(n_rest)).cast("int")
+    blocks_of = F.when(
+        F.col("is_main"), F.transform(F.sequence(F.lit(0), F.col("n_rest") - 1), lambda j: F.struct(F.lit(True).alias("with_main"), F.col("mine").alias("i"), j.alias("j")))
+    ).otherwise(
+        F.concat(
+            F.transform(F.sequence(F.lit(0), F.col("n_main") - 1), lambda i: F.struct(F.lit(True).alias("with_main"), i.alias("i"), F.col("mine").alias("j"))),
+            F.transform(F.sequence(F.lit(0), F.col("n_rest") - 1), lambda j: F.struct(F.lit(False).alias("with_main"), F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j"))),
+        )
+    )
+    dealt = rows.select("band", "node", "class", is_main.alias("is_main"), n_main.alias("n_main"), n_rest.alias("n_rest"), mine.alias("mine"))
+    dealt = dealt.select("band", "node", "class", "is_main", F.explode(blocks_of).alias("block")).select("band", "block.*", "node", "class", "is_main")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        nodes, classes, main = (np.asarray(table[c]) for c in ("node", "class", "is_main"))
+        crosswise = main.any()
+        both, total = overlaps(table["text"].combine_chunks())
+        similar = both >= (threshold - 1e-12) * (total[:, None] + total[None, :] - both)
+        similar &= classes[:, None] != classes[None, :]
+        if crosswise:
+            similar &= main[:, None] != main[None, :]
+        i, j = np.nonzero(np.triu(similar, 1) & (both > 0))
+        return pa.table({"a": nodes[i], "b": nodes[j]})
+
+    ship(rows.sparkSession)
+    return dealt.join(texts, "node").groupBy("band", "with_main", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
+
+
+def overlaps(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes of the intersections of all pairs of shingle multisets, sizes of the multisets)."""
+    n = len(texts)
+    _, row, shingle, count = bags_of(hash_words(texts), n)
+    total = np.bincount(row, count, n)
+    # occurrence k of a shingle is a feature of its own; one that a single text has adds to no intersection
+    again = np.repeat(np.arange(len(count)), count)
+    nth = np.arange(len(again)) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count) if len(count) else np.zeros(0, np.int64)
+    with np.errstate(over="ignore"):
+        names, feature, times = np.unique(mix(shingle[again] + nth.astype(U64) * U64(0x9E3779B97F4A7C15)), return_inverse=True, return_counts=True)
+    shared = times > 1
+    index = np.cumsum(shared) - 1
+    keep = shared[feature]
+    feature, owner = index[feature[keep]], row[again[keep]]
+    both = np.zeros((n, n), np.float32)
+    order = np.argsort(feature, kind="stable")
+    feature, owner = feature[order], owner[order]
+    for low in range(0, int(shared.sum()), _FEATURES):
+        a, b = np.searchsorted(feature, [low, low + _FEATURES])
+        x = np.zeros((n, _FEATURES), np.float32)
+        x[owner[a:b], feature[a:b] - low] = 1.0
+        both += x @ x.T
+    return both.astype(np.float64), total
+
+
 def _classes(df: DataFrame, doc_id: str, text: str, **options) -> DataFrame:
     """node, class_id, keeper (struct of doc_id and node), n_docs of the texts of df."""
     texts = df.select(F.xxhash64(col(text)).alias("node"), col(text).alias("text")).filter("text IS NOT NULL")
@@ -223,7 +299,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     class_id is the smallest doc_id of the class (null goes first); kept marks the rows with that id and text,
     so equal rows are kept or dropped together. Equal texts are one class. Texts without words link to
     nothing but their copies; null texts are classes of their own, kept. An empty table gives an empty result.
-    Texts are told apart by 64-bit hashes. Options: threshold, bands, per_band, leader_rounds.
+    Texts are told apart by 64-bit hashes. Options: threshold, bands, per_band.
     """
     classes = _classes(df, doc_id, text, **options)
     rows = df.select(col(doc_id).alias("doc_id"), F.xxhash64(col(text)).alias("row_node"), col(text).isNull().alias("no_text"))
