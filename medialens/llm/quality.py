@@ -167,10 +167,13 @@ def apply_quality(df: DataFrame, doc_id: str = "doc_id", text: str = "text", hos
     out_cols = df.columns
     tagged = df.select(*[col(c) for c in out_cols], F.xxhash64(col(text)).alias(key))
     measured = base_measures(tagged.select(*[col(c).alias(f"c{i}") for i, c in enumerate(out_cols)], F.col(key)), f"c{out_cols.index(text)}")
-    measured = measured.filter(~F.col("base_failed")).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(out_cols)], F.col(key), F.col("n_words").alias(words))
+    # most words that the frequent lines may have held; none can be few enough if the base rule fails
+    spare = F.when(F.col("base_failed"), F.lit(-1)).otherwise(max_removed_percent * F.col("n_words"))
+    measured = measured.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(out_cols)], F.col(key), spare.alias(words))
     both = measured.join(lost, (F.col(key) == F.col(r_key)) & col(doc_id).eqNullSafe(F.col(r_id)), "left")
     gone = F.coalesce(F.aggregate(F.col(removed), F.lit(0).cast("bigint"), lambda a, s: a + s["words"]), F.lit(0))
-    both = both.filter(~(100 * gone > max_removed_percent * F.col(words)))
+    # one comparison over both sides: a filter on the measures alone would be pushed down and compute them many times
+    both = both.filter(100 * gone <= F.col(words))
     places = F.col(removed)["pos"]
     left = F.array_join(F.filter(lines_of(col(text)), lambda _, i: ~F.array_contains(places, i)), "\n")
     both = both.withColumn(lines, F.when(F.col(removed).isNull(), col(text)).otherwise(left))
