@@ -143,7 +143,7 @@ def _class_counts(labelled: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch, 0, 16_000_000):
+            for part in blocks(batch, 0, 3_000_000):
                 words = words_of(part.column(0))
                 toxic = np.asarray(part.column(1)).astype(bool)[words.row]
                 at, pairs = pairs_of(words)
@@ -202,7 +202,7 @@ def continuation_counts(texts: DataFrame, tables: list[np.ndarray], parents: lis
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         registers = np.zeros(size, np.uint8)
         for batch in batches:
-            for part in blocks(batch, 0, 16_000_000):
+            for part in blocks(batch, 0, 3_000_000):
                 _sketch(words_of(part.column(0)), tables, starts, registers[:known], registers[known:])
         if registers.any():
             cuts = range(0, size, chunk)
