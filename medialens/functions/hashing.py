@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def median64(values: Column) -> Column:
@@ -37,7 +38,7 @@ def hamming_hex(a: Column, b: Column) -> Column:
     return F.coalesce(hamming(from_hex64(a), from_hex64(b)), F.lit(64))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def content_hash(content: pd.Series) -> pd.Series:
     """XXH64 (seed 0) of binary content as 16 hex digits; the built-in xxhash64 has another seed."""
     import xxhash
@@ -45,7 +46,7 @@ def content_hash(content: pd.Series) -> pd.Series:
     return content.map(lambda b: None if b is None else xxhash.xxh64_hexdigest(bytes(b)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def perceptual_hash(pixels: pd.Series) -> pd.Series:
     """Perceptual hash of 32 x 32 grey images (1,024 numbers, row by row): low frequencies of the cosine transform
     against their median. Decoding and scaling of image files are hooks of the caller."""

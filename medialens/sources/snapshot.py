@@ -47,9 +47,10 @@ class SnapshotTable:
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
     def current(self) -> str | None:
-        if not self._fs.exists(self._at("_current.json")):
-            return None
-        return json.loads(self.spark.read.text(f"{self.path}/_current.json", wholetext=True).first()[0])["version"]
+        for name in ("current.json", "next.json"):  # the second alone: a writer ended between its last two steps
+            if self._fs.exists(self._at(name)):
+                return json.loads(self.spark.read.text(f"{self.path}/{name}", wholetext=True).first()[0])["version"]
+        return None
 
     def read(self) -> DataFrame | None:
         version = self.current()
@@ -58,11 +59,11 @@ class SnapshotTable:
     def write(self, df: DataFrame, partition_by: Sequence[str] = ()) -> None:
         version = f"v-{uuid.uuid4().hex}"
         df.write.partitionBy(*partition_by).parquet(f"{self.path}/{version}")
-        out = self._fs.create(self._at("_next.json"), True)
+        out = self._fs.create(self._at("next.json"), True)
         out.write(bytearray(json.dumps({"version": version}).encode()))
         out.close()
-        self._fs.delete(self._at("_current.json"), False)
-        self._fs.rename(self._at("_next.json"), self._at("_current.json"))
+        self._fs.delete(self._at("current.json"), False)
+        self._fs.rename(self._at("next.json"), self._at("current.json"))
 
     def upsert(self, new: DataFrame, keys: Sequence[str], keep: Sequence[str] = ()) -> None:
         old = self.read()
