@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medialens.llm.runtime import SPACE_CLASS, col, fresh
+from medialens.llm.runtime import SPACE_CLASS, col, fresh, written
 
 #: A line is frequent if more distinct documents of one host than this have it.
 MAX_DOCS_PER_HOST = 20
@@ -122,7 +122,8 @@ def removed_lines(df: DataFrame, doc_id: str, text: str, host: str, max_docs: in
 
     The positions of one text gather in one row (bounded by its lines); repeated rows count once.
     """
-    rows = line_occurrences(df, doc_id, text, host)
+    # written once and read twice: splitting and hashing the lines costs far more than their hashes take on disk
+    rows = written(line_occurrences(df, doc_id, text, host), "lines")
     frequent = frequent_lines(rows, max_docs).select(F.col("host").alias("f_host"), F.col("line").alias("f_line"))
     hit = rows.join(frequent, (F.col("line") == F.col("f_line")) & F.col("host").eqNullSafe(F.col("f_host")), "left_semi")
     return hit.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("pos", "words")).alias("removed"))
