@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medialens.llm.runtime import col, ship
+from medialens.llm.runtime import col, map_arrow_rows, ship
 from medialens.llm.words import U64, Words, blocks, hash_words, window_hashes
 
 #: The masks, of six to eight words each; the last also spans every fifth word changed.
@@ -176,7 +176,6 @@ def leaks(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str
 
 def without_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", min_overlap: int = MIN_OVERLAP, percent: int = MIN_PERCENT, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of df that leak no item, all columns as they were. Same rules as leaks(); no shuffle."""
-    ship(df.sparkSession)
     at = df.columns.index(text)
     for index in _item_blocks(benchmark, item_id, item_text, block_words):
 
@@ -187,5 +186,5 @@ def without_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_
                     clean[[row for row, _ in find_leaks(hash_words(part.column(at)), index, min_overlap, percent)]] = False
                     yield part.filter(pa.array(clean))
 
-        df = df.mapInArrow(run, df.schema)
+        df = map_arrow_rows(df, run)
     return df

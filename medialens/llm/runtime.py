@@ -88,3 +88,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def map_arrow_rows(df: DataFrame, function, added: str = "") -> DataFrame:
+    """mapInArrow over whole rows: function gets and returns batches of all columns, in order, with the `added` ones
+    (name and type) after them. Columns travel under plain names, so any name is safe."""
+    ship(df.sparkSession)
+    plain = df.select(*[col(c).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    fields = [f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(df.schema.fields)]
+    extra = [x.strip() for x in added.split(",") if x.strip()]
+    done = plain.mapInArrow(function, ", ".join([*fields, *extra]))
+    return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)], *[F.col(x.split()[0]) for x in extra])

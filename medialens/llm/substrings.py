@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medialens.llm.runtime import col, fresh, ship
+from medialens.llm.runtime import col, fresh, map_arrow_rows, ship
 from medialens.llm.words import U64, _BASE, _INVERSE, blocks, hash_words, mix
 
 SPAN = 2
@@ -120,7 +120,7 @@ def dedup_substrings(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     both = df.select(*[col(c) for c in out_cols], F.hash(col(text)).alias(key)).join(lost, (F.col(key) == F.col(r_key)) & col(doc_id).eqNullSafe(F.col(r_id)), "left")
     both = both.select(*[col(c) for c in out_cols], F.col(places))
     at = out_cols.index(text)
-    names = [*out_cols, n_all, n_gone]
+    names = [*[f"c{i}" for i in range(len(out_cols) + 1)], n_all, n_gone]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,11 +142,9 @@ def dedup_substrings(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
                         left[i] = _without(left[i].encode(), s.start[lo:hi], covered)
                     texts = pa.array(left, texts.type)
                 columns = [part.column(j) if j != at else texts for j in range(len(out_cols))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(s.first)), pa.array(gone)], names=names)
+                yield pa.RecordBatch.from_arrays([*columns, marked, pa.array(np.diff(s.first)), pa.array(gone)], names=names)
 
-    kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in both.schema.fields[:-1])
-    ship(df.sparkSession)
-    done = both.mapInArrow(run, f"{kinds}, `{n_all}` bigint, `{n_gone}` bigint")
+    done = map_arrow_rows(both, run, f"{n_all} bigint, {n_gone} bigint")
     final = [F.length(col(text)).cast(df.schema[c].dataType).alias(c) if c == length else col(c) for c in out_cols]
     return done.select(*final, *([F.col(n_all).alias("n_sentences"), F.col(n_gone).alias("n_removed")] if counts else []))
 
