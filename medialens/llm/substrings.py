@@ -1,9 +1,11 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences (they end at `.`, `!`, `?` or a line's end between two words; after every
-`sentence_words` words a long one is cut too). Every run of `span` consecutive sentences with at least
-`min_words` words is hashed. Runs are grouped by hash over the whole corpus; the first
-occurrence, by document and place, stays, and sentences that any other occurrence covers are removed.
+A text is cut into sentences: they end at `.`, `!`, `?` or a line's end between two words. Stretches of more than
+twice `SIDE` words without such an end are also cut before words whose hash says so. All cuts depend on the words around them
+only, so a passage is cut alike wherever it stands, also in the middle of a sentence. From each sentence
+on, the shortest run of at least `span` sentences and `min_words` words is hashed. Runs are grouped by hash over the
+whole corpus; the first occurrence, by document and place, stays, and sentences that any other occurrence covers
+are removed.
 """
 
 from __future__ import annotations
@@ -17,57 +19,65 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medialens.llm.runtime import col, fresh, map_arrow_rows, ship
-from medialens.llm.words import U64, _BASE, _INVERSE, blocks, hash_words, mix
+from medialens.llm.words import U64, _BASE, _INVERSE, Words, blocks, hash_words, mix
 
 SPAN = 2
 MIN_WORDS = 12
-SENTENCE_WORDS = 12
+#: Words without an end on either side of a cut inside a sentence, and how many such words there are for a cut.
+SIDE, ONE_IN = 6, 8
 
 _STOPS = np.zeros(256, bool)
 _STOPS[[10, 33, 46, 63]] = True
 
 
 class Spans:
-    """Sentences of some texts in order: row, place (index in the row), start (byte in the row's text),
-    hash of the run that starts there and whether it is `long` enough; first: as in Words."""
+    """Sentences of some texts in order: row, place (index in the row), start (byte in the row's text), hash of the
+    run that starts there, until (place of the sentence after it), and whether there is one; first: as in Words."""
 
-    __slots__ = ("row", "place", "start", "hash", "long", "first")
+    __slots__ = ("row", "place", "start", "hash", "until", "there", "first")
 
 
-def spans_of(texts: pa.Array, span: int = SPAN, min_words: int = MIN_WORDS, sentence_words: int = SENTENCE_WORDS) -> Spans:
+def sentence_starts(words: Words, data: np.ndarray) -> np.ndarray:
+    """Whether each word starts a sentence."""
+    n, index = len(words.hash), np.arange(len(words.hash))
+    stops = np.concatenate([[0], np.cumsum(_STOPS[data], dtype=np.int64)])
+    starts = np.ones(n, bool)
+    starts[1:] = (stops[words.start[1:]] > stops[words.end[:-1]]) | (words.row[1:] != words.row[:-1])
+    opened = np.maximum.accumulate(np.where(starts, index, 0))
+    closes = np.append(starts[1:], True)
+    closed = np.minimum.accumulate(np.where(closes, index, n)[::-1])[::-1]
+    return starts | ((index - opened >= SIDE) & (closed - index >= SIDE) & (words.hash % U64(ONE_IN) == 0))
+
+
+def spans_of(texts: pa.Array, span: int = SPAN, min_words: int = MIN_WORDS) -> Spans:
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     words = hash_words(texts, lower=False)
     n_rows, out = len(texts), Spans()
     offsets = np.frombuffer(texts.buffers()[1], np.int64, count=n_rows + 1, offset=texts.offset * 8) if n_rows else np.zeros(1, np.int64)
-    base = offsets - offsets[0]
     n = len(words.hash)
     if not n:
-        out.row = out.place = out.start = np.zeros(0, np.int64)
-        out.hash, out.long, out.first = np.zeros(0, U64), np.zeros(0, bool), np.zeros(n_rows + 1, np.int64)
+        out.row = out.place = out.start = out.until = np.zeros(0, np.int64)
+        out.hash, out.there, out.first = np.zeros(0, U64), np.zeros(0, bool), np.zeros(n_rows + 1, np.int64)
         return out
     data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-    stops = np.concatenate([[0], np.cumsum(_STOPS[data], dtype=np.int64)])
-    fresh_sentence = np.ones(n, bool)
-    fresh_sentence[1:] = (stops[words.start[1:]] > stops[words.end[:-1]]) | (words.row[1:] != words.row[:-1])
-    index = np.arange(n)
-    opened = np.maximum.accumulate(np.where(fresh_sentence, index, 0))
-    first_word = np.flatnonzero((index - opened) % sentence_words == 0)
+    first_word = np.flatnonzero(sentence_starts(words, data))
+    m = len(first_word)
     row = words.row[first_word]
     out.first = np.searchsorted(row, np.arange(n_rows + 1))
-    out.row, out.place = row, np.arange(len(row)) - out.first[row]
-    out.start = words.start[first_word] - base[row]
-    # a run goes from its first word to the first word of the sentence `span` later, or to the row's last
-    m = len(first_word)
+    out.row, out.place = row, np.arange(m) - out.first[row]
+    out.start = words.start[first_word] - (offsets - offsets[0])[row]
+    # a run ends before the first sentence that is far enough in sentences and in words, if its row goes so far
     later = np.append(first_word, n)
-    until = later[np.minimum(np.arange(m) + span, m)]
-    whole = (np.arange(m) + span) <= out.first[row + 1]
+    until = np.maximum(np.arange(m) + span, np.searchsorted(later, first_word + min_words))
+    out.there = until <= out.first[row + 1]
+    until = np.minimum(until, m)
+    out.until = until - out.first[row]
     with np.errstate(over="ignore"):
         up, down = np.full(n, U64(_BASE)), np.full(n, U64(_INVERSE))
         up[0] = down[0] = 1
         up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
         sums = np.concatenate([np.zeros(1, U64), np.cumsum(words.hash * up)])
-        out.hash = mix((sums[until] - sums[first_word]) * down[first_word])
-    out.long = whole & (until - first_word >= min_words)
+        out.hash = mix((sums[later[until]] - sums[first_word]) * down[first_word])
     return out
 
 
@@ -75,14 +85,14 @@ def _sub(key: np.ndarray, place: np.ndarray) -> np.ndarray:
     return (key.astype(np.int64) << 32) | place
 
 
-def _occurrences(rows: DataFrame, span: int, min_words: int, sentence_words: int) -> DataFrame:
+def _occurrences(rows: DataFrame, span: int, min_words: int) -> DataFrame:
     """hash, doc_id, sub (32 bits of the text's hash, then the place) of every run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, 2):
-                s = spans_of(part.column(2), span, min_words, sentence_words)
-                at = np.flatnonzero(s.long)
+                s = spans_of(part.column(2), span, min_words)
+                at = np.flatnonzero(s.there)
                 key = np.asarray(part.column(1)).astype(np.int64)[s.row[at]]
                 yield pa.RecordBatch.from_arrays([pa.array(s.hash[at].view(np.int64)), part.column(0).take(pa.array(s.row[at])), pa.array(_sub(key, s.place[at]))], names=["hash", "doc_id", "sub"])
 
@@ -90,14 +100,14 @@ def _occurrences(rows: DataFrame, span: int, min_words: int, sentence_words: int
     return rows.mapInArrow(run, f"hash bigint, doc_id {rows.schema['doc_id'].dataType.simpleString()}, sub bigint")
 
 
-def repeated_places(df: DataFrame, doc_id: str, text: str, span: int = SPAN, min_words: int = MIN_WORDS, sentence_words: int = SENTENCE_WORDS) -> DataFrame:
+def repeated_places(df: DataFrame, doc_id: str, text: str, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text_key (int), places: array of the sentences where a non-first occurrence of a run starts.
 
     Runs shuffle as a hash and a place, never as text. The grouping has partial sums and the join's sides
     can be split, so a passage that a third of all documents hold does not gather in one task.
     """
     rows = df.select(col(doc_id).alias("doc_id"), F.hash(col(text)).alias("text_key"), col(text).alias("text"))
-    runs = _occurrences(rows, span, min_words, sentence_words)
+    runs = _occurrences(rows, span, min_words)
     repeated = runs.groupBy("hash").agg(F.min(F.struct("doc_id", "sub")).alias("first"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     repeated = repeated.select(F.col("hash").alias("r_hash"), F.col("first.doc_id").alias("r_doc"), F.col("first.sub").alias("r_sub"))
     other = ~(F.col("doc_id").eqNullSafe(F.col("r_doc")) & (F.col("sub") == F.col("r_sub")))
@@ -106,7 +116,7 @@ def repeated_places(df: DataFrame, doc_id: str, text: str, span: int = SPAN, min
     return places.groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("places"))
 
 
-def dedup_substrings(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: str | None = "n_chars", span: int = SPAN, min_words: int = MIN_WORDS, sentence_words: int = SENTENCE_WORDS, counts: bool = False) -> DataFrame:
+def dedup_substrings(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: str | None = "n_chars", span: int = SPAN, min_words: int = MIN_WORDS, counts: bool = False) -> DataFrame:
     """df with repeated sentences removed from its texts; all rows and columns stay.
 
     `length`, if df has it, is set anew to the code points left. With counts, n_sentences and n_removed
@@ -116,7 +126,7 @@ def dedup_substrings(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     out_cols = [c for c in df.columns if not (counts and c.lower() in ("n_sentences", "n_removed"))]
     key, places, r_id, r_key, n_all, n_gone = fresh(df, "key", "places", "r_id", "r_key", "n_sentences", "n_removed")
-    lost = repeated_places(df, doc_id, text, span, min_words, sentence_words).select(F.col("doc_id").alias(r_id), F.col("text_key").alias(r_key), F.col("places").alias(places))
+    lost = repeated_places(df, doc_id, text, span, min_words).select(F.col("doc_id").alias(r_id), F.col("text_key").alias(r_key), F.col("places").alias(places))
     both = df.select(*[col(c) for c in out_cols], F.hash(col(text)).alias(key)).join(lost, (F.col(key) == F.col(r_key)) & col(doc_id).eqNullSafe(F.col(r_id)), "left")
     both = both.select(*[col(c) for c in out_cols], F.col(places))
     at = out_cols.index(text)
@@ -125,7 +135,7 @@ def dedup_substrings(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, at):
-                s = spans_of(part.column(at), span, min_words, sentence_words)
+                s = spans_of(part.column(at), span, min_words)
                 gone = np.zeros(part.num_rows, np.int64)
                 texts = part.column(at)
                 marked = part.column(len(out_cols))
@@ -134,10 +144,9 @@ def dedup_substrings(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     left = texts.to_pylist()
                     for i in hit.tolist():
                         lo, hi = int(s.first[i]), int(s.first[i + 1])
-                        covered = np.zeros(hi - lo + span, bool)
+                        covered = np.zeros(hi - lo, bool)
                         for p in marked[i].as_py():
-                            covered[p : p + span] = True
-                        covered = covered[: hi - lo]
+                            covered[p : s.until[lo + p]] = True
                         gone[i] = covered.sum()
                         left[i] = _without(left[i].encode(), s.start[lo:hi], covered)
                     texts = pa.array(left, texts.type)

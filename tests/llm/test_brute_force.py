@@ -41,17 +41,19 @@ def test_word_hashes_tell_words_apart(letters):
 # substring dedup
 
 
-def pieces(text, limit=substrings.SENTENCE_WORDS):
+def pieces(text):
     """(start, words) of the sentences of a text."""
-    out, count = [], 0
-    last = 0
-    for m in re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]+", text):
-        if not out or re.search(r"[.!?\n]", text[last : m.start()]) or count == limit:
-            out.append((m.start(), []))
-            count = 0
-        out[-1][1].append(m[0])
-        count += 1
-        last = m.end()
+    found = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]+", text)]
+    hashes = hash_words(pa.array([text]), lower=False).hash.tolist()
+    ends = [bool(i + 1 == len(found) or re.search(r"[.!?\n]", text[found[i][1] : found[i + 1][0]])) for i in range(len(found))]
+    out, since = [], 0
+    for i, (start, _, word) in enumerate(found):
+        if i == 0 or ends[i - 1]:
+            since = i
+        left = next(j for j in range(i, len(found)) if ends[j]) - i
+        if since == i or (i - since >= substrings.SIDE and left >= substrings.SIDE and hashes[i] % substrings.ONE_IN == 0):
+            out.append((start, []))
+        out[-1][1].append(word)
     return out
 
 
@@ -61,10 +63,13 @@ def test_substring_dedup(spark, sf_dir):
     first, covered = {}, defaultdict(set)
     for d, _ in rows:
         p = cut[d]
-        for i in range(len(p) - substrings.SPAN + 1):
-            words = tuple(w for _, ws in p[i : i + substrings.SPAN] for w in ws)
-            if len(words) >= substrings.MIN_WORDS and first.setdefault(words, (d, i)) != (d, i):
-                covered[d] |= set(range(i, i + substrings.SPAN))
+        for i in range(len(p)):
+            for j in range(i + substrings.SPAN, len(p) + 1):
+                words = tuple(w for _, ws in p[i:j] for w in ws)
+                if len(words) >= substrings.MIN_WORDS:
+                    if first.setdefault(words, (d, i)) != (d, i):
+                        covered[d] |= set(range(i, j))
+                    break
     want = {}
     for d, t in rows:
         starts = [s for s, _ in cut[d]]
@@ -79,6 +84,20 @@ def test_substring_dedup(spark, sf_dir):
     assert any(v[1] for v in want.values())
 
 
+def test_passages_without_any_stop_are_found(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    missed = 0
+    rows = []
+    for k in range(40):
+        passage = words(60)
+        rows += [(2 * k, f"{words(30 + k)} {passage} {words(20)}"), (2 * k + 1, f"{words(41)} {passage} {words(33)}")]
+    out = {r.doc_id: r.n_removed for r in substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), counts=True).collect()}
+    missed = sum(out[2 * k + 1] == 0 for k in range(40))
+    assert missed <= 2 and not any(out[2 * k] for k in range(40))
+
+
 def test_long_repeated_passages_go_and_others_stay(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
