@@ -68,3 +68,30 @@ class SnapshotTable:
     def upsert(self, new: DataFrame, keys: Sequence[str], keep: Sequence[str] = ()) -> None:
         old = self.read()
         self.write(new if old is None else upsert(old, new, keys, keep))
+
+
+def without(old: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Old rows whose keys are not among gone's."""
+    return old.join(gone.select(*keys).distinct(), list(keys), "left_anti").select(*old.columns)
+
+
+def without_prefix(old: DataFrame, images: DataFrame, target: str, image: str = "image_id") -> DataFrame:
+    """Old rows whose target `image#index` is no region of the images."""
+    ids = images.select(F.col(image).alias("__image")).distinct()
+    return old.join(ids, F.substring_index(target, "#", 1) == F.col("__image"), "left_anti")
+
+
+def copy_table(source: SnapshotTable, target: SnapshotTable) -> None:
+    """Dumps or restores a table: the current version of one as a new version of the other."""
+    rows = source.read()
+    if rows is None:
+        raise FileNotFoundError(source.path)
+    target.write(rows)
+
+
+def create_empty(spark: SparkSession, path: str, schema: str) -> SnapshotTable:
+    """A table of that schema; what is already there stays."""
+    table = SnapshotTable(spark, path)
+    if table.current() is None:
+        table.write(spark.createDataFrame([], schema))
+    return table

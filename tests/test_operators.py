@@ -249,3 +249,26 @@ def test_streaming_ingest_equals_a_full_run(spark, tmp_path):
 def test_windows_of_events(spark):
     rows = spark.createDataFrame([("2024-01-01 00:10:00", "a", 1.0), ("2024-01-01 00:50:00", "a", 2.0), ("2024-01-01 01:00:00", "a", 4.0)], "ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
     assert sorted((r.n, r.total) for r in arrivals.windowed_counts(rows).collect()) == [(1, 4.0), (2, 3.0)]
+
+
+def test_models_are_loaded_once_and_errors_stay_apart(spark):
+    from medialens.operators import hooks
+
+    df = spark.createDataFrame([("a", 4.0), ("b", 0.0), ("c", None)], "image_id string, x double")
+    out = hooks.apply_model(df, "image_id", "x", lambda: 2.0, lambda model, v: [1.0 / v * model], "array<double>", "test-model")
+    got = {r.image_id: (r.result, r.status) for r in hooks.counted(out, errors=F.count_if(F.col("status") == "error")).collect()}
+    assert got == {"a": ([0.5], "complete"), "b": (None, "error"), "c": (None, "error")}
+    assert hooks.artifact_rows(out, "embedding", "m:1").filter("status = 'complete'").count() == 1
+
+
+def test_tables_are_copied_and_pruned(spark, tmp_path):
+    a = snapshot.create_empty(spark, str(tmp_path / "a"), "id string, n int")
+    a.write(spark.createDataFrame([("x#0", 1), ("x#1", 2), ("xy#0", 3)], "id string, n int"))
+    assert snapshot.create_empty(spark, str(tmp_path / "a"), "id string, n int").read().count() == 3
+    b = snapshot.SnapshotTable(spark, str(tmp_path / "b"))
+    snapshot.copy_table(a, b)
+    left = snapshot.without_prefix(b.read(), spark.createDataFrame([("x",)], "image_id string"), "id")
+    assert [r.id for r in left.collect()] == ["xy#0"]
+    assert snapshot.without(b.read(), left, ["id"]).count() == 2
+    with pytest.raises(FileNotFoundError):
+        snapshot.copy_table(snapshot.SnapshotTable(spark, str(tmp_path / "none")), b)
