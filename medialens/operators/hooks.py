@@ -30,16 +30,16 @@ def apply_model(df: DataFrame, key: str, value: str, load: Callable[[], Any], ca
         model = _LOADED[name]
         for batch in batches:
             out = []
-            for k, v in zip(batch["k"], batch["v"], strict=True):
+            for k, v, missing in zip(batch["k"], batch["v"], batch["missing"], strict=True):
                 try:
-                    if v is None:
+                    if missing:
                         raise ValueError("no value")
                     out.append((k, call(model, v), "complete", None))
                 except Exception as e:  # noqa: BLE001  one bad row must not end the batch
                     out.append((k, None, "error", f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=[key, "result", "status", "error_message"])
 
-    return df.select(F.col(key).alias("k"), F.col(value).alias("v")).mapInPandas(run, f"{key} {kind}, result {result_type}, status string, error_message string")
+    return df.select(F.col(key).alias("k"), F.col(value).alias("v"), F.col(value).isNull().alias("missing")).mapInPandas(run, f"{key} {kind}, result {result_type}, status string, error_message string")
 
 
 def counted(df: DataFrame, name: str = "progress", **metrics) -> DataFrame:
