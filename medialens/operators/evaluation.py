@@ -79,12 +79,21 @@ def confusion(pairs: DataFrame, human: str, auto: str, limit: int = 20) -> DataF
 def threshold_sweep(scores: DataFrame, key: str, p: str, truth: str, max_thresholds: int | None = None) -> DataFrame:
     """key, threshold, tp, fp, fn, precision, recall, f1 for each distinct score, or evenly picked ones.
 
-    Rows are first summed by (key, score); the running sums then go over distinct scores only.
+    Rows are first summed by (key, score). Running sums go inside 4,096 ranges of scores, on top of the sums of the
+    ranges above, so a key with very many different scores does not gather in one task.
     """
-    at = scores.groupBy(key, F.col(p).alias("threshold")).agg(F.count_if(F.col(truth)).alias("pos"), F.count_if(~F.col(truth)).alias("neg"))
-    down = Window.partitionBy(key).orderBy(F.desc("threshold"))
+    place = F.least(F.lit(4095), F.greatest(F.lit(0), F.floor(F.col("threshold") * 4096))).cast("int")
+    at = scores.groupBy(key, F.col(p).alias("threshold")).agg(F.count_if(F.col(truth)).alias("pos"), F.count_if(~F.col(truth)).alias("neg")).withColumn("range", place)
+    higher = Window.partitionBy(key).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    lower = Window.partitionBy(key).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(key)
-    rows = at.select(key, "threshold", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(whole).alias("all"), F.row_number().over(Window.partitionBy(key).orderBy("threshold")).alias("n"), F.count(F.lit(1)).over(whole).alias("of"))
+    sums = at.groupBy(key, "range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"), F.count(F.lit(1)).alias("c"))
+    zero = F.lit(0).cast("bigint")
+    sums = sums.select(key, "range", F.coalesce(F.sum("p").over(higher), zero).alias("more_pos"), F.coalesce(F.sum("q").over(higher), zero).alias("more_neg"), F.coalesce(F.sum("c").over(lower), zero).alias("less"), F.sum("p").over(whole).alias("all"), F.sum("c").over(whole).alias("of"))
+    here = Window.partitionBy(key, "range")
+    down = here.orderBy(F.desc("threshold"))
+    rows = at.withColumns({"own_pos": F.sum("pos").over(down), "own_neg": F.sum("neg").over(down), "own_n": F.row_number().over(here.orderBy("threshold"))}).join(sums, [key, "range"])
+    rows = rows.select(key, "threshold", (F.col("own_pos") + F.col("more_pos")).alias("tp"), (F.col("own_neg") + F.col("more_neg")).alias("fp"), "all", (F.col("own_n") + F.col("less")).alias("n"), "of")
     if max_thresholds:
         # position i of m picks is floor(i (of - 1) / (m - 1)); a row is picked if some i lands on it
         i = F.ceil((F.col("n") - 1) * F.lit(max_thresholds - 1) / F.greatest(F.lit(1), F.col("of") - 1))
