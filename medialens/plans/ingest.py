@@ -104,7 +104,7 @@ o AS (SELECT image_id, list(path ORDER BY path) AS ps, min(path) AS pp, arg_max(
 b AS (SELECT coalesce(o.image_id, n.image_id) AS image_id, o.image_id IS NULL AS is_new, n.image_id IS NULL AS gone, pp, o.sz AS osz, n.sz AS nsz, o.mt AS omt, n.mt AS nmt, list_concat(list_filter(coalesce(o.ps, []), lambda p: list_contains(coalesce(n.ps, []), p)), list_filter(coalesce(n.ps, []), lambda p: NOT list_contains(coalesce(o.ps, []), p))) AS paths FROM o FULL JOIN n ON o.image_id = n.image_id)"""
 QUERIES = {
     "moved_paths_soft_delete": (moved, f"WITH {SCAN} SELECT image_id, CASE WHEN list_contains(paths, pp) THEN pp ELSE coalesce(paths[1], '') END AS primary_path, array_to_string(paths, ',') AS paths, CASE WHEN gone THEN 'deleted' ELSE 'active' END AS status, NOT gone AND (is_new OR osz <> nsz OR omt <> nmt) AS dirty FROM b"),
-    "keyed_upsert": (keyed_upsert, "WITH o AS (SELECT DISTINCT o_orderkey AS k FROM orders) SELECT k AS o_orderkey, CASE WHEN k % 2 = 0 THEN k + 1.0 ELSE k END AS score, CASE WHEN k % 3 <> 0 THEN 1 ELSE 2 END AS created FROM o WHERE k % 3 <> 0 OR k % 2 = 0"),
+    "keyed_upsert": (keyed_upsert, "WITH o AS (SELECT DISTINCT o_orderkey AS k FROM orders) SELECT k AS o_orderkey, CAST(CASE WHEN k % 2 = 0 THEN k + 1 ELSE k END AS DOUBLE) AS score, CASE WHEN k % 3 <> 0 THEN 1 ELSE 2 END AS created FROM o WHERE k % 3 <> 0 OR k % 2 = 0"),
     "insert_missing": (insert_once, "SELECT DISTINCT o_custkey, CASE WHEN o_custkey % 3 = 0 THEN 1 ELSE 2 END AS run FROM orders"),
     "artifact_memo_plan": (memo, """SELECT doc_id AS image_id, artifact_type, CASE WHEN doc_id % 2 = 0 THEN 'm1:' ELSE '' END || sha256('{"lang":"' || lang || '"}') AS version_key FROM documents, (VALUES ('embedding'), ('caption')) t(artifact_type) WHERE doc_id % 3 <> 0 OR doc_id % 9 = 0"""),
     "lineage_closure": (lineage, "WITH RECURSIVE e AS (SELECT doc_id || '/' || a AS node, doc_id || '/' || b AS ancestor FROM documents, (VALUES ('embedding', 'hash'), ('caption', 'embedding'), ('regions', 'hash'), ('regions', 'phash')) t(a, b)), r AS (SELECT node, ancestor, 1 AS depth FROM e UNION ALL SELECT r.node, e.ancestor, r.depth + 1 FROM r JOIN e ON r.ancestor = e.node) SELECT node, ancestor, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY ALL"),
