@@ -28,8 +28,8 @@ _UNSETTLED = regex.compile(r"[^\x00-ԯ‐-‧‰-⁞€]")
 #: Ranks after every merge.
 _NONE = (1 << 60, -1)
 #: Words kept with their ids in one worker; beyond it the table starts anew.
-CACHED_WORDS = 400_000
-CACHED_PAIRS = 4_000_000
+CACHED_WORDS = 150_000
+CACHED_PAIRS = 300_000
 
 
 def byte_letters() -> list[str]:
@@ -282,6 +282,7 @@ def encode(df: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
                 if with_ids:
                     out |= {"ids": [np.frombuffer(x, "<u4").astype("int64") for x in ids], "decoded": decoded}
                 yield pd.DataFrame(out)
+        bpe.cache = {}  # the worker lives on, maybe for other work
 
     rows = df.select(col(doc_id).alias("doc_id"), F.coalesce(col(text), F.lit("")).alias("text"))
     return map_pandas(rows, run, fields)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medialens.llm.runtime import col, map_arrow_rows, ship
+from medialens.llm.runtime import col, map_arrow, map_arrow_rows
 from medialens.llm.words import U64, Words, blocks, hash_words, window_hashes
 
 #: The masks, of six to eight words each; the last also spans every fifth word changed.
@@ -152,7 +152,6 @@ def leaks(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str
     rows = df.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
     items = benchmark.select(col(item_id).alias("item_id"))
     schema = f"doc_id {rows.dtypes[0][1]}, item_id {items.dtypes[0][1]}, n_equal bigint, n_overlap bigint, doc_start bigint, item_start bigint"
-    ship(spark)
     out = None
     for index in _item_blocks(benchmark, item_id, item_text, block_words):
 
@@ -169,7 +168,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str
         from pyspark.sql.pandas.types import to_arrow_type
 
         item_type = to_arrow_type(items.schema[0].dataType)
-        hits = rows.mapInArrow(run, schema)
+        hits = map_arrow(rows, run, schema)
         out = hits if out is None else out.unionByName(hits)
     return out if out is not None else spark.createDataFrame([], schema)
 

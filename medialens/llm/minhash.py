@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medialens.llm.runtime import col, cut, fresh, ship, written
+from medialens.llm.runtime import col, cut, fresh, map_arrow, release_memory, ship, written
 from medialens.llm.words import U64, Words, blocks, hash_words, mix, window_hashes
 
 SHINGLE_WORDS = 5
@@ -140,8 +140,7 @@ def _bands(texts: DataFrame, bands: int, per_band: int) -> DataFrame:
                 hashes = band_hashes(signatures(rows, shingles, counts, len(at), bands * per_band)[full], bands, per_band)
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.reshape(-1).view(np.int64)), pa.array(np.repeat(nodes[full], bands))], names=["band", "node"])
 
-    ship(texts.sparkSession)
-    return texts.mapInArrow(run, "band bigint, node bigint")
+    return map_arrow(texts, run, "band bigint, node bigint")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -155,8 +154,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
                 linked = similarity_of(part.column(2), part.column(3)) >= threshold - 1e-12
                 yield part.select(["a", "b"]).filter(pa.array(linked))
 
-    ship(pairs.sparkSession)
-    return both.mapInArrow(run, "a bigint, b bigint")
+    return map_arrow(both, run, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -251,6 +249,7 @@ def _block_links(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFra
         if crosswise:
             similar &= main[:, None] != main[None, :]
         i, j = np.nonzero(np.triu(similar, 1) & (both > 0))
+        release_memory()
         return pa.table({"a": nodes[i], "b": nodes[j]})
 
     ship(rows.sparkSession)

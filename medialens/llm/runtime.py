@@ -73,10 +73,39 @@ def ship(spark: SparkSession) -> None:
     context._medialens_shipped = True
 
 
+def release_memory() -> None:
+    """Gives free memory of a Python worker back to the machine; workers live on after their task."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not on this platform
+        pass
+
+
+def _tidy(function):
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            release_memory()
+
+    return run
+
+
 def map_pandas(df: DataFrame, function, schema: str) -> DataFrame:
     """mapInPandas with this package importable on the executors."""
     ship(df.sparkSession)
-    return df.mapInPandas(function, schema)
+    return df.mapInPandas(_tidy(function), schema)
+
+
+def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """mapInArrow with this package importable on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(_tidy(function), schema)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -93,9 +122,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def map_arrow_rows(df: DataFrame, function, added: str = "") -> DataFrame:
     """mapInArrow over whole rows: function gets and returns batches of all columns, in order, with the `added` ones
     (name and type) after them. Columns travel under plain names, so any name is safe."""
-    ship(df.sparkSession)
     plain = df.select(*[col(c).alias(f"c{i}") for i, c in enumerate(df.columns)])
     fields = [f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(df.schema.fields)]
     extra = [x.strip() for x in added.split(",") if x.strip()]
-    done = plain.mapInArrow(function, ", ".join([*fields, *extra]))
+    done = map_arrow(plain, function, ", ".join([*fields, *extra]))
     return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)], *[F.col(x.split()[0]) for x in extra])

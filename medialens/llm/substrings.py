@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medialens.llm.runtime import col, fresh, map_arrow_rows, ship
+from medialens.llm.runtime import col, fresh, map_arrow, map_arrow_rows
 from medialens.llm.words import U64, _BASE, _INVERSE, Words, blocks, hash_words, mix
 
 SPAN = 2
@@ -96,8 +96,7 @@ def _occurrences(rows: DataFrame, span: int, min_words: int) -> DataFrame:
                 key = np.asarray(part.column(1)).astype(np.int64)[s.row[at]]
                 yield pa.RecordBatch.from_arrays([pa.array(s.hash[at].view(np.int64)), part.column(0).take(pa.array(s.row[at])), pa.array(_sub(key, s.place[at]))], names=["hash", "doc_id", "sub"])
 
-    ship(rows.sparkSession)
-    return rows.mapInArrow(run, f"hash bigint, doc_id {rows.schema['doc_id'].dataType.simpleString()}, sub bigint")
+    return map_arrow(rows, run, f"hash bigint, doc_id {rows.schema['doc_id'].dataType.simpleString()}, sub bigint")
 
 
 def repeated_places(df: DataFrame, doc_id: str, text: str, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:

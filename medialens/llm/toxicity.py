@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medialens.llm.runtime import col, ship, written
+from medialens.llm.runtime import col, map_arrow, written
 from medialens.llm.words import U64, Words, blocks, hash_words, mix
 
 #: Bytes of the stems, from short to long; a shorter word is its own stem.
@@ -156,8 +156,7 @@ def _class_counts(labelled: DataFrame) -> DataFrame:
                     counts = [np.bincount(back[m], minlength=len(names)) for m in (~of, of)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), level, np.int32)), *[pa.array(x.view(np.int64)) for x in (names, parents[first], contexts[first])], *[pa.array(c.astype(np.int64)) for c in counts]], names=["level", "key", "parent", "context", "ordinary", "toxic"])
 
-    ship(labelled.sparkSession)
-    counted = labelled.select("text", "toxic").mapInArrow(run, "level int, key bigint, parent bigint, context bigint, ordinary bigint, toxic bigint")
+    counted = map_arrow(labelled.select("text", "toxic"), run, "level int, key bigint, parent bigint, context bigint, ordinary bigint, toxic bigint")
     return counted.groupBy("level", "key").agg(F.min("parent").alias("parent"), F.min("context").alias("context"), F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
@@ -217,9 +216,8 @@ def continuation_counts(texts: DataFrame, tables: list[np.ndarray], parents: lis
         if merged:
             yield pa.RecordBatch.from_arrays([pa.array(list(merged), pa.int64()), pa.array([v.tobytes() for v in merged.values()], pa.binary())], names=["start", "registers"])
 
-    ship(texts.sparkSession)
     schema = "start bigint, registers binary"
-    parts = texts.mapInArrow(gather, schema).repartition(max(1, -(-size // chunk)), "start").mapInArrow(merge, schema)
+    parts = map_arrow(map_arrow(texts, gather, schema).repartition(max(1, -(-size // chunk)), "start"), merge, schema)
     registers = np.zeros(size, np.uint8)
     for start, raw in parts.toLocalIterator():
         registers[start : start + len(raw)] = np.frombuffer(bytes(raw), np.uint8)
@@ -307,8 +305,7 @@ def _curve_rows(labelled: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarr
                 f = model.features(words_of(part.column(0)), part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column(1), *[pa.array(f[:, j]) for j in range(3)]], names=["toxic", "f0", "f1", "f2"])
 
-    ship(labelled.sparkSession)
-    got = labelled.select("text", "toxic").mapInArrow(run, "toxic int, f0 double, f1 double, f2 double").orderBy("f0", "f1", "f2").toArrow()
+    got = map_arrow(labelled.select("text", "toxic"), run, "toxic int, f0 double, f1 double, f2 double").orderBy("f0", "f1", "f2").toArrow()
     return np.stack([np.asarray(got[f"f{j}"]) for j in range(3)], 1), np.asarray(got["toxic"]).astype(np.float64)
 
 
@@ -326,5 +323,4 @@ def score(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = df.select(col(doc_id).alias("doc_id"), col(text).alias("text")).select("doc_id", (held_out_fold("doc_id") == 0).alias("held_out"), "text")
-    ship(df.sparkSession)
-    return rows.mapInArrow(run, f"doc_id {rows.dtypes[0][1]}, held_out boolean, score double, predicted int")
+    return map_arrow(rows, run, f"doc_id {rows.dtypes[0][1]}, held_out boolean, score double, predicted int")

@@ -18,7 +18,7 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes hashed at a time; the tables of powers have so many entries.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _powers: tuple[np.ndarray, np.ndarray] | None = None
 
@@ -126,7 +126,7 @@ def window_hashes(hashes: np.ndarray, offsets: tuple[int, ...]) -> np.ndarray:
     return mix(out)
 
 
-def blocks(batch: pa.RecordBatch, column: int, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def blocks(batch: pa.RecordBatch, column: int, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about so many bytes of text, so that memory is bounded by it or the longest text."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
     group = np.cumsum(lengths) // size
