@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medialens.llm.runtime import col, fresh, map_arrow, map_arrow_rows
+from medialens.llm.runtime import col, fresh, map_arrow, map_arrow_rows, written
 from medialens.llm.words import U64, _BASE, _INVERSE, Words, blocks, hash_words, mix
 
 SPAN = 2
@@ -109,6 +109,8 @@ def repeated_places(df: DataFrame, doc_id: str, text: str, span: int = SPAN, min
     runs = _occurrences(rows, span, min_words)
     repeated = runs.groupBy("hash").agg(F.min(F.struct("doc_id", "sub")).alias("first"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     repeated = repeated.select(F.col("hash").alias("r_hash"), F.col("first.doc_id").alias("r_doc"), F.col("first.sub").alias("r_sub"))
+    # written, so that the join shuffles it anew: only then can Spark split the runs of one passage over tasks
+    repeated = written(repeated, "repeats")
     other = ~(F.col("doc_id").eqNullSafe(F.col("r_doc")) & (F.col("sub") == F.col("r_sub")))
     hits = runs.join(repeated, (F.col("hash") == F.col("r_hash")) & other)
     places = hits.select("doc_id", F.shiftright("sub", 32).cast("int").alias("text_key"), F.col("sub").bitwiseAND(0xFFFFFFFF).cast("int").alias("place"))
