@@ -3,11 +3,9 @@
 Lines are normalised and hashed; for each host the number of distinct documents of a line is
 counted; lines above the limit are removed, and documents that lose too much are rejected.
 
-Which documents are distinct: a document counts for a line by the smallest and the largest hash of
-its *other* lines. Copies and near copies of one document therefore count about once, so a group
-of copies does not turn its own text into "frequent lines", while a footer that stands in unlike
-documents counts once for each of them. The pair of both ends keeps a block of lines that always
-go together from hiding itself.
+Which documents are distinct: those whose whole texts differ. Copies of one document count once, so a group
+of copies does not turn its own text into "frequent lines"; documents that differ at all count once each,
+however much of a template they share.
 """
 
 from __future__ import annotations
@@ -80,10 +78,7 @@ def base_measures(df: DataFrame, text: str) -> DataFrame:
 
 
 def line_occurrences(df: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
-    """A row for each line with a word: doc_id, text_key, host, line, pos, words, witness.
-
-    `witness` stands for the document (see the module's text); a document of one line has none.
-    """
+    """A row for each line with a word: doc_id, text_key, host, line, pos, words."""
     base = df.select(
         col(doc_id).alias("doc_id"),
         F.xxhash64(col(text)).alias("text_key"),
@@ -91,21 +86,8 @@ def line_occurrences(df: DataFrame, doc_id: str, text: str, host: str) -> DataFr
         F.filter(F.transform(lines_of(F.coalesce(col(text), F.lit(""))), lambda x, i: F.struct(x.alias("line"), i.alias("pos"))), lambda s: _has_word(s["line"])).alias("lines"),
     )
     base = base.select("doc_id", "text_key", "host", F.transform("lines", lambda s: F.struct(line_key(s["line"]).alias("line"), s["pos"].alias("pos"), F.size(words_of(s["line"])).alias("words"))).alias("lines"))
-    base = base.withColumn("ends", F.sort_array(F.array_distinct(F.col("lines.line"))))
-    n = F.size("ends")
-    base = base.select(
-        "doc_id",
-        "text_key",
-        "host",
-        F.explode("lines").alias("l"),
-        F.get("ends", F.lit(0)).alias("lo"),
-        F.get("ends", F.lit(1)).alias("lo2"),
-        F.get("ends", n - 1).alias("hi"),
-        F.get("ends", n - 2).alias("hi2"),
-    )
-    line = F.col("l.line")
-    witness = F.when(F.col("lo2").isNotNull(), F.xxhash64(F.when(line == F.col("lo"), F.col("lo2")).otherwise(F.col("lo")), F.when(line == F.col("hi"), F.col("hi2")).otherwise(F.col("hi"))))
-    return base.select("doc_id", "text_key", "host", line.alias("line"), F.col("l.pos").alias("pos"), F.col("l.words").alias("words"), F.coalesce(witness, F.lit(0)).alias("witness"))
+    base = base.select("doc_id", "text_key", "host", F.explode("lines").alias("l"))
+    return base.select("doc_id", "text_key", "host", F.col("l.line").alias("line"), F.col("l.pos").alias("pos"), F.col("l.words").alias("words"))
 
 
 def frequent_lines(occurrences: DataFrame, max_docs: int = MAX_DOCS_PER_HOST) -> DataFrame:
@@ -113,7 +95,7 @@ def frequent_lines(occurrences: DataFrame, max_docs: int = MAX_DOCS_PER_HOST) ->
 
     Two partial aggregations, so neither a hot host nor a hot line gathers its rows in one task.
     """
-    once = occurrences.groupBy("host", "line", "witness").agg(F.count(F.lit(1)).alias("n"))
+    once = occurrences.groupBy("host", "line", "text_key").agg(F.count(F.lit(1)).alias("n"))
     return once.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") > max_docs)
 
 

@@ -59,6 +59,20 @@ def test_quality_counts_copies_once_and_footers_often(spark):
     assert not any(r.kept for r in quality.quality_report(spark.createDataFrame(thin, "doc_id long, text string, source string")).collect())
 
 
+@pytest.mark.parametrize(("shared", "own", "n"), [(5, 1, 30), (10, 1, 40), (20, 1, 100), (20, 3, 60), (3, 1, 20)])
+def test_quality_counts_every_document_of_a_template(spark, shared, own, n):
+    template = [f"template line {k} of {shared}" for k in range(shared)]
+    rows = [(i, "\n".join(template + [f"own line {k} of document {i}" for k in range(own)]), "s") for i in range(n)]
+    rows += [(1000 + i, rows[0][1], "s") for i in range(30)]  # copies of the first count once
+    holders = {}
+    for _, text, _ in rows:
+        for line in text.split("\n"):
+            holders.setdefault(line, set()).add(text)
+    want = {i: sum(len(holders[line]) > quality.MAX_DOCS_PER_HOST for line in text.split("\n")) for i, text, _ in rows}
+    got = {r.doc_id: r.n_frequent_lines for r in quality.quality_report(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == want and set(want.values()) == {shared if n > quality.MAX_DOCS_PER_HOST else 0}
+
+
 def test_urls(spark):
     rows = [(1, None), (2, ""), (3, "no scheme"), (4, "http://"), (5, "HTTP://A.Example.NET/en/x?u=http://b.org/fr/"), (5, "HTTP://A.Example.NET/en/x?u=http://b.org/fr/"), (None, "x://net"), (6, "x://net/"), (7, "x://notnet/"), (8, "x://a.org/frx"), (9, "x://example.com/de/" + "a" * 50_000), (10, "x://..net./")]
     pages = spark.createDataFrame([(*r, 1, 2) for r in rows], "page_id long, url string, host int, digest int")
