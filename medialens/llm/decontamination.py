@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from medialens.llm.runtime import col, map_arrow, map_arrow_rows
 from medialens.llm.words import U64, Words, blocks, hash_words, window_hashes
 
-#: The masks, of six to eight words each; the last also spans every fifth word changed.
-MASKS = ("111111", "1101011001", "1110010011", "10110110001", "1111011101")
+#: Every stretch of 8 words or more that counts has one of these. With at most a fifth of its words changed,
+#: four equal words follow each other somewhere, unless it has 10, 11 or 15 words; then the second fits.
+MASKS = ("1111", "111011")
 #: A stretch counts from so many words (or the whole item, if that is shorter) ...
 MIN_OVERLAP = 13
 #: ... of which so many in a hundred are equal.

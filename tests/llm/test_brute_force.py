@@ -1,6 +1,7 @@
 """Operators that SQL can't express, against plain versions of what they compute."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -212,6 +213,32 @@ def test_substitutions_are_tolerated(spark):
     assert sorted(r.doc_id for r in decontamination.without_leaks(docs, bench).collect()) == [2, 3]
 
 
+def accepted_patterns(n):
+    """All ways in which the words of a stretch of n agree (1) that count as a leak."""
+    for k in range(n * (100 - decontamination.MIN_PERCENT) // 100 + 1):
+        for changed in itertools.combinations(range(1, n - 1), k):
+            yield [int(i not in changed) for i in range(n)]
+
+
+def test_every_accepted_pattern_has_a_seed():
+    seeds = [decontamination._offsets(m) for m in decontamination.MASKS]
+    for n in range(decontamination.MIN_ITEM_WORDS, 22):
+        for p in accepted_patterns(n):
+            assert any(all(p[i + o] for o in s) for s in seeds for i in range(n - max(s))), p
+
+
+def test_short_items_with_substituted_words_leak():
+    word = "w{}x{}".format
+    items = [(n, " ".join(word(n, i) for i in range(n))) for n in range(8, 17)]
+    texts, want = [], []
+    for k, (n, _) in enumerate(items):
+        for p in accepted_patterns(n):
+            texts.append("before it " + " ".join(word(n, i) if equal else "other" for i, equal in enumerate(p)) + " after")
+            want.append(k)
+    found = decontamination.find_leaks(hash_words(pa.array(texts)), decontamination.index_items(items))
+    assert set(found) == set(enumerate(want))
+
+
 # toxicity
 
 
