@@ -3,8 +3,9 @@
 Two models, of toxic and of ordinary texts, back off from pairs of words to words, to stems (the first eight
 down to four bytes of a word) and at last to one distribution that both share. How an expression spreads
 over its longer forms is also shared: by continuation counts, in how many different contexts it stands in the
-whole corpus. Expressions that the labelled rows hold too rarely are read by their
-stem in both models. A text's score comes from its length-normalised log-likelihood ratios, over all of it and
+whole corpus. They are a written table of all words and stems of all documents, which grows with the corpus.
+Expressions that the labelled rows hold too rarely are read by their stem in both models: without counts of the
+classes their shared counts cancel out in the ratio. A text's score comes from its length-normalised log-likelihood ratios, over all of it and
 over its most toxic window, through a logistic fit on labelled rows that the counts never saw.
 """
 
@@ -15,6 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -165,18 +167,57 @@ def _rank(h: np.ndarray) -> np.ndarray:
     return np.minimum(40, 41 - np.frexp((h >> U64(24)).astype(np.float64))[1]).astype(np.uint8)
 
 
-def _sketch(words: Words, tables: list[np.ndarray], starts: list[int], registers: np.ndarray, total: np.ndarray) -> None:
-    """Notes the word before each word in the registers of the longest known form, and all pairs in those of the total."""
+def _highest(key: np.ndarray, slot: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Where the highest rank of each key and register stands; by key, then register."""
+    order = np.lexsort((rank, slot, key))
+    k, s = key[order], slot[order]
+    return order[np.append((k[1:] != k[:-1]) | (s[1:] != s[:-1]), True)] if len(order) else order
+
+
+def _sketch(words: Words, texts: bytes) -> tuple[np.ndarray, list[bytes], list[bytes]]:
+    """(stem, word, registers) of each word that follows another: the hash of its shortest stem, its bytes, and register and
+    rank of the words before it, in pairs of bytes. The empty word has the registers of all pairs, 16 bits each."""
     at, pairs = pairs_of(words)
-    np.maximum.at(total, (pairs & U64(_TOTAL_REGISTERS - 1)).astype(np.int64), _rank(pairs))
+    if not len(at):
+        return np.zeros(0, np.int64), [], []
+    total, rank = (pairs & U64(_TOTAL_REGISTERS - 1)).astype(np.uint16), _rank(pairs)
+    best = _highest(total, total, rank)
+    stems, names, packed = [np.zeros(1, np.int64)], [b""], [np.stack([total[best], rank[best].astype(np.uint16)], 1).tobytes()]
     before = mix(words.hash[at - 1] + U64(7))
-    low, rank = (before & U64(_REGISTERS - 1)).astype(np.int64), _rank(before)
-    rest = np.arange(len(at))
+    register, rank = (before & U64(_REGISTERS - 1)).astype(np.uint8), _rank(before)
+    best = _highest(words.hash[at], register, rank)
+    at, filled = at[best], np.stack([register[best], rank[best]], 1).tobytes()
+    first = np.flatnonzero(np.append(True, words.hash[at[1:]] != words.hash[at[:-1]]))
+    stems.append(words.prefix[STEMS[0]][at[first]].view(np.int64))
+    names += [texts[a:b] for a, b in zip(words.start[at[first]].tolist(), words.end[at[first]].tolist(), strict=True)]
+    packed += [filled[2 * a : 2 * b] for a, b in zip(first.tolist(), [*first[1:].tolist(), len(at)], strict=True)]
+    return np.concatenate(stems), names, packed
+
+
+def _merge(names: pa.Array, packed: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(level, keys, estimated counts) from the rows of _sketch() that have the same stems."""
+    total = np.asarray(pc.equal(pc.binary_length(names), 0))
+    if total.any():
+        registers = np.zeros((1, _TOTAL_REGISTERS), np.uint8)
+        for raw in packed.filter(pa.array(total)):
+            slot, rank = np.frombuffer(raw.as_buffer(), np.uint16).reshape(-1, 2).T
+            np.maximum.at(registers[0], slot, rank.astype(np.uint8))
+        yield -1, np.zeros(1, U64), estimate(registers)
+    names, packed = names.filter(pa.array(~total)), packed.filter(pa.array(~total))
+    if not len(names):
+        return
+    words = words_of(names)
+    of = np.repeat(np.arange(len(names)), np.asarray(pc.binary_length(packed)) // 2)
+    register, rank = np.frombuffer(b"".join(packed.to_pylist()), np.uint8).reshape(-1, 2).T
     for level in range(WORD, -1, -1):
-        slot, known = find(tables[level], keys_of(words, level)[at[rest]])
-        hit = rest[known]
-        np.maximum.at(registers, (starts[level] + slot[known]) * _REGISTERS + low[hit], rank[hit])
-        rest = rest[~known]
+        # what stands before a longer form also stands before its stem, so each level goes on from what the last one left
+        key = keys_of(words, level)[of]
+        best = _highest(key, register, rank)
+        key, of, register, rank = key[best], of[best], register[best], rank[best]
+        first = np.append(True, key[1:] != key[:-1])
+        registers = np.zeros((int(first.sum()), _REGISTERS), np.uint8)
+        registers[np.cumsum(first) - 1, register] = rank
+        yield level, key[first], estimate(registers)
 
 
 def estimate(registers: np.ndarray) -> np.ndarray:
@@ -188,43 +229,31 @@ def estimate(registers: np.ndarray) -> np.ndarray:
     return np.where((raw <= 2.5 * m) & (empty > 0), m * np.log(m / np.maximum(empty, 1)), raw)
 
 
-def continuation_counts(texts: DataFrame, tables: list[np.ndarray], parents: list[np.ndarray], chunk: int = 1 << 19) -> tuple[list[np.ndarray], float]:
-    """(for each known expression, in how many contexts it stands; number of different pairs) over all texts.
+def continuation_counts(texts: DataFrame) -> DataFrame:
+    """level, key, stands of all words and stems of all texts: in how many contexts they stand, estimated from registers.
+    Level -1 has the number of different pairs, if there are any.
 
-    Each task sends its registers once (16 bytes a known expression); they are merged by chunk as they stream by.
-    What stands before a longer form also stands before its stem.
+    Each block of text sends a row for each of its different words, so a frequent one is as light as others. All forms
+    of a word meet by its shortest stem: one shuffle serves all levels.
     """
-    starts = [0, *np.cumsum([len(t) for t in tables]).tolist()]
-    known = starts[-1] * _REGISTERS
-    size = known + _TOTAL_REGISTERS
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        registers = np.zeros(size, np.uint8)
         for batch in batches:
-            for part in blocks(batch, 0, 3_000_000):
-                _sketch(words_of(part.column(0)), tables, starts, registers[:known], registers[known:])
-        if registers.any():
-            cuts = range(0, size, chunk)
-            yield pa.RecordBatch.from_arrays([pa.array(list(cuts), pa.int64()), pa.array([registers[s : s + chunk].tobytes() for s in cuts], pa.binary())], names=["start", "registers"])
+            for part in blocks(batch, 0, 8_000_000):
+                lower = pc.utf8_lower(pc.fill_null(part.column(0).cast(pa.large_string()), ""))
+                stems, names, packed = _sketch(words_of(lower), "".join(lower.to_pylist()).encode())
+                yield pa.RecordBatch.from_arrays([pa.array(stems), pa.array(names, pa.binary()), pa.array(packed, pa.binary())], names=["stem", "word", "registers"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merged: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for start, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = np.frombuffer(raw.as_buffer(), np.uint8)
-                merged[start] = np.maximum(merged[start], found) if start in merged else found.copy()
-        if merged:
-            yield pa.RecordBatch.from_arrays([pa.array(list(merged), pa.int64()), pa.array([v.tobytes() for v in merged.values()], pa.binary())], names=["start", "registers"])
-
-    schema = "start bigint, registers binary"
-    parts = map_arrow(map_arrow(texts, gather, schema).repartition(max(1, -(-size // chunk)), "start"), merge, schema)
-    registers = np.zeros(size, np.uint8)
-    for start, raw in parts.toLocalIterator():
-        registers[start : start + len(raw)] = np.frombuffer(bytes(raw), np.uint8)
-    levels = [registers[a * _REGISTERS : b * _REGISTERS].reshape(-1, _REGISTERS) for a, b in zip(starts, starts[1:], strict=False)]
-    for k in range(len(tables) - 1, 0, -1):
-        np.maximum.at(levels[k - 1], parents[k], levels[k])
-    return [estimate(x) for x in levels], float(estimate(registers[known:].reshape(1, -1))[0])
+        rows = pa.Table.from_batches(batches, pa.schema([("stem", pa.int64()), ("word", pa.binary()), ("registers", pa.binary())])).combine_chunks()
+        if len(rows):
+            for level, key, stands in _merge(rows["word"].combine_chunks().cast(pa.string()), rows["registers"].combine_chunks()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), level, np.int32)), pa.array(key.view(np.int64)), pa.array(stands)], names=["level", "key", "stands"])
+
+    filled = map_arrow(texts, gather, "stem bigint, word binary, registers binary")
+    # in proportion to the input, so that what a task holds is bounded
+    n = max(48, 4 * texts.rdd.getNumPartitions())
+    return map_arrow(filled.repartition(n, "stem"), merge, "level int, key bigint, stands double")
 
 
 def _model(keys: list[np.ndarray], counts: list[np.ndarray], parents: list[np.ndarray], contexts: np.ndarray, totals: np.ndarray, stands: list[np.ndarray], pairs: float) -> Model:
@@ -273,24 +302,25 @@ def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     rows of both classes every score is 0.
     """
     labelled = written(_labelled(df, labels, doc_id, text, label, max_labelled), "labelled")
-    found = _class_counts(labelled.filter("NOT for_curve")).filter((F.col("level") < 0) | (F.col("ordinary") + F.col("toxic") >= MIN_COUNT)).toArrow()
-    level, key = np.asarray(found["level"]), np.asarray(found["key"]).view(U64)
+    shared = written(continuation_counts(df.select(col(text).alias("text"))), "contexts")
+    kept = _class_counts(labelled.filter("NOT for_curve")).filter((F.col("level") < 0) | (F.col("ordinary") + F.col("toxic") >= MIN_COUNT))
+    # an expression that only begins texts stands in no context
+    found = kept.join(shared, ["level", "key"], "left").fillna(0.0, ["stands"]).toArrow()
+    level, key, contexts_of = np.asarray(found["level"]), np.asarray(found["key"]).view(U64), np.asarray(found["stands"])
     both = np.stack([np.asarray(found[c]).astype(np.float64) for c in ("ordinary", "toxic")], 1)
     up = {c: np.asarray(found[c]).view(U64) for c in ("parent", "context")}
-    totals = both[level < 0].sum(axis=0) if (level < 0).any() else np.zeros(2)
-    keys, counts, parents, contexts = [], [], [], np.zeros(0, np.int64)
+    totals, pairs = both[level < 0].sum(axis=0), float(contexts_of[level < 0].sum())
+    keys, counts, parents, stands, contexts = [], [], [], [], np.zeros(0, np.int64)
     for k in range(PAIR + 1):
         at = np.flatnonzero(level == k)
         at = at[np.argsort(key[at])]
-        slot, known = find(keys[k - 1], up["parent"][at]) if k else (np.zeros(len(at), np.int64), np.ones(len(at), bool))
+        # what an expression is made of is held as often as it, so it is kept too
+        parents.append(find(keys[k - 1], up["parent"][at])[0] if k else np.zeros(len(at), np.int64))
         if k == PAIR:
-            contexts, first_known = find(keys[WORD], up["context"][at])
-            known &= first_known
-            contexts = contexts[known]
-        keys.append(key[at][known])
-        counts.append(both[at][known])
-        parents.append(slot[known])
-    stands, pairs = continuation_counts(df.select(col(text).alias("text")), keys[:PAIR], parents[:PAIR])
+            contexts = find(keys[WORD], up["context"][at])[0]
+        keys.append(key[at])
+        counts.append(both[at])
+        stands.append(contexts_of[at])
     model = _model(keys, counts, parents, contexts, totals, stands, pairs)
     seen, toxic = _curve_rows(labelled.filter("for_curve"), model)
     if totals.min() > 0 and 0 < toxic.sum() < len(toxic):

@@ -276,6 +276,28 @@ def test_distinct_counts_are_near():
         assert abs(np.mean(found) / n - 1) < 0.25
 
 
+def test_shared_counts_hold_all_words_of_all_texts(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 12)))
+    vocabulary = [word() for _ in range(60)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 80))) for _ in range(40)] + ["once snotwaffles", None, ""]
+    before, pairs = defaultdict(set), set()
+    for t in texts:
+        w = normal_words(t)
+        for a, b in zip(w, w[1:], strict=False):
+            pairs.add((a, b))
+            for level, form in enumerate([*[b[:k] for k in toxicity.STEMS], b]):
+                before[level, form].add(a)
+    got = {(r.level, r.key): r.stands for r in toxicity.continuation_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)).collect()}
+    forms = sorted(before)
+    words = toxicity.words_of(pa.array([f for _, f in forms]))
+    keys = [int(toxicity.keys_of(words, level)[i].view(np.int64)) for i, (level, _) in enumerate(forms)]
+    assert {(level, key) for (level, _), key in zip(forms, keys, strict=True)} | {(-1, 0)} == set(got)
+    ratios = [got[level, key] / len(before[level, form]) for (level, form), key in zip(forms, keys, strict=True)]
+    assert abs(np.mean(ratios) - 1) < 0.1 and abs(got[-1, 0] / len(pairs) - 1) < 0.1
+    assert got[toxicity.WORD, int(toxicity.keys_of(toxicity.words_of(pa.array(["snotwaffles"])), toxicity.WORD)[0].view(np.int64))] == pytest.approx(1, abs=0.1)
+
+
 # near duplicates
 
 
