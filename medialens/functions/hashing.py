@@ -10,14 +10,17 @@ from pyspark.sql.types import StringType
 
 def median64(values: Column) -> Column:
     """Median of 64 numbers: the mean of the middle two."""
-    s = F.array_sort(values)
-    return (F.get(s, F.lit(31)) + F.get(s, F.lit(32))) / 2
+    return F.get(F.transform(F.array(F.sort_array(values)), lambda s: (F.get(s, F.lit(31)) + F.get(s, F.lit(32))) / 2), F.lit(0))
 
 
 def perceptual_bits(values: Column) -> Column:
     """64 bits, one for each value above the median, the first value in the highest bit, as a signed long."""
-    m = median64(values)
-    return F.aggregate(F.transform(values, lambda x: F.when(x > m, F.lit(1)).otherwise(F.lit(0)).cast("bigint")), F.lit(0).cast("bigint"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b))
+
+    def against(m: Column) -> Column:
+        return F.aggregate(values, F.lit(0).cast("bigint"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(F.when(x > m, F.lit(1)).otherwise(F.lit(0)).cast("bigint")))
+
+    # the median is the element of an array, so that it is computed once and not for each value
+    return F.get(F.transform(F.array(median64(values)), against), F.lit(0))
 
 
 def hex64(bits: Column) -> Column:
@@ -53,16 +56,15 @@ def perceptual_hash(pixels: pd.Series) -> pd.Series:
     import numpy as np
 
     k = np.arange(32)
-    basis = np.cos(np.pi * (2 * k[None, :] + 1) * k[:, None] / 64) * np.sqrt(np.where(k == 0, 1 / 32, 2 / 32))[:, None]
-
-    def one(p) -> str | None:
-        if p is None or len(p) != 1024:
-            return None
-        low = (basis @ np.asarray(p, float).reshape(32, 32) @ basis.T)[:8, :8].ravel()
-        bits = low > np.median(low)
-        return f"{int(''.join('1' if b else '0' for b in bits), 2):016x}"
-
-    return pixels.map(one)
+    basis = (np.cos(np.pi * (2 * k[None, :] + 1) * k[:, None] / 64) * np.sqrt(np.where(k == 0, 1 / 32, 2 / 32))[:, None])[:8]
+    whole = pixels.map(lambda p: p is not None and len(p) == 1024).to_numpy(bool)
+    out = np.full(len(pixels), None, object)
+    if whole.any():
+        grey = np.stack([np.asarray(p, float) for p in pixels[whole]]).reshape(-1, 32, 32)
+        low = (basis @ grey @ basis.T).reshape(-1, 64)
+        packed = np.packbits(low > np.median(low, axis=1)[:, None], axis=1)
+        out[whole] = [row.tobytes().hex() for row in packed]
+    return pd.Series(out, index=pixels.index)
 
 
 def params_hash(params_json: Column) -> Column:

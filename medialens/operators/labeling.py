@@ -7,12 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from medialens.functions.frames import small_side
 from medialens.functions.metrics import clamp01, logistic, softmax_over
 from medialens.functions.vectors import dot, l2_normalize, mean_by
 
-#: Prototype tables up to so many rows are broadcast; larger ones shuffle.
-SMALL = 20_000
-
 # Scene types and attributes with their label keys.
 SCENES = ("landscape", "snapshot", "people", "animals", "food", "product", "document", "screenshot", "other")
 ATTRIBUTES = ("has_person", "has_text", "is_document", "is_screenshot", "has_animal")
@@ -26,7 +24,7 @@ def scene_key(scene_type):
 
 def _near(df: DataFrame, other: DataFrame) -> DataFrame:
     """All pairs of df with a table of vocabulary size: broadcast if it is checked to be small."""
-    return df.crossJoin(F.broadcast(other) if other.limit(SMALL + 1).count() <= SMALL else other)
+    return df.crossJoin(small_side(other))
 
 
 def prototypes(vectors: DataFrame, key: str, vec: str = "v") -> DataFrame:
@@ -45,8 +43,7 @@ def ranked_labels(targets: DataFrame, protos: DataFrame, allowed: DataFrame | No
     if allowed is None:
         pairs = _near(units, protos)
     else:
-        small = F.broadcast(allowed) if allowed.limit(SMALL + 1).count() <= SMALL else allowed
-        pairs = units.join(small, "scene_key").join(F.broadcast(protos) if protos.limit(SMALL + 1).count() <= SMALL else protos, "label_key")
+        pairs = units.join(small_side(allowed), "scene_key").join(small_side(protos), "label_key")
     scored = pairs.select("target_id", "label_key", dot(F.col("__u"), F.col("proto")).alias("similarity"))
     w = Window.partitionBy("target_id").orderBy(F.desc("similarity"), "label_key")
     top = scored.withColumn("sim_rank", F.row_number().over(w) - 1)
@@ -71,8 +68,8 @@ def allow_table(spark: SparkSession, labels: DataFrame, whitelist: Sequence[str]
 def blacklist_and_remap(rows: DataFrame, blacklist: DataFrame, remap: DataFrame) -> DataFrame:
     """Rows without labels of the blacklist (source_key), which is held against the key before it is replaced by remap
     (source_key, target_key)."""
-    kept = rows.join(F.broadcast(blacklist.select(F.col("source_key").alias("label_key"))), "label_key", "left_anti")
-    names = F.broadcast(remap.select(F.col("source_key").alias("label_key"), "target_key"))
+    kept = rows.join(small_side(blacklist.select(F.col("source_key").alias("label_key"))), "label_key", "left_anti")
+    names = small_side(remap.select(F.col("source_key").alias("label_key"), "target_key"))
     return kept.join(names, "label_key", "left").withColumn("label_key", F.coalesce("target_key", "label_key")).drop("target_key")
 
 

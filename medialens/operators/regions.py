@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from medialens.functions.frames import small_side
 from medialens.functions.geometry import box, fallback_box, iou, priority
 
 
@@ -20,29 +20,32 @@ def iou_pairs(regions: DataFrame, threshold: float) -> DataFrame:
 def non_max_suppression(regions: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The regions that stay when, by falling score (then index), each box drops later ones that overlap it by the threshold.
 
-    Greedy and whatever the class. A threshold of 0 or less keeps all. The order matters, so an image is one group
-    (a detector gives it at most some hundred boxes); only its boxes travel.
+    Greedy and whatever the class. A threshold of 0 or less keeps all. The boxes of an image are one array (a detector gives
+    it at most some hundred), over which the greedy pass folds; nothing leaves the JVM.
     """
     if threshold <= 0:
         return regions
-    fields = regions.schema
-
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values(["score", "idx"], ascending=[False, True], kind="stable")
-        x0, y0, x1, y1 = (rows[c].to_numpy(float) for c in ("x_min", "y_min", "x_max", "y_max"))
-        size = ((x1 - x0) * (y1 - y0)).clip(min=0)
-        kept: list[int] = []
-        for i in range(len(rows)):
-            k = kept
-            w = (x1[k].clip(max=x1[i]) - x0[k].clip(min=x0[i])).clip(min=0)
-            h = (y1[k].clip(max=y1[i]) - y0[k].clip(min=y0[i])).clip(min=0)
-            both = w * h
-            union = size[k] + size[i] - both
-            if not ((both > 0) & (union > 0) & (both >= threshold * union)).any():
-                kept.append(i)
-        return rows.iloc[kept]
-
-    return regions.groupBy("image_id").applyInPandas(keep, fields)
+    corners = ("x_min", "y_min", "x_max", "y_max")
+    groups = regions.groupBy("image_id").agg(F.collect_list(F.struct(*regions.columns)).alias("__all"))
+    # rows may hold types without an order, so only their keys and places are sorted
+    key = lambda s, i: F.struct(F.coalesce(-s["score"].cast("double"), F.lit(float("inf"))).alias("down"), s["idx"].alias("idx"), *[s[c].alias(c) for c in corners], i.alias("i"))
+    ordered = F.transform(F.sort_array(F.transform("__all", key)), lambda k: F.get(F.col("__all"), k["i"]))
+    groups = groups.select(F.when(F.size("__all") == 1, F.col("__all")).otherwise(_kept(ordered, threshold)).alias("__kept"))
+    return groups.select(F.inline("__kept"))
+
+
+def _kept(rows: Column, threshold: float) -> Column:
+    """Fold over an ordered array of boxes: those that none of the kept ones before them overlaps so much."""
+
+    def drops(a: Column, b: Column) -> Column:
+        corners = ("x_min", "y_min", "x_max", "y_max")
+        (ax0, ay0, ax1, ay1), (bx0, by0, bx1, by1) = ([s[c].cast("double") for c in corners] for s in (a, b))
+        none = F.lit(0.0)
+        both = F.greatest(none, F.least(ax1, bx1) - F.greatest(ax0, bx0)) * F.greatest(none, F.least(ay1, by1) - F.greatest(ay0, by0))
+        union = F.greatest(none, (ax1 - ax0) * (ay1 - ay0)) + F.greatest(none, (bx1 - bx0) * (by1 - by0)) - both
+        return F.coalesce((both > 0) & (union > 0) & (both >= threshold * union), F.lit(False))
+
+    return F.aggregate(rows, F.slice(rows, 1, 0), lambda kept, b: F.when(F.exists(kept, lambda a: drops(a, b)), kept).otherwise(F.concat(kept, F.array(b))))
 
 
 def with_priority(regions: DataFrame, gamma: float = 0.3, center_penalty: float = 0.6) -> DataFrame:
@@ -66,7 +69,7 @@ def pruned(ranked: DataFrame, max_regions: int = 10, min_priority: float = 0.03,
 
 def caption_labels(captions: DataFrame, keywords: DataFrame) -> DataFrame:
     """image_id, label of the first keyword group (lowest ord) that a caption holds. keywords: ord, keyword, label."""
-    hit = captions.join(F.broadcast(keywords), F.contains(F.lower("caption"), F.lower("keyword")))
+    hit = captions.join(small_side(keywords), F.contains(F.lower("caption"), F.lower("keyword")))
     return hit.groupBy("image_id").agg(F.min_by("label", F.struct("ord", "keyword")).alias("label"))
 
 

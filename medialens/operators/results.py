@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from medialens.functions.frames import small_side
 from medialens.functions.geometry import area, box
 from medialens.functions.vectors import l2_normalize
 from medialens.operators import regions as reg
@@ -34,7 +35,7 @@ def cluster_candidates(regions: DataFrame, score_min: float = 0.4, low: float =
 
 def type_scores(scores: DataFrame, types: DataFrame) -> DataFrame:
     """image_id, scene_type, p: the best probability of the label keys of each type; `other` is there with 0 at least."""
-    best = scores.join(F.broadcast(types), "label_key").groupBy("image_id", "scene_type").agg(F.max("p").alias("p"))
+    best = scores.join(small_side(types), "label_key").groupBy("image_id", "scene_type").agg(F.max("p").alias("p"))
     other = scores.select("image_id").distinct().withColumns({"scene_type": F.lit("other"), "p": F.lit(0.0)})
     return best.unionByName(other).groupBy("image_id", "scene_type").agg(F.max("p").alias("p"))
 

@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from medialens.functions.frames import small_side
 from medialens.functions.metrics import logistic, route, top_mean
 from medialens.functions.vectors import dot
 from medialens.operators import labeling as lab
@@ -106,7 +107,7 @@ def fewshot(spark, sf):
 def recognized(spark, sf):
     """Few-shot labels whose similarity passes the label's own threshold, the three best; a sentinel where none does."""
     images, protos = s.images(spark, sf), lab.fewshot_prototypes(s.images(spark, sf).select(F.concat(F.lit("object.k"), "label").alias("label_key"), "v"), "label_key")
-    sims = images.crossJoin(F.broadcast(protos)).select("image_id", "label_key", ((dot(F.col("v"), F.col("proto")) + 1) / 2).alias("s"), "threshold").filter("s >= threshold")
+    sims = images.crossJoin(small_side(protos)).select("image_id", "label_key", ((dot(F.col("v"), F.col("proto")) + 1) / 2).alias("s"), "threshold").filter("s >= threshold")
     top = sims.withColumn("n", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("s"), "label_key"))).filter("n <= 3")
     return images.select("image_id").join(top.select("image_id", "label_key", "n"), "image_id", "left").select("image_id", F.coalesce("label_key", F.lit("unknown")).alias("label_key"), F.coalesce("n", F.lit(1)).alias("n"))
 
