@@ -7,10 +7,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from medialens.functions.vectors import bound
+
 
 def median64(values: Column) -> Column:
     """Median of 64 numbers: the mean of the middle two."""
-    return F.get(F.transform(F.array(F.sort_array(values)), lambda s: (F.get(s, F.lit(31)) + F.get(s, F.lit(32))) / 2), F.lit(0))
+    return bound(F.sort_array(values), lambda s: (F.get(s, F.lit(31)) + F.get(s, F.lit(32))) / 2)
 
 
 def perceptual_bits(values: Column) -> Column:
@@ -19,8 +21,7 @@ def perceptual_bits(values: Column) -> Column:
     def against(m: Column) -> Column:
         return F.aggregate(values, F.lit(0).cast("bigint"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(F.when(x > m, F.lit(1)).otherwise(F.lit(0)).cast("bigint")))
 
-    # the median is the element of an array, so that it is computed once and not for each value
-    return F.get(F.transform(F.array(median64(values)), against), F.lit(0))
+    return bound(median64(values), against)
 
 
 def hex64(bits: Column) -> Column:

@@ -48,5 +48,29 @@ def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
+def stripped(text: Column) -> Column:
+    """A text without white space around it."""
+    return F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+
+
+def relative_to(path: Column, root: str) -> Column:
+    """A path below a root, else the path as it is."""
+    base = root.rstrip("/") + "/"
+    return F.when(F.startswith(path, F.lit(base)), F.substring(path, F.lit(len(base) + 1), F.length(path))).otherwise(path)
+
+
+# Media types of image files; all others count as JPEG.
+MEDIA_TYPES = {".png": "image/png", ".webp": "image/webp", ".bmp": "image/bmp", ".dib": "image/bmp", ".tiff": "image/tiff", ".tif": "image/tiff", ".gif": "image/gif"}
+
+
+def media_type(path: Column) -> Column:
+    return F.coalesce(*[F.when(suffix(path) == k, F.lit(v)) for k, v in MEDIA_TYPES.items()], F.lit("image/jpeg"))
+
+
+def data_url(path: Column, content: Column) -> Column:
+    """An image file as a data URL for a remote annotator; turning and scaling pixels is a hook of the caller."""
+    return F.concat(F.lit("data:"), media_type(path), F.lit(";base64,"), F.base64(content))
+
+
 def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(basename(path), r"(\.[^.]+)$", 1))

@@ -1,9 +1,16 @@
 """Vector expressions over array columns, accumulated in double."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row: an expression that lambdas repeat would be computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def as_double(v: Column) -> Column:
     return v.cast("array<double>")
 
@@ -18,13 +25,11 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """The unit vector; null for a zero or null vector, which callers filter out."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x / n))
+    return bound(v, lambda w: bound(norm(w), lambda n: F.when(n > 0, F.transform(w, lambda x: x / n))))
 
 
 def cosine(a: Column, b: Column) -> Column:
-    d = norm(a) * norm(b)
-    return F.when(d > 0, dot(a, b) / d)
+    return bound(norm(a) * norm(b), lambda d: F.when(d > 0, dot(a, b) / d))
 
 
 def half_shift(similarity: Column) -> Column:
@@ -45,5 +50,13 @@ def mean_by(df: DataFrame, keys: list[str], vec: str, out: str) -> DataFrame:
     return summed.withColumn(out, F.transform(out, lambda x: x / F.col("n")))
 
 
+def synthetic(name: Column, size: int, bumps: dict[str, tuple[int, int]] | None = None) -> Column:
+    """A unit vector that only the name decides, for tests without a model: normal numbers from its hashes, with 2 added
+    to the elements [from, to) of each keyword of bumps that the name holds."""
+    unit = lambda i, k: (F.shiftrightunsigned(F.xxhash64(name, i, F.lit(k)), 11).cast("double") + 1) * F.lit(2.0**-53)
+    raised = lambda i: sum((F.when(F.contains(F.lower(name), F.lit(word)) & (i >= a) & (i < b), 2.0).otherwise(0.0) for word, (a, b) in (bumps or {}).items()), F.lit(0.0))
+    return l2_normalize(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.sqrt(-2 * F.log(unit(i, 1))) * F.cos(2 * F.pi() * unit(i, 2)) + raised(i)))
+
+
 def linear_head(v: Column, weights: Column, bias: Column) -> Column:
     return dot(v, weights) + bias

@@ -53,6 +53,30 @@ def scene_accuracy(truth: DataFrame, best: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("correct")).withColumn("accuracy", F.col("correct") / F.greatest(F.lit(1), F.col("n")))
 
 
+def scene_agreement(human: DataFrame, auto: DataFrame) -> DataFrame:
+    """total, correct, accuracy of automatic against human scenes (image_id, scene): total has all common images, also
+    those without a human scene, which are never correct."""
+    both = human.select("image_id", F.col("scene").alias("h")).join(auto.select("image_id", F.col("scene").alias("a")), "image_id")
+    return _accuracy(both.select(F.coalesce(F.col("h") == F.col("a"), F.lit(False)).alias("right")))
+
+
+def main_object_agreement(human: DataFrame, auto: DataFrame) -> DataFrame:
+    """total, correct, accuracy of the first of the objects (image_id, objects); images without a human object do not count."""
+    first = lambda df, name: df.select("image_id", F.get("objects", F.lit(0)).alias(name))
+    both = first(human, "h").join(first(auto, "a"), "image_id").filter("h IS NOT NULL")
+    return _accuracy(both.select(F.coalesce(F.col("h") == F.col("a"), F.lit(False)).alias("right")))
+
+
+def _accuracy(rows: DataFrame) -> DataFrame:
+    counts = rows.agg(F.count(F.lit(1)).alias("total"), F.count_if("right").alias("correct"))
+    return counts.withColumn("accuracy", ratio(F.col("correct"), F.col("total")))
+
+
+def complete_attributes(rows: DataFrame, names: Sequence[str], column: str = "attributes") -> DataFrame:
+    """Rows whose map of attributes has a value for each name; the others are left out."""
+    return rows.filter(F.forall(F.array(*[F.lit(n) for n in names]), lambda n: F.try_element_at(F.col(column), n).isNotNull()))
+
+
 def attribute_confusion(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     """attribute, tp, fp, fn, tn, precision, recall, f1 from truth (image_id, attribute, value) and the assigned
     (image_id, attribute). Only labelled attributes count."""

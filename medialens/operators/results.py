@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from medialens.functions.frames import small_side
 from medialens.functions.geometry import area, box
+from medialens.functions.metrics import route
 from medialens.functions.vectors import l2_normalize
 from medialens.operators import regions as reg
 
@@ -67,6 +68,71 @@ def suggestions(recent: DataFrame, similar: DataFrame) -> DataFrame:
     return both.groupBy("image_id", "label_key").agg(F.max("confidence").alias("confidence"))
 
 
+# Which label of a step leads to which next set of labels, and above what confidence (null: any).
+STEPS = (("Electronics", "electronics", 0.5), ("Food", "food", 0.5), ("Smartphone", "specific_products", None), ("Laptop", "specific_products", None), ("Tablet", "specific_products", None))
+
+
+def hierarchical_classes(scores: DataFrame, first: str = "general", steps=STEPS, depth: int = 3) -> DataFrame:
+    """image_id, level1, confidence1, ... of scores (image_id, label_set, label_key, p): the best label of the first set, then
+    that of the set which it leads to. One aggregation: the best label of every set, then a choice among them."""
+    best = scores.groupBy("image_id", "label_set").agg(F.max_by(F.struct("label_key", "p"), F.struct("p", "label_key")).alias("best"))
+    row = best.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("label_set", "best"))).alias("sets"))
+    for n in range(1, depth + 1):
+        if n == 1:
+            of = F.lit(first)
+        else:
+            label, p = F.col(f"level{n - 1}"), F.col(f"confidence{n - 1}")
+            fits = [F.when((label == parent) & (F.lit(True) if above is None else p > above), F.lit(following)) for parent, following, above in steps]
+            of = F.coalesce(*fits)
+        row = row.withColumn("__hit", F.try_element_at("sets", of)).withColumns({f"level{n}": F.col("__hit")["label_key"], f"confidence{n}": F.col("__hit")["p"]})
+    return row.drop("sets", "__hit")
+
+
+def batch_applied(verified: DataFrame, similar: DataFrame, confidence: float = 0.95) -> DataFrame:
+    """image_id, label_key, confidence, action of images similar (image_id, similar_id) to those with a label that people confirmed."""
+    both = verified.filter("human_verified").select("image_id", "label_key").join(similar, "image_id")
+    return both.select(F.col("similar_id").alias("image_id"), "label_key", F.lit(confidence).alias("confidence"), F.lit("batch_applied").alias("action")).distinct()
+
+
+def correction_alerts(annotations: DataFrame, at_least: int = 5) -> DataFrame:
+    """predicted, actual, n of the corrections that were made so often that training again is worth it."""
+    fixes = annotations.filter(F.col("predicted") != F.col("actual")).groupBy("predicted", "actual").agg(F.count(F.lit(1)).alias("n"))
+    return fixes.filter(F.col("n") >= at_least)
+
+
+# Keys and messages of the annotation screen by kind of confidence.
+ACTIONS = {"auto": ("Space:Confirm", "X:Skip", "E:Edit"), "suggest": ("1-4:Choose suggestion", "T:Enter custom label", "X:Skip"), "manual": ("1-9:Use quick label", "T:Enter label", "X:Mark unknown")}
+
+
+def annotation_payloads(predictions: DataFrame, suggested: DataFrame, similar: DataFrame) -> DataFrame:
+    """image_id, level, suggestions, actions, message, similar_count for an annotation screen.
+
+    predictions: image_id, label_key, confidence; suggested: image_id, label_key, confidence (suggestions()); similar: image_id,
+    similar_id. Only unsure predictions come with suggestions: the label itself and the best three others.
+    """
+    ranked = suggested.withColumn("n", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("confidence"), "label_key"))).filter("n <= 3")
+    three = ranked.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("n", "label_key"))).alias("three"))
+    counts = similar.groupBy("image_id").agg(F.count_distinct("similar_id").alias("similar_count"))
+    both = predictions.join(three, "image_id", "left").join(counts, "image_id", "left").withColumn("level", route(F.col("confidence")))
+    others = F.coalesce(F.transform("three", lambda s: s["label_key"]), F.array().cast("array<string>"))
+    by_level = lambda values: F.coalesce(*[F.when(F.col("level") == k, v) for k, v in values.items()])
+    return both.select(
+        "image_id",
+        "level",
+        F.when(F.col("level") == "suggest", F.concat(F.array("label_key"), others)).otherwise(F.array().cast("array<string>")).alias("suggestions"),
+        by_level({k: F.array(*[F.lit(x) for x in v]) for k, v in ACTIONS.items()}).alias("actions"),
+        by_level({"auto": F.concat(F.lit("AI is confident this is: "), "label_key"), "suggest": F.lit("AI is unsure. Please confirm or adjust."), "manual": F.lit("AI cannot classify this image. Manual input required.")}).alias("message"),
+        F.coalesce("similar_count", F.lit(0)).alias("similar_count"),
+    )
+
+
+def registered_prototypes(registry: DataFrame, removed: DataFrame | None = None) -> DataFrame:
+    """label_key, category, samples, accuracy, created_at of a registry of prototypes, without the removed ones (label_key). Saving
+    and loading is a SnapshotTable's work."""
+    left = registry if removed is None else registry.join(removed.select("label_key"), "label_key", "left_anti")
+    return left.select("label_key", "category", "samples", "accuracy", "created_at")
+
+
 def flat_classes(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
     """image_id, label_key, confidence, alternatives (the next three), threshold_met, needs_review."""
     ranked = scores.withColumn("n", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("p"), "label_key"))).filter("n <= 4")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from medialens.functions.vectors import cosine
+from medialens.functions.vectors import bound, cosine
 from medialens.operators.graph import checkpointed
 
 
@@ -25,9 +25,8 @@ def _term_count(words, term: str):
 def bm25(docs: DataFrame, key: str, text: str, terms: Sequence[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """key, score of the documents that hold a term. Only rows of the terms are counted and shuffled."""
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    # the words are the element of an array, so that a text is split once and not for each term
     seen = lambda w: F.struct(F.size(w).alias("length"), F.array(*[_term_count(w, t) for t in dict.fromkeys(terms)]).alias("hits"))
-    rows = docs.select(key, F.get(F.transform(F.array(words), seen), F.lit(0)).alias("s")).select(key, "s.length", "s.hits")
+    rows = docs.select(key, bound(words, seen).alias("s")).select(key, "s.length", "s.hits")
     # read twice: once for the whole collection's numbers, once for the rows that hold a term
     rows = checkpointed(rows)
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"))

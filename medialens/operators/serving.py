@@ -12,12 +12,15 @@ from medialens.operators.graph import top_per
 MAX_PAGE = 64
 
 
-def listing(images: DataFrame, assignments: DataFrame, label_keys: Sequence[str] = (), region_hits: DataFrame | None = None, groups: DataFrame | None = None, duplicates: str = "any") -> DataFrame:
-    """Images that have all of the labels. duplicates: `any`, `hide` (no non-canonical members) or `only` (members of groups).
+def listing(images: DataFrame, assignments: DataFrame, label_keys: Sequence[str] = (), region_hits: DataFrame | None = None, groups: DataFrame | None = None, duplicates: str = "any", labels: DataFrame | None = None) -> DataFrame:
+    """Images that have all of the labels; with `labels` (label_key), those that it does not have are no condition. duplicates: `any`, `hide` (no non-canonical members) or `only` (members of groups).
 
     Each condition is a semi or anti join on the image, so none multiplies rows and none needs ids on the driver.
     """
     out = images
+    if labels is not None:  # at most as many rows as keys were asked for
+        known = {r[0] for r in labels.select("label_key").filter(F.col("label_key").isin(*label_keys)).distinct().collect()}
+        label_keys = [k for k in label_keys if k in known]
     for key in label_keys:
         out = out.join(assignments.filter(F.col("label_key") == key).select("image_id").distinct(), "image_id", "left_semi")
     if region_hits is not None:

@@ -29,6 +29,26 @@ def scene_accuracy(spark, sf):
     return ev.scene_accuracy(known, lab.best_scene(s.scenes(spark, sf))).withColumn("accuracy", r(F.col("accuracy")))
 
 
+def human_scenes(spark, sf):
+    n = F.col("vec_id")
+    human = s.images(spark, sf).filter("vec_id % 3 > 0").select("image_id", F.when(n % 4 > 0, F.concat(F.lit("s"), "label")).alias("scene"))
+    auto = s.images(spark, sf).filter("vec_id % 5 > 0").select("image_id", F.concat(F.lit("s"), F.col("label") % 7).alias("scene"))
+    return ev.scene_agreement(human, auto).withColumn("accuracy", r(F.col("accuracy")))
+
+
+def main_objects(spark, sf):
+    n = F.col("vec_id")
+    human = s.images(spark, sf).select("image_id", F.when(n % 4 > 0, F.array(F.concat(F.lit("o"), "label"), F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("objects"))
+    auto = s.images(spark, sf).filter("vec_id % 5 > 0").select("image_id", F.when(n % 6 > 0, F.array(F.concat(F.lit("o"), F.col("label") % 8))).otherwise(F.array().cast("array<string>")).alias("objects"))
+    return ev.main_object_agreement(human, auto).withColumn("accuracy", r(F.col("accuracy")))
+
+
+def complete(spark, sf):
+    d = s.table(spark, sf, "documents").join(s.table(spark, sf, "labels"), "doc_id", "left")
+    rows = d.select("doc_id", F.create_map(F.lit("quality"), F.col("quality"), F.lit("toxic"), F.col("toxic"), F.lit("long"), F.when(F.col("n_chars") > 300, 1)).alias("attributes"))
+    return ev.complete_attributes(rows, ["quality", "toxic", "long"]).select("doc_id")
+
+
 def attribute_confusion(spark, sf):
     t = s.table(spark, sf, "labels").select(F.col("doc_id").alias("image_id"), F.explode(F.array(F.struct(F.lit("quality").alias("attribute"), (F.col("quality") == 1).alias("value")), F.struct(F.lit("toxic").alias("attribute"), (F.col("toxic") == 1).alias("value")))).alias("x")).select("image_id", "x.*")
     d = s.table(spark, sf, "documents")
@@ -118,6 +138,9 @@ sw AS (SELECT attribute, threshold, tp, fp, fn, CASE WHEN tp + fp > 0 THEN tp /
 ROUNDED = "SELECT attribute, threshold, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM sw"
 TYPES, SCENES_SQL = "['phone', ' Laptop', 'screen', 'unicorn']", "['Food', 'selfie', 'rooftop', NULL]"
 QUERIES = {
+    "human_scene_agreement": (human_scenes, "WITH x AS (SELECT count(*) AS total, count(*) FILTER (vec_id % 4 > 0 AND label = label % 7) AS correct FROM embeddings WHERE vec_id % 3 > 0 AND vec_id % 5 > 0) SELECT total, correct, round(correct / total, 6) AS accuracy FROM x"),
+    "main_object_agreement": (main_objects, "WITH x AS (SELECT count(*) AS total, count(*) FILTER (vec_id % 6 > 0 AND label = label % 8) AS correct FROM embeddings WHERE vec_id % 4 > 0 AND vec_id % 5 > 0) SELECT total, correct, round(correct / total, 6) AS accuracy FROM x"),
+    "complete_attributes": (complete, "SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND toxic IS NOT NULL AND n_chars > 300"),
     "scene_accuracy": (scene_accuracy, f"WITH {IMG}, {SCENE}, b AS (SELECT image_id, label_key FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, label_key) AS n FROM sc) WHERE n = 1) SELECT count(*) AS n, count(*) FILTER (ok) AS correct, round(count(*) FILTER (ok) / count(*), 6) AS accuracy FROM (SELECT label_key = [{', '.join(f"'scene.{x}'" for x in (*lab.SCENES, 'other'))}][label + 1] AS ok FROM img LEFT JOIN b USING (image_id))"),
     "attribute_confusion": (
         attribute_confusion,

@@ -18,7 +18,7 @@ def seeds(spark, sf):
 
 
 def alias_prompts(spark, sf):
-    p = s.table(spark, sf, "part").filter("p_partkey <= 300")
+    p = s.table(spark, sf, "part")
     labels = p.select(F.concat(F.lit("object.p"), "p_partkey").alias("label_key"), F.col("p_name").alias("display_name"))
     aliases = p.filter("p_partkey % 3 > 0").select(F.concat(F.lit("object.p"), "p_partkey").alias("label_key"), F.explode(F.array(F.struct(F.when(F.col("p_partkey") % 3 == 1, "zh").alias("language"), F.col("p_brand").alias("alias_text")), F.struct(F.lit("en").alias("language"), F.col("p_type").alias("alias_text")))).alias("a")).select("label_key", "a.*")
     return tax.prompts(labels, aliases).select("label_key", F.array_join("prompts", "|").alias("prompts"))
@@ -90,6 +90,40 @@ def flat(spark, sf):
     return out.select("image_id", "label_key", r(F.col("confidence")).alias("confidence"), F.array_join("alternatives", ",").alias("alternatives"), "threshold_met", "needs_review")
 
 
+def hierarchical(spark, sf):
+    """Scores of four sets of labels, made from the image's number."""
+    n = F.col("vec_id")
+    sets = {"general": ("Electronics", "Food", "Other"), "electronics": ("Smartphone", "Laptop", "Cable"), "food": ("Pizza", "Burger"), "specific_products": ("iPhone", "ThinkPad")}
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("label_set"), F.lit(x).alias("label_key"), ((n * (7 * i + 3 * j + 5)) % 101 / 100).alias("p")) for i, (k, names) in enumerate(sets.items()) for j, x in enumerate(names)]))
+    return res.hierarchical_classes(s.images(spark, sf).select("image_id", "vec_id", rows.alias("r")).select("image_id", "r.*"))
+
+
+def applied(spark, sf):
+    i = s.images(spark, sf)
+    verified = i.select("image_id", F.concat(F.lit("k"), "label").alias("label_key"), (F.col("vec_id") % 3 == 0).alias("human_verified"))
+    similar = i.select("image_id", F.explode(F.array(*[F.format_string("%016x", F.col("vec_id") + j) for j in (1, 2)])).alias("similar_id"))
+    return res.batch_applied(verified, similar)
+
+
+def alerts(spark, sf):
+    o = s.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("predicted"), F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("c"), F.col("o_custkey") % 300)).otherwise(F.col("o_orderpriority")).alias("actual"))
+    return res.correction_alerts(o)
+
+
+def annotation_screens(spark, sf):
+    i, n = s.images(spark, sf), F.col("vec_id")
+    predictions = i.select("image_id", F.concat(F.lit("k"), "label").alias("label_key"), ((n * 31) % 100 / 100).alias("confidence"))
+    suggested = i.select("image_id", F.explode(F.array(*[F.struct(F.concat(F.lit("s"), F.lit(j)).alias("label_key"), ((n * j) % 10 / 10).alias("confidence")) for j in range(1, 6)])).alias("x")).select("image_id", "x.*")
+    similar = i.filter("vec_id % 2 = 0").select("image_id", F.explode(F.sequence(F.lit(0), n % 4)).alias("similar_id"))
+    out = res.annotation_payloads(predictions, suggested, similar)
+    return out.withColumns({"suggestions": F.array_join("suggestions", ","), "actions": F.array_join("actions", ",")})
+
+
+def registry(spark, sf):
+    rows = s.table(spark, sf, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("samples"), F.max("vec_id").alias("created_at")).select(F.concat(F.lit("k"), "label").alias("label_key"), F.when(F.col("label") < 5, "low").otherwise("high").alias("category"), "samples", (F.col("label") / 10).alias("accuracy"), "created_at")
+    return res.registered_prototypes(rows, rows.filter("category = 'low' AND accuracy > 0.25"))
+
+
 def thumbnails(spark, sf):
     w, h = res.thumbnail_size(F.col("width"), F.col("height"), 256)
     return s.images(spark, sf).select("image_id", w.alias("w"), h.alias("h"))
@@ -125,7 +159,7 @@ def model_versions(spark, sf):
 
 QUERIES = {
     "label_seeds": (seeds, "SELECT * FROM (VALUES ('scene', CAST(10 AS BIGINT), CAST(9 AS BIGINT)), ('attribute', 6, 5), ('object', 81, 80)) t(level, n, with_parent)"),
-    "alias_prompts": (alias_prompts, "SELECT 'object.p' || p_partkey AS label_key, CASE p_partkey % 3 WHEN 0 THEN p_name ELSE p_type || '|' || p_brand END AS prompts FROM part WHERE p_partkey <= 300"),
+    "alias_prompts": (alias_prompts, "SELECT 'object.p' || p_partkey AS label_key, CASE p_partkey % 3 WHEN 0 THEN p_name ELSE p_type || '|' || p_brand END AS prompts FROM part"),
     "assignment_upsert": (assignment_upsert, f"WITH {IMG}, {SCENE} SELECT image_id AS target_id, label_key, score, CASE WHEN score >= 0.3 THEN 1 ELSE 2 END AS created_at FROM sc WHERE score < 0.9"),
     "attribute_refresh": (attribute_refresh, "SELECT label_key, score, count(*) AS n FROM (SELECT 'scene.food' AS label_key, CAST(toxic AS DOUBLE) AS score FROM labels UNION ALL SELECT 'attr.toxic', CASE WHEN doc_id % 2 = 0 THEN 0.5 ELSE toxic END FROM labels WHERE doc_id % 2 <> 0 OR toxic = 1) GROUP BY ALL"),
     "region_payload_json": (payloads, f"""WITH {REG} SELECT image_id, '{{"image_id":' || image_id || ',"detections":[' || string_agg('{{"idx":' || idx || ',"bbox":{{"x_min":0.5,"y_min":0.5,"x_max":0.5,"y_max":0.5}},"detector_label":"' || label_key || '","detector_score":0.25}}', ',' ORDER BY idx) || ']}}' AS payload FROM reg GROUP BY image_id"""),
@@ -137,6 +171,15 @@ QUERIES = {
     "annotation_stats": (reviewed, "WITH o AS (SELECT o_orderpriority AS predicted, CASE WHEN o_orderkey % 4 = 0 THEN 'other' ELSE o_orderpriority END AS actual FROM orders), t AS (SELECT count(*) AS total, count(*) FILTER (predicted = actual) AS correct, round(avg(CAST(predicted = actual AS INTEGER)), 6) AS accuracy FROM o) SELECT t.*, f.* FROM t, (SELECT predicted, actual, count(*) AS n FROM o WHERE predicted <> actual GROUP BY ALL ORDER BY n DESC, predicted, actual LIMIT 5) f"),
     "label_suggestions": (suggested, "SELECT image_id, label_key, max(c) AS confidence FROM (SELECT format('{:016x}', vec_id) AS image_id, 'k' || label AS label_key, 0.7::DOUBLE AS c FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT format('{:016x}', vec_id), 'k' || ((label + j) % 10), 0.6 FROM embeddings, (VALUES (2), (3)) x(j)) GROUP BY ALL"),
     "flat_classification": (flat, f"WITH {PROTO}, sim AS (SELECT image_id, label_key, list_inner_product(u, proto) AS s FROM unit, proto), p AS (SELECT image_id, label_key, exp(s) / sum(exp(s)) OVER (PARTITION BY image_id) AS p FROM sim), k AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY p DESC, label_key) AS n FROM p) SELECT image_id, max(label_key) FILTER (n = 1) AS label_key, round(max(p), 6) AS confidence, string_agg(label_key, ',' ORDER BY n) FILTER (n > 1) AS alternatives, max(p) >= 0.12 AS threshold_met, max(p) < 0.12 AS needs_review FROM k WHERE n <= 4 GROUP BY image_id"),
+    "hierarchical_classes": (hierarchical, f"WITH {IMG}, s AS (SELECT image_id, set, label_key, (vec_id * (7 * i + 3 * j + 5)) % 101 / 100 AS p FROM img, (VALUES ('general', 0, 'Electronics', 0), ('general', 0, 'Food', 1), ('general', 0, 'Other', 2), ('electronics', 1, 'Smartphone', 0), ('electronics', 1, 'Laptop', 1), ('electronics', 1, 'Cable', 2), ('food', 2, 'Pizza', 0), ('food', 2, 'Burger', 1), ('specific_products', 3, 'iPhone', 0), ('specific_products', 3, 'ThinkPad', 1)) t(set, i, label_key, j)), "
+    "b AS (SELECT image_id, set, label_key, p FROM (SELECT *, row_number() OVER (PARTITION BY image_id, set ORDER BY p DESC, label_key DESC) AS n FROM s) WHERE n = 1), one AS (SELECT image_id, label_key AS level1, p AS confidence1 FROM b WHERE set = 'general'), "
+    "two AS (SELECT one.*, b.label_key AS level2, b.p AS confidence2 FROM one LEFT JOIN b ON b.image_id = one.image_id AND confidence1 > 0.5 AND b.set = CASE level1 WHEN 'Electronics' THEN 'electronics' WHEN 'Food' THEN 'food' END) SELECT two.*, b.label_key AS level3, b.p AS confidence3 FROM two LEFT JOIN b ON b.image_id = two.image_id AND b.set = 'specific_products' AND level2 IN ('Smartphone', 'Laptop', 'Tablet')"),
+    "batch_applied": (applied, "SELECT DISTINCT format('{:016x}', vec_id + j) AS image_id, 'k' || label AS label_key, 0.95::DOUBLE AS confidence, 'batch_applied' AS action FROM embeddings, (VALUES (1), (2)) t(j) WHERE vec_id % 3 = 0"),
+    "correction_alerts": (alerts, "SELECT o_orderpriority AS predicted, 'c' || (o_custkey % 300) AS actual, count(*) AS n FROM orders WHERE o_orderkey % 4 = 0 GROUP BY ALL HAVING count(*) >= 5"),
+    "annotation_payloads": (annotation_screens, f"WITH {IMG}, l AS (SELECT image_id, vec_id, 'k' || label AS label_key, (vec_id * 31) % 100 / 100 AS c FROM img), r AS (SELECT image_id, 's' || j AS k, row_number() OVER (PARTITION BY image_id ORDER BY (vec_id * j) % 10 DESC, 's' || j) AS n FROM img, range(1, 6) t(j)), t AS (SELECT image_id, string_agg(k, ',' ORDER BY n) AS three FROM r WHERE n <= 3 GROUP BY 1) "
+    "SELECT image_id, CASE WHEN c >= 0.8 THEN 'auto' WHEN c >= 0.5 THEN 'suggest' ELSE 'manual' END AS level, CASE WHEN c >= 0.5 AND c < 0.8 THEN label_key || ',' || three ELSE '' END AS suggestions, CASE WHEN c >= 0.8 THEN 'Space:Confirm,X:Skip,E:Edit' WHEN c >= 0.5 THEN '1-4:Choose suggestion,T:Enter custom label,X:Skip' ELSE '1-9:Use quick label,T:Enter label,X:Mark unknown' END AS actions, "
+    "CASE WHEN c >= 0.8 THEN 'AI is confident this is: ' || label_key WHEN c >= 0.5 THEN 'AI is unsure. Please confirm or adjust.' ELSE 'AI cannot classify this image. Manual input required.' END AS message, CASE WHEN vec_id % 2 = 0 THEN vec_id % 4 + 1 ELSE 0 END AS similar_count FROM l JOIN t USING (image_id)"),
+    "prototype_registry": (registry, "SELECT 'k' || label AS label_key, CASE WHEN label < 5 THEN 'low' ELSE 'high' END AS category, count(*) AS samples, label / 10 AS accuracy, max(vec_id) AS created_at FROM embeddings GROUP BY label HAVING label < 3 OR label >= 5"),
     "thumbnail_sizes": (thumbnails, f"WITH {IMG}, k AS (SELECT *, least(1.0, 256.0::DOUBLE / greatest(width, height)) AS k FROM img) SELECT image_id, CAST(greatest(1, round_even(width * k, 0)) AS INTEGER) AS w, CAST(greatest(1, round_even(height * k, 0)) AS INTEGER) AS h FROM k"),
     "current_artifacts": (artifacts, "SELECT format('{:016x}', vec_id) AS image_id, '/x/' || format('{:016x}', vec_id) AS storage_path FROM embeddings WHERE vec_id % 5 <> 0 AND vec_id % 2 = 1 AND vec_id % 3 <> 0"),
     "screenshot_score": (screenshots, "SELECT format('{:016x}', vec_id) AS image_id, round(least(1.0, (CASE WHEN vec_id % 2 = 0 THEN 0.5 ELSE 0 END) + (vec_id % 10) / 10 * 0.4 + (CASE WHEN vec_id % 7 = 0 THEN 0.3 ELSE 0 END)), 6)::DOUBLE AS score FROM embeddings"),

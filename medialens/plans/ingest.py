@@ -7,6 +7,7 @@ from medialens.functions import hashing, text
 from medialens.operators import ingest as ing
 from medialens.operators.graph import closure
 from medialens.plans import surrogates as s
+from medialens.plans.sql import IMG
 from medialens.sources.snapshot import insert_missing, upsert
 from medialens.streaming.arrivals import windowed_counts
 
@@ -26,6 +27,36 @@ def moved(spark, sf):
     return ing.merge_scan(first, two).select("image_id", "primary_path", F.array_join("all_paths", ",").alias("paths"), "status", "dirty")
 
 
+def queued(spark, sf):
+    one, two = scans(spark, sf)
+    empty = spark.createDataFrame([], "image_id string, primary_path string, all_paths array<string>, size_bytes long, mtime double, status string, dirty boolean")
+    first = ing.merge_queued(empty, one)
+    return ing.merge_queued(first, two).select("image_id", "primary_path", F.array_join("all_paths", ",").alias("paths"), "status", "dirty")
+
+
+def gps(spark, sf):
+    n = F.col("vec_id")
+    images = s.images(spark, sf).select("image_id", F.when(n % 3 == 0, n / 100.0).alias("gps_latitude"), F.when(n % 4 == 0, n / 50.0).alias("gps_longitude"))
+    payload = F.when(n % 5 == 0, "not json").when(n % 5 == 1, F.format_string('{"gps": {"latitude": "%s", "longitude": 7.5}}', n)).when(n % 5 == 2, '{"camera": 1}').otherwise(F.format_string('{"gps": {"latitude": %s, "longitude": -1.25}}', n))
+    return ing.with_gps(images, s.images(spark, sf).filter("vec_id % 7 > 0").select("image_id", payload.alias("payload")))
+
+
+def embedding_sizes(spark, sf):
+    metas = F.array(*[F.lit(x) for x in ('{"embedding_dim": 12}', '{"embedding_dim": 9.7}', '{"embedding_dim": "7"}', '{"embedding_dim": "7.5"}', "{}", "broken")])
+    return s.table(spark, sf, "embeddings").select("vec_id", ing.embedding_size(F.get(metas, (F.col("vec_id") % 6).cast("int")), F.col("embedding")).alias("size"))
+
+
+def captions(spark, sf):
+    return s.table(spark, sf, "documents").select("doc_id", text.stripped(F.concat(F.lit("\n \t"), "text", F.lit(" \r\n"))).alias("caption"))
+
+
+def data_urls(spark, sf):
+    endings = F.array(*[F.lit(x) for x in (".png", ".TIF", ".jpg", ".webp", "")])
+    p = s.table(spark, sf, "part")
+    path = F.concat(F.lit("/root/a/"), "p_partkey", F.get(endings, (F.col("p_partkey") % 5).cast("int")))
+    return p.select("p_partkey", text.relative_to(path, "/root").alias("path"), text.data_url(path, F.col("p_name").cast("binary")).alias("url"))
+
+
 def keyed_upsert(spark, sf):
     o = s.table(spark, sf, "orders").dropDuplicates(["o_orderkey"]).select("o_orderkey", F.col("o_orderkey").cast("double").alias("score"), F.lit(1).alias("created"))
     old, new = o.filter("o_orderkey % 3 <> 0"), o.filter("o_orderkey % 2 = 0").withColumns({"score": F.col("score") + 1, "created": F.lit(2)})
@@ -83,7 +114,7 @@ def patched(spark, sf):
 
 
 def stale(spark, sf):
-    rows = s.images(spark, sf).select("image_id", F.when(F.col("vec_id") % 4 != 0, "h").alias("hash"), F.when(F.col("vec_id") % 5 == 0, "old").otherwise("dct").alias("hash_algo"), "width", "height", F.when(F.col("vec_id") % 7 == 0, "deleted").otherwise("active").alias("status"))
+    rows = s.images(spark, sf).select("image_id", F.when(F.col("vec_id") % 4 != 0, "h").alias("hash"), F.when(F.col("vec_id") % 5 == 0, "old").otherwise("dct").alias("hash_algo"), "width", "height", F.when(F.col("vec_id") % 11 != 0, "2024").alias("exif_datetime"), F.when(F.col("vec_id") % 13 != 0, "x").alias("camera_model"), F.when(F.col("vec_id") % 7 == 0, "deleted").otherwise("active").alias("status"))
     return ing.stale_hashes(rows, "dct").select("image_id")
 
 
@@ -102,7 +133,14 @@ SCAN = """d AS (SELECT doc_id, md5(text) AS h, format('/p/{:08d}', doc_id) AS pa
 one AS (SELECT path, h AS image_id, sz, mt FROM d WHERE doc_id % 7 <> 3), two AS (SELECT path, CASE WHEN doc_id % 11 = 0 THEN md5(h || 'x') ELSE h END AS image_id, sz, mt FROM d WHERE doc_id % 5 <> 2),
 o AS (SELECT image_id, list(path ORDER BY path) AS ps, min(path) AS pp, arg_max(sz, path) AS sz, arg_max(mt, path) AS mt FROM one GROUP BY 1), n AS (SELECT image_id, list(path ORDER BY path) AS ps, arg_max(sz, path) AS sz, arg_max(mt, path) AS mt FROM two GROUP BY 1),
 b AS (SELECT coalesce(o.image_id, n.image_id) AS image_id, o.image_id IS NULL AS is_new, n.image_id IS NULL AS gone, pp, o.sz AS osz, n.sz AS nsz, o.mt AS omt, n.mt AS nmt, list_concat(list_filter(coalesce(o.ps, []), lambda p: list_contains(coalesce(n.ps, []), p)), list_filter(coalesce(n.ps, []), lambda p: NOT list_contains(coalesce(o.ps, []), p))) AS paths FROM o FULL JOIN n ON o.image_id = n.image_id)"""
+QUEUED = """p AS (SELECT image_id, unnest(ps) AS path FROM o), kept AS (SELECT p.image_id, list(p.path ORDER BY p.path) AS ps FROM p LEFT JOIN two ON p.path = two.path WHERE two.image_id IS NULL OR two.image_id = p.image_id GROUP BY 1),
+q AS (SELECT coalesce(o.image_id, n.image_id) AS image_id, o.pp, list_concat(coalesce(k.ps, []), list_filter(coalesce(n.ps, []), lambda x: NOT list_contains(coalesce(k.ps, []), x))) AS paths FROM o FULL JOIN n ON o.image_id = n.image_id LEFT JOIN kept k ON k.image_id = o.image_id)"""
 QUERIES = {
+    "queue_ingest": (queued, f"WITH {SCAN}, {QUEUED} SELECT image_id, CASE WHEN list_contains(paths, pp) THEN pp ELSE coalesce(paths[1], '') END AS primary_path, array_to_string(paths, ',') AS paths, CASE WHEN len(paths) = 0 THEN 'deleted' ELSE 'active' END AS status, false AS dirty FROM q"),
+    "gps_fallback": (gps, f"WITH {IMG}, m AS (SELECT vec_id, vec_id % 7 > 0 AND vec_id % 5 > 2 AS whole, vec_id % 7 > 0 AND vec_id % 5 = 1 AS half FROM embeddings) SELECT image_id, CASE WHEN vec_id % 3 = 0 THEN vec_id / 100.0 WHEN whole THEN vec_id END::DOUBLE AS gps_latitude, CASE WHEN vec_id % 4 = 0 THEN vec_id / 50.0 WHEN whole THEN -1.25 WHEN half THEN 7.5 END::DOUBLE AS gps_longitude FROM img JOIN m USING (vec_id)"),
+    "embedding_sizes": (embedding_sizes, "SELECT vec_id, [12, 9, 7, 64, 64, 64][vec_id % 6 + 1] AS size FROM embeddings"),
+    "caption_text": (captions, r"SELECT doc_id, regexp_replace(text, '^[\s\pZ]+|[\s\pZ]+$', '', 'g') AS caption FROM documents"),
+    "data_urls": (data_urls, "SELECT p_partkey, 'a/' || p_partkey || ['.png', '.TIF', '.jpg', '.webp', ''][p_partkey % 5 + 1] AS path, 'data:image/' || ['png', 'tiff', 'jpeg', 'webp', 'jpeg'][p_partkey % 5 + 1] || ';base64,' || base64(encode(p_name)) AS url FROM part"),
     "moved_paths_soft_delete": (moved, f"WITH {SCAN} SELECT image_id, CASE WHEN list_contains(paths, pp) THEN pp ELSE coalesce(paths[1], '') END AS primary_path, array_to_string(paths, ',') AS paths, CASE WHEN gone THEN 'deleted' ELSE 'active' END AS status, NOT gone AND (is_new OR osz <> nsz OR omt <> nmt) AS dirty FROM b"),
     "keyed_upsert": (keyed_upsert, "WITH o AS (SELECT DISTINCT o_orderkey AS k FROM orders) SELECT k AS o_orderkey, CAST(CASE WHEN k % 2 = 0 THEN k + 1 ELSE k END AS DOUBLE) AS score, CASE WHEN k % 3 <> 0 THEN 1 ELSE 2 END AS created FROM o WHERE k % 3 <> 0 OR k % 2 = 0"),
     "insert_missing": (insert_once, "SELECT DISTINCT o_custkey, CASE WHEN o_custkey % 3 = 0 THEN 1 ELSE 2 END AS run FROM orders"),
@@ -113,7 +151,7 @@ QUERIES = {
     "text_rules": (text_rules, "SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS image, CAST(CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE p_partkey % 9 END AS INTEGER) AS idx, '.jpg' AS suffix, p_partkey || '.JPG' AS name, CASE WHEN p_partkey % 2 = 0 THEN 'Acme ' ELSE '' END || p_brand AS camera, p_partkey % 3 = 0 AS yes, ['berry', 'box', 'cat', 'glass'][p_partkey % 4 + 1] AS singular FROM part"),
     "resume_after_cursor": (resumed, "SELECT doc_id, CAST(length(text) AS INTEGER) AS n FROM documents WHERE doc_id > 300"),
     "metadata_patch": (patched, "SELECT format('{:016x}', vec_id) AS image_id, 640 + 10 * (vec_id % 13) AS width, CASE WHEN vec_id % 3 = 0 THEN 77 WHEN vec_id % 2 = 0 THEN CAST(480 + 10 * label AS BIGINT) END AS height FROM embeddings"),
-    "stale_hashes": (stale, "SELECT format('{:016x}', vec_id) AS image_id FROM embeddings WHERE vec_id % 7 <> 0 AND (vec_id % 4 = 0 OR vec_id % 5 = 0)"),
+    "stale_hashes": (stale, "SELECT format('{:016x}', vec_id) AS image_id FROM embeddings WHERE vec_id % 7 <> 0 AND (vec_id % 4 = 0 OR vec_id % 5 = 0 OR vec_id % 11 = 0 OR vec_id % 13 = 0)"),
     "event_windows": (event_windows, "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"),
     "event_sessions": (event_sessions, "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), n AS (SELECT user_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g), c AS (SELECT user_id, k, count(*) AS n FROM n GROUP BY ALL) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY user_id"),
 }

@@ -21,8 +21,8 @@ def targets(spark, sf):
 
 
 def taxonomy(spark, sf):
-    """The tree of part types: each type, its ancestors and how far they are."""
-    types = s.table(spark, sf, "part").select(F.split("p_type", " ").alias("w")).distinct()
+    """The tree of part names below their types: each node, its ancestors and how far they are."""
+    types = s.table(spark, sf, "part").select(F.split(F.concat_ws(" ", "p_type", "p_name"), " ").alias("w")).distinct()
     nodes = types.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.struct(F.array_join(F.slice("w", F.lit(1), i), " ").alias("node"), F.when(i > 1, F.array_join(F.slice("w", F.lit(1), i - 1), " ")).alias("parent")))).alias("n"))
     return closure(nodes.select("n.*").distinct(), "node", "parent")
 
@@ -120,7 +120,7 @@ few AS (SELECT f.label_key, any_value(f.proto) AS proto, count(*) AS n, greatest
 QUERIES = {
     "label_taxonomy_paths": (
         taxonomy,
-        "WITH t AS (SELECT DISTINCT string_split(p_type, ' ') AS w FROM part), n AS (SELECT DISTINCT array_to_string(w[1:i], ' ') AS node, CASE WHEN i > 1 THEN array_to_string(w[1:i-1], ' ') END AS parent FROM t, range(1, 4) x(i) WHERE i <= len(w)), "
+        "WITH t AS (SELECT DISTINCT string_split(p_type || ' ' || p_name, ' ') AS w FROM part), n AS (SELECT DISTINCT array_to_string(w[1:i], ' ') AS node, CASE WHEN i > 1 THEN array_to_string(w[1:i-1], ' ') END AS parent FROM t, range(1, 4) x(i) WHERE i <= len(w)), "
         "up AS (SELECT a.node, a.parent AS ancestor, 1 AS depth FROM n a WHERE parent IS NOT NULL UNION ALL SELECT a.node, b.parent, 2 FROM n a JOIN n b ON a.parent = b.node WHERE b.parent IS NOT NULL) SELECT node, ancestor, CAST(min(depth) AS INTEGER) AS depth FROM up GROUP BY ALL",
     ),
     "class_prototypes": (lambda spark, sf: s.prototypes(spark, sf).select("label_key", F.posexplode("proto").alias("i", "x")).select("label_key", "i", r(F.col("x")).alias("x")), f"WITH {PROTO} SELECT label_key, CAST(i - 1 AS INTEGER) AS i, round(proto[i], 6) AS x FROM proto, range(1, 65) t(i)"),

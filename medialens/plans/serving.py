@@ -11,6 +11,12 @@ def listed(spark, sf):
     return v.listing(s.images(spark, sf).select("image_id", "label"), s.scenes(spark, sf), ["scene.food"], groups=s.groups(spark, sf), duplicates="hide")
 
 
+def unknown_label(spark, sf):
+    """A label that the vocabulary does not have is no condition."""
+    labels = s.scenes(spark, sf).select("label_key").distinct()
+    return v.listing(s.images(spark, sf).select("image_id", "label"), s.scenes(spark, sf), ["scene.food", "scene.nowhere"], labels=labels)
+
+
 def duplicates_only(spark, sf):
     return v.listing(s.images(spark, sf).select("image_id", "label"), s.scenes(spark, sf), groups=s.groups(spark, sf), duplicates="only")
 
@@ -58,6 +64,7 @@ def event_facets(spark, sf):
 
 
 QUERIES = {
+    "listing_unknown_label": (unknown_label, f"WITH {IMG}, {SCENE} SELECT image_id, label FROM img WHERE image_id IN (SELECT image_id FROM sc WHERE label_key = 'scene.food')"),
     "listing_page": (lambda spark, sf: v.page(listed(spark, sf), 2, 10), f"WITH RECURSIVE {GROUPS}, {SCENE} SELECT image_id, label FROM img WHERE EXISTS (SELECT 1 FROM sc WHERE sc.image_id = img.image_id AND label_key = 'scene.food') AND image_id NOT IN (SELECT image_id FROM grp WHERE NOT is_canonical) ORDER BY image_id LIMIT 10 OFFSET 10"),
     "listing_total": (lambda spark, sf: listed(spark, sf).agg(F.count(F.lit(1)).alias("total")), f"WITH RECURSIVE {GROUPS}, {SCENE} SELECT count(*) AS total FROM img WHERE EXISTS (SELECT 1 FROM sc WHERE sc.image_id = img.image_id AND label_key = 'scene.food') AND image_id NOT IN (SELECT image_id FROM grp WHERE NOT is_canonical)"),
     "listing_duplicates_only": (duplicates_only, f"WITH RECURSIVE {GROUPS} SELECT image_id, label FROM img WHERE image_id IN (SELECT image_id FROM grp)"),

@@ -5,6 +5,9 @@ from __future__ import annotations
 import dataclasses
 import json
 import os
+import re
+import shutil
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
@@ -129,3 +132,38 @@ def checked_cache_root(path: str | None) -> Path:
     if not text or "://" in text or text.endswith(".db"):
         raise ValueError("the cache root must be a folder")
     return Path(text)
+
+
+def masked_url(url: str) -> str:
+    """A database URL whose password can't be read, for logs."""
+    return re.sub(r"(://[^:/@?#]*):[^@/?#]*@", r"\1:***@", url)
+
+
+def checked_identifier(name: str) -> str:
+    """A name of a database or role: letters of ASCII, digits and underscores; anything else is an error."""
+    if not re.fullmatch(r"[A-Za-z0-9_]+", name or ""):
+        raise ValueError(f"not an identifier: {name!r}")
+    return name
+
+
+def checked_binary(name: str) -> str:
+    """The path of a program; an error if there is none."""
+    found = shutil.which(name)
+    if found is None:
+        raise FileNotFoundError(f"{name} is not on the path")
+    return found
+
+
+def detector_backend(enabled: bool, backend: str, known: Sequence[str] = ("owlvit", "grounding_dino")) -> str:
+    """The name of the detector to load; detection that is switched off and unknown names are errors."""
+    if not enabled:
+        raise RuntimeError("detection is switched off")
+    name = (backend or "").strip().lower()
+    if name not in known:
+        raise ValueError(f"unknown detector: {backend!r}")
+    return name
+
+
+def model_ids(*names: str | None) -> list[str]:
+    """Distinct ids of the models that a run needs, in order; for fetching them beforehand."""
+    return sorted({n.strip() for n in names if n and n.strip()})

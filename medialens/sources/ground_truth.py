@@ -15,7 +15,8 @@ ANNOTATION = (
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
     """Records of a JSON file (one object or an array) or of JSON lines; blank and broken lines are left out."""
     lines = spark.read.schema(GROUND_TRUTH + ", _broken string").option("columnNameOfCorruptRecord", "_broken").json(path)
-    good = lines.cache().filter("_broken IS NULL AND image_id IS NOT NULL").drop("_broken")
+    # a schema of all fields and the broken line, so that Spark lets the line be asked for alone
+    good = lines.filter("image_id IS NOT NULL AND _broken IS NULL").drop("_broken")
     if not good.isEmpty():
         return good
     return spark.read.schema(GROUND_TRUTH).option("multiLine", True).json(path).filter("image_id IS NOT NULL")
