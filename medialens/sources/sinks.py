@@ -44,7 +44,8 @@ def write_vectors(df: DataFrame, path: str, key: str = "image_id", vector: str =
 
 
 def read_captions(spark: SparkSession, folder: str, ending: str = ".txt") -> DataFrame:
-    """image_id (the file's name without its ending), caption of the caption files below a folder, without white space around."""
+    """image_id (the file's name without its ending), caption of the caption files below a folder, without white space around.
+    Files without a byte, which Spark's readers pass over, give no row."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{ending}").load(folder)
     name = basename(F.col("path"))
     return files.select(F.substring(name, F.lit(1), F.length(name) - len(ending)).alias("image_id"), stripped(F.col("content").cast("string")).alias("caption"))

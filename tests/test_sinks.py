@@ -45,7 +45,7 @@ def test_vectors_and_heads(spark, tmp_path):
 def test_captions(spark, tmp_path):
     (tmp_path / "c" / "d").mkdir(parents=True)
     (tmp_path / "c" / "one.txt").write_text("\n a dog \n", encoding="utf-8")
-    (tmp_path / "c" / "d" / "two.txt").write_text("", encoding="utf-8")
+    (tmp_path / "c" / "d" / "two.txt").write_text(" \n", encoding="utf-8")
     (tmp_path / "c" / "three.md").write_text("no")
     assert sorted(tuple(r) for r in sinks.read_captions(spark, str(tmp_path / "c")).collect()) == [("one", "a dog"), ("two", "")]
 
