@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from medialens.operators.graph import shared_folder
+
 #: White space of the word rule `[^\x20\x09-\x0D]+`.
 SPACE = " \t\n\x0b\x0c\r"
 #: The same as a character class of a Java regular expression.
@@ -37,20 +39,9 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
-    context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    current = context._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="medialens-checkpoint-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a checkpoint in the shared folder, which outlives executors."""
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -111,7 +102,7 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again; deleted when the application ends."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/medialens-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/medialens-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -1,11 +1,14 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences: they end at `.`, `!`, `?` or a line's end between two words. Stretches of more than
-twice `SIDE` words without such an end are also cut before words whose hash says so. All cuts depend on the words around them
-only, so a passage is cut alike wherever it stands, also in the middle of a sentence. From each sentence
-on, the shortest run of at least `span` sentences and `min_words` words is hashed. Runs are grouped by hash over the
-whole corpus; the first occurrence, by document and place, stays, and sentences that any other occurrence covers
-are removed.
+A text is cut into sentences: they end at `.`, `!`, `?` or a line's end between two words. Longer sentences than
+`WINDOW` words are cut further: of any so many words in a row without a sentence's start, the one with the lowest hash
+(the last of equals) starts a piece. All cuts depend on the words around them only, so a passage is cut alike wherever it
+stands, also in the middle of a sentence, and no stretch of so many words goes without one. From each piece on, the shortest
+run of at least `span` pieces and `min_words` words is hashed, and the shortest such run that ends with the text. Runs are
+grouped by hash over the whole corpus; the first occurrence, by document and place, stays, and sentences that any other occurrence covers are removed.
+
+Copies of a passage share a cut within its first WINDOW + 1 words, and all cuts from there on up to the last WINDOW words.
+A run ends at most WINDOW - 1 words late, so every repeated passage of min_words + 3 * WINDOW - 1 = 50 words is found.
 """
 
 from __future__ import annotations
@@ -19,101 +22,132 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medialens.llm.runtime import col, fresh, map_arrow, map_arrow_rows, written
-from medialens.llm.words import U64, _BASE, _INVERSE, Words, blocks, hash_words, mix
+from medialens.llm.words import U64, Words, blocks, hash_words, mix, powers
 
-SPAN = 2
-MIN_WORDS = 12
-#: Words without an end on either side of a cut inside a sentence, and how many such words there are for a cut.
-SIDE, ONE_IN = 6, 8
+SPAN = 3
+MIN_WORDS = 24
+#: Of so many words in a row one at least starts a piece.
+WINDOW = 9
+#: Taken off the places of runs that end with their text.
+LAST = 1 << 31
 
 _STOPS = np.zeros(256, bool)
 _STOPS[[10, 33, 46, 63]] = True
 
 
 class Spans:
-    """Sentences of some texts in order: row, place (index in the row), start (byte in the row's text), hash of the
-    run that starts there, until (place of the sentence after it), and whether there is one; first: as in Words."""
+    """Pieces of some texts in order: row, start (byte in the row's text), until (place of the piece after the run that
+    starts there); first: as in Words. Runs have the piece that they start with (origin), a hash, a check of 32 more bits, and
+    place: that piece's place in the row, less LAST if the run is one that ends with the text."""
 
-    __slots__ = ("row", "place", "start", "hash", "until", "there", "first")
+    __slots__ = ("row", "start", "until", "first", "origin", "place", "hash", "check")
 
 
-def sentence_starts(words: Words, data: np.ndarray) -> np.ndarray:
-    """Whether each word starts a sentence."""
-    n, index = len(words.hash), np.arange(len(words.hash))
+def piece_starts(words: Words, data: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Whether each word starts a piece."""
+    n = len(words.hash)
     stops = np.concatenate([[0], np.cumsum(_STOPS[data], dtype=np.int64)])
     starts = np.ones(n, bool)
     starts[1:] = (stops[words.start[1:]] > stops[words.end[:-1]]) | (words.row[1:] != words.row[:-1])
-    opened = np.maximum.accumulate(np.where(starts, index, 0))
-    closes = np.append(starts[1:], True)
-    closed = np.minimum.accumulate(np.where(closes, index, n)[::-1])[::-1]
-    return starts | ((index - opened >= SIDE) & (closed - index >= SIDE) & (words.hash % U64(ONE_IN) == 0))
-
-
-def spans_of(texts: pa.Array, span: int = SPAN, min_words: int = MIN_WORDS) -> Spans:
+    if n >= window:
+        key = words.hash.copy()
+        key[starts] = 0  # a window that a sentence starts in has its cut already
+        low, at = key[: n - window + 1].copy(), np.arange(n - window + 1)
+        for k in range(1, window):
+            other = key[k : n - window + 1 + k]
+            less = other <= low
+            low[less] = other[less]
+            at[less] = np.flatnonzero(less) + k
+        starts[at] = True
+    return starts
+
+
+def spans_of(texts: pa.Array, span: int = SPAN, min_words: int = MIN_WORDS, hashes: bool = True) -> Spans:
+    """Pieces and, with hashes, the hashes of their runs."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     words = hash_words(texts, lower=False)
     n_rows, out = len(texts), Spans()
     offsets = np.frombuffer(texts.buffers()[1], np.int64, count=n_rows + 1, offset=texts.offset * 8) if n_rows else np.zeros(1, np.int64)
     n = len(words.hash)
     if not n:
-        out.row = out.place = out.start = out.until = np.zeros(0, np.int64)
-        out.hash, out.there, out.first = np.zeros(0, U64), np.zeros(0, bool), np.zeros(n_rows + 1, np.int64)
+        out.row = out.start = out.until = out.origin = out.place = np.zeros(0, np.int64)
+        out.hash, out.check, out.first = np.zeros(0, U64), np.zeros(0, np.int32), np.zeros(n_rows + 1, np.int64)
         return out
     data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-    first_word = np.flatnonzero(sentence_starts(words, data))
+    first_word = np.flatnonzero(piece_starts(words, data))
     m = len(first_word)
     row = words.row[first_word]
     out.first = np.searchsorted(row, np.arange(n_rows + 1))
-    out.row, out.place = row, np.arange(m) - out.first[row]
+    out.row = row
     out.start = words.start[first_word] - (offsets - offsets[0])[row]
-    # a run ends before the first sentence that is far enough in sentences and in words, if its row goes so far
+    # a run ends before the first piece that is far enough in pieces and in words, if its row goes so far
     later = np.append(first_word, n)
     until = np.maximum(np.arange(m) + span, np.searchsorted(later, first_word + min_words))
-    out.there = until <= out.first[row + 1]
+    there = until <= out.first[row + 1]
     until = np.minimum(until, m)
     out.until = until - out.first[row]
-    with np.errstate(over="ignore"):
-        up, down = np.full(n, U64(_BASE)), np.full(n, U64(_INVERSE))
-        up[0] = down[0] = 1
-        up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        sums = np.concatenate([np.zeros(1, U64), np.cumsum(words.hash * up)])
-        out.hash = mix((sums[later[until]] - sums[first_word]) * down[first_word])
+    if hashes:
+        some = np.append(there[1:] < there[:-1], there[-1]) if m else there  # the last run of a row
+        origin, tail = np.flatnonzero(there), np.flatnonzero(some)
+        tail = tail[until[tail] < out.first[row[tail] + 1]]
+        out.origin = np.concatenate([origin, tail])
+        out.place = out.origin - out.first[row[out.origin]]
+        out.place[len(origin) :] -= LAST
+        starts, ends = first_word[out.origin], later[np.concatenate([until[origin], out.first[row[tail] + 1]])]
+        with np.errstate(over="ignore"):
+            up, down = powers(n)
+            sums = np.concatenate([np.zeros(1, U64), np.cumsum(words.hash * up[:n])])
+            out.hash = mix((sums[ends] - sums[starts]) * down[starts])
+            # of other values, so that runs with one hash have another check
+            sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(words.hash ^ U64(0xC2B2AE3D27D4EB4F)) * up[:n])])
+            out.check = (mix((sums[ends] - sums[starts]) * down[starts]) >> U64(32)).astype(np.uint32).view(np.int32)
     return out
 
 
-def _sub(key: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return (key.astype(np.int64) << 32) | place
+def _hashes(texts: DataFrame, span: int, min_words: int) -> DataFrame:
+    """hash, n of the runs of each block of (text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch, 0):
+                s = spans_of(part.column(0), span, min_words)
+                names, n = np.unique(s.hash, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n.astype(np.int64))], names=["hash", "n"])
+
+    return map_arrow(texts, run, "hash bigint, n bigint")
 
 
 def _occurrences(rows: DataFrame, span: int, min_words: int) -> DataFrame:
-    """hash, doc_id, sub (32 bits of the text's hash, then the place) of every run."""
+    """hash, check, doc_id, sub (32 bits of the text's hash, then the place) of every run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, 2):
                 s = spans_of(part.column(2), span, min_words)
-                at = np.flatnonzero(s.there)
-                key = np.asarray(part.column(1)).astype(np.int64)[s.row[at]]
-                yield pa.RecordBatch.from_arrays([pa.array(s.hash[at].view(np.int64)), part.column(0).take(pa.array(s.row[at])), pa.array(_sub(key, s.place[at]))], names=["hash", "doc_id", "sub"])
+                of = s.row[s.origin]
+                key = np.asarray(part.column(1)).astype(np.int64)[of]
+                sub = (key << 32) | (s.place & 0xFFFFFFFF)
+                yield pa.RecordBatch.from_arrays([pa.array(s.hash.view(np.int64)), pa.array(s.check), part.column(0).take(pa.array(of)), pa.array(sub)], names=["hash", "check", "doc_id", "sub"])
 
-    return map_arrow(rows, run, f"hash bigint, doc_id {rows.schema['doc_id'].dataType.simpleString()}, sub bigint")
+    return map_arrow(rows, run, f"hash bigint, check int, doc_id {rows.schema['doc_id'].dataType.simpleString()}, sub bigint")
 
 
 def repeated_places(df: DataFrame, doc_id: str, text: str, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text_key (int), places: array of the sentences where a non-first occurrence of a run starts.
+    """doc_id, text_key (int), places: array of the pieces where a non-first occurrence of a run starts.
 
-    Runs shuffle as a hash and a place, never as text. The grouping has partial sums and the join's sides
-    can be split, so a passage that a third of all documents hold does not gather in one task.
+    Runs shuffle as numbers, never as text: first their hashes alone, counted with partial sums; then those that are
+    repeated meet their places. Both joins go against written tables, which Spark shuffles anew, so that it can split a
+    passage that a third of all documents hold. A run counts as the same if 96 bits agree.
     """
     rows = df.select(col(doc_id).alias("doc_id"), F.hash(col(text)).alias("text_key"), col(text).alias("text"))
-    runs = _occurrences(rows, span, min_words)
-    repeated = runs.groupBy("hash").agg(F.min(F.struct("doc_id", "sub")).alias("first"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    repeated = repeated.select(F.col("hash").alias("r_hash"), F.col("first.doc_id").alias("r_doc"), F.col("first.sub").alias("r_sub"))
-    # written, so that the join shuffles it anew: only then can Spark split the runs of one passage over tasks
-    repeated = written(repeated, "repeats")
-    other = ~(F.col("doc_id").eqNullSafe(F.col("r_doc")) & (F.col("sub") == F.col("r_sub")))
-    hits = runs.join(repeated, (F.col("hash") == F.col("r_hash")) & other)
-    places = hits.select("doc_id", F.shiftright("sub", 32).cast("int").alias("text_key"), F.col("sub").bitwiseAND(0xFFFFFFFF).cast("int").alias("place"))
+    often = _hashes(rows.select("text"), span, min_words).groupBy("hash").agg(F.sum("n").alias("n")).filter("n > 1")
+    often = written(often.select("hash"), "repeats")
+    hits = written(_occurrences(rows, span, min_words).join(often, "hash", "left_semi"), "hits")
+    first = hits.groupBy("hash", "check").agg(F.min(F.struct("doc_id", "sub")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = written(first.select(F.col("hash").alias("f_hash"), F.col("check").alias("f_check"), F.col("first.doc_id").alias("f_doc"), F.col("first.sub").alias("f_sub")), "firsts")
+    other = ~(F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("sub") == F.col("f_sub")))
+    later = hits.join(first, (F.col("hash") == F.col("f_hash")) & (F.col("check") == F.col("f_check")) & other)
+    places = later.select("doc_id", F.shiftright("sub", 32).cast("int").alias("text_key"), F.shiftright(F.shiftleft("sub", 32), 32).cast("int").alias("place"))
     return places.groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("places"))
 
 
@@ -136,7 +170,7 @@ def dedup_substrings(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, at):
-                s = spans_of(part.column(at), span, min_words)
+                s = spans_of(part.column(at), span, min_words, hashes=False)
                 gone = np.zeros(part.num_rows, np.int64)
                 texts = part.column(at)
                 marked = part.column(len(out_cols))
@@ -147,7 +181,10 @@ def dedup_substrings(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
                         lo, hi = int(s.first[i]), int(s.first[i + 1])
                         covered = np.zeros(hi - lo, bool)
                         for p in marked[i].as_py():
-                            covered[p : s.until[lo + p]] = True
+                            if p < 0:
+                                covered[p + LAST :] = True
+                            else:
+                                covered[p : s.until[lo + p]] = True
                         gone[i] = covered.sum()
                         left[i] = _without(left[i].encode(), s.start[lo:hi], covered)
                     texts = pa.array(left, texts.type)

@@ -3,11 +3,12 @@
 The texts of an Arrow batch stand one after another in one buffer. Words are found by marking
 the bytes that end them; the hash of a word is a polynomial in its bytes modulo 2^64 by an odd base,
 taken from running sums over the buffer (the base has an inverse, so a word's hash does not depend on where it
-stands), then mixed. No Python object is made for any word.
+stands), then mixed. No Python object is made for any word but very long ones.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +21,14 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes hashed at a time; the tables of powers have so many entries.
 CHUNK_BYTES = 1 << 19
 
+#: Longer words are hashed by a cryptographic function.
+LONG_BYTES = 256
+
 _powers: tuple[np.ndarray, np.ndarray] | None = None
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n at least of the base and of its inverse."""
     global _powers
     if _powers is None or len(_powers[0]) < n:
         size = max(n, CHUNK_BYTES) + 1
@@ -101,7 +106,7 @@ def hash_words(texts: pa.Array, letters_only: bool = True, lower: bool = True, p
             low = starts[at]
             stop = max(at + 1, int(np.searchsorted(ends, low + CHUNK_BYTES, "right")))
             piece = data[low : ends[stop - 1]]
-            up, down = _tables(len(piece) + 1)
+            up, down = powers(len(piece) + 1)
             sums = np.zeros(len(piece) + 1, U64)
             np.cumsum((piece.astype(U64) + U64(1)) * up[: len(piece)], out=sums[1:])
             a, b = starts[at:stop] - low, ends[at:stop] - low
@@ -109,6 +114,9 @@ def hash_words(texts: pa.Array, letters_only: bool = True, lower: bool = True, p
             for k in prefixes:
                 prefix[k][at:stop] = (sums[np.minimum(b, a + k)] - sums[a]) * down[a]
             at = stop
+    # polynomials modulo 2^64 collide for long inputs made for it, whatever the base
+    for k in np.flatnonzero(ends - starts > LONG_BYTES).tolist():
+        hashes[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
     rows = np.searchsorted(offsets[1:], starts, "right") if len(starts) else np.zeros(0, np.int64)
     return Words(mix(hashes), rows, starts, ends, n, {k: mix(v) for k, v in prefix.items()})
 
