@@ -1,23 +1,28 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A seed is a mask over consecutive words; only the words at its ones are hashed, so a
-substituted word at a zero does not hide a match. All windows of the training texts are hashed
-under each mask and looked up among those of the benchmark; around each hit the two texts are compared
-word by word along the diagonal, and the longest stretch with enough equal words decides.
+A seed is a mask over consecutive words; only the words at its ones are hashed, so a substituted word at a zero does not
+hide a match. The windows of all training texts are hashed under each mask, once; those that a bitmap of the benchmark's seeds
+does not rule out join the seeds of the items. Around each hit the two texts are compared word by word along the
+diagonal (the place in the text less the place in the item), and the longest stretch with enough equal words decides. Items
+too short for a mask are one seed as a whole.
+
+The bitmap has a fixed largest size, so a benchmark of any size is one pass over the corpus: the larger it is, the more seeds
+the join has to sort out. Seeds meet as one row for each text, item and hash with the places of both, so texts and items that
+repeat themselves make no products.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medialens.llm.runtime import col, map_arrow, map_arrow_rows
-from medialens.llm.words import U64, Words, blocks, hash_words, window_hashes
+from medialens.llm.runtime import BROADCAST_ROWS, col, fresh, map_arrow, within_rows, written
+from medialens.llm.words import U64, Words, blocks, hash_words, mix, window_hashes
 
 #: Every stretch of 8 words or more that counts has one of these. With at most a fifth of its words changed,
 #: four equal words follow each other somewhere, unless it has 10, 11 or 15 words; then the second fits.
@@ -26,165 +31,229 @@ MASKS = ("1111", "111011")
 MIN_OVERLAP = 13
 #: ... of which so many in a hundred are equal.
 MIN_PERCENT = 80
-#: Shorter items never match: they can't be told from chance.
+#: Items of fewer words match only as a whole, word for word.
 MIN_ITEM_WORDS = 8
-#: Words of benchmark items that are held at once; a larger benchmark is taken in blocks of this size.
+#: Words of benchmark items that one text is compared with at a time.
 BLOCK_WORDS = 250_000
-_FILTER_BITS = 22
+#: Bits of the bitmap for each seed, and the logarithm of its largest size: 64 MB.
+BITS_PER_SEED, MAX_BITMAP = 16, 29
 
 
 def _offsets(mask: str) -> tuple[int, ...]:
     return tuple(i for i, c in enumerate(mask) if c == "1")
 
 
-@dataclass
-class Index:
-    """Seeds of some benchmark items. For each mask: sorted distinct hashes, and the item and
-    position of each seed of a hash in slots first[k] to first[k + 1]."""
-
-    item_ids: list
-    words: list[np.ndarray]
-    masks: list[tuple[tuple[int, ...], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
-
-
-def index_items(items: list[tuple[object, str | None]]) -> Index:
-    found = hash_words(pa.array([t for _, t in items], pa.string()))
-    words = [found.hash[found.first[i] : found.first[i + 1]] for i in range(len(items))]
-    kept = [i for i, w in enumerate(words) if len(w) >= MIN_ITEM_WORDS]
-    spans = {m: len(m) for m in MASKS}
-    seeds: dict[tuple[int, ...], list] = {_offsets(m): [] for m in MASKS}
-    for k, i in enumerate(kept):
-        for m in MASKS:
-            if len(words[i]) >= spans[m]:
-                h = window_hashes(words[i], _offsets(m))
-                seeds[_offsets(m)].append((h, np.full(len(h), k), np.arange(len(h))))
-    masks = []
-    for offsets, parts in seeds.items():
-        if not parts:
-            continue
-        h, item, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(h, kind="stable")
-        keys, first = np.unique(h[order], return_index=True)
-        masks.append((offsets, keys, np.append(first, len(h)), item[order].astype(np.int32), at[order].astype(np.int32)))
-    return Index([items[i][0] for i in kept], [words[i] for i in kept], masks)
+def _kinds(shorter: tuple[int, ...]) -> list[tuple[int, tuple[int, ...]]]:
+    """(salt, offsets) of all masks and of the whole items of so many words."""
+    return [(i + 1, _offsets(m)) for i, m in enumerate(MASKS)] + [(100 + n, tuple(range(n))) for n in shorter]
+
+
+def _salted(h: np.ndarray, salt: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(h + U64(salt) * U64(0x9E3779B97F4A7C15))
+
+
+def _by_hash(owner: np.ndarray, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(owner, hash, list of places) of the distinct pairs of owner and hash."""
+    order = np.lexsort((at, h, owner))
+    owner, h, at = owner[order], h[order], at[order]
+    new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+    return owner[new], h[new], pa.ListArray.from_arrays(pa.array(np.append(new, len(h)).astype(np.int32)), pa.array(at.astype(np.int32)))
 
 
 def longest_stretch(equal: np.ndarray, percent: int = MIN_PERCENT) -> tuple[int, int]:
     """Start and end of the longest stretch with at least `percent` equal words that starts and ends on equal ones."""
     if not equal.any():
         return 0, 0
+    n = len(equal)
     sums = np.concatenate([[0], np.cumsum(np.where(equal, 100 - percent, -percent))])
-    low = np.minimum.accumulate(sums[:-1])
-    best = (0, 0)
-    for b in np.flatnonzero(equal) + 1:
-        a = int(np.searchsorted(-low[:b], -sums[b], "left"))
-        while a < b and not equal[a]:
-            a += 1
-        if b - a > best[1] - best[0] and sums[b] >= sums[a]:
-            best = (a, int(b))
-    return best
+    # for each end, the first start from which the sum does not fall, then the first equal word from there on
+    low, ends = np.minimum.accumulate(sums[:-1]), np.flatnonzero(equal) + 1
+    following = np.minimum.accumulate(np.where(equal, np.arange(n), n)[::-1])[::-1]
+    starts = following[np.searchsorted(-low, -sums[ends], "left")]
+    k = int(np.argmax(ends - starts))
+    return int(starts[k]), int(ends[k])
 
 
-def find_leaks(words: Words, index: Index, min_overlap: int = MIN_OVERLAP, percent: int = MIN_PERCENT) -> dict[tuple[int, int], tuple[int, int, int, int]]:
-    """(row, item) -> (equal words, words of the stretch, its start in the row, its start in the item)."""
-    seen: list[np.ndarray] = []
-    size = U64((1 << _FILTER_BITS) - 1)
-    for offsets, keys, first, item, at in index.masks:
-        h = window_hashes(words.hash, offsets)
-        if not len(h):
-            continue
-        table = np.zeros(1 << _FILTER_BITS, bool)
-        table[(keys & size).astype(np.int64)] = True
-        near = np.flatnonzero(table[(h & size).astype(np.int64)])
-        slot = np.searchsorted(keys, h[near])
-        slot[slot == len(keys)] = 0
-        hit = keys[slot] == h[near]
-        near, slot = near[hit], slot[hit]
-        whole = words.row[near] == words.row[near + max(offsets)]
-        near, slot = near[whole], slot[whole]
-        n = first[slot + 1] - first[slot]
-        place = np.repeat(near, n)
-        each = np.repeat(first[slot] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
-        seen.append(np.stack([words.row[place], item[each], place - at[each]], 1))
-    out: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-    if not seen or not sum(map(len, seen)):
-        return out
-    for row, item, start in np.unique(np.concatenate(seen), axis=0).tolist():
-        theirs = index.words[item]
-        low, high = int(words.first[row]), int(words.first[row + 1])
-        skip = max(0, low - start)
-        stop = min(len(theirs), high - start)
-        need = min(min_overlap, len(theirs))
+def best_overlap(text: np.ndarray, item: np.ndarray, hits: list[tuple[np.ndarray, np.ndarray]], min_overlap: int = MIN_OVERLAP, percent: int = MIN_PERCENT) -> tuple[int, int, int, int] | None:
+    """(equal words, words of the stretch, its start in the text, its start in the item) of the stretch with most equal
+    words (then the first) on the diagonals of the hits (places in the text, places in the item); None if none counts."""
+    size = len(item)
+    marks = np.zeros(len(text) + size, bool)
+    for places, own in hits:
+        few, many, sign = (own, places, -1) if len(own) <= len(places) else (places, own, 1)
+        for k in few.tolist():
+            marks[(many - k if sign < 0 else k - many) + size] = True
+    whole = size < MIN_ITEM_WORDS
+    need, best = min(min_overlap, size), None
+    for start in (np.flatnonzero(marks) - size).tolist():
+        skip, stop = max(0, -start), min(size, len(text) - start)
         if stop - skip < need:
             continue
-        equal = words.hash[start + skip : start + stop] == theirs[skip:stop]
-        if equal.sum() * 100 < need * percent:
+        equal = text[start + skip : start + stop] == item[skip:stop]
+        n = int(equal.sum())
+        if n < size if whole else n * 100 < need * percent or (best and n <= best[0]):
             continue
         a, b = longest_stretch(equal, percent)
         if b - a >= need:
-            found = (int(equal[a:b].sum()), b - a, start + skip + a - low, skip + a)
-            if (row, item) not in out or found[0] > out[row, item][0]:
-                out[row, item] = found
+            found = (int(equal[a:b].sum()), b - a, start + skip + a, skip + a)
+            if best is None or found[0] > best[0]:
+                best = found
+            if best[0] == size:
+                break
+    return best
+
+
+def _item_words(items: DataFrame) -> DataFrame:
+    """item, words (hashes) of (item, text); items without words are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch, 1):
+                words = hash_words(part.column(1))
+                lists = pa.ListArray.from_arrays(pa.array(words.first.astype(np.int32)), pa.array(words.hash.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["item", "words"]).filter(pa.array(np.diff(words.first) > 0))
+
+    return map_arrow(items, run, "item bigint, words array<bigint>")
+
+
+def _item_seeds(items: DataFrame) -> DataFrame:
+    """hash, item, i_at (places) of the seeds of (item, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch, 1):
+                words = hash_words(part.column(1))
+                sizes = np.diff(words.first)
+                found = []
+                for salt, offsets in _kinds(tuple(np.unique(sizes[(sizes > 0) & (sizes < MIN_ITEM_WORDS)]).tolist())):
+                    h, at = _windows(words, offsets)
+                    size = sizes[words.row[at]]
+                    fits = size == len(offsets) if salt > 100 else size >= MIN_ITEM_WORDS
+                    found.append((words.row[at[fits]], _salted(h[fits], salt), at[fits] - words.first[words.row[at[fits]]]))
+                owner, h, at = _by_hash(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column(0).take(pa.array(owner)), at], names=["hash", "item", "i_at"])
+
+    return map_arrow(items, run, "hash bigint, item bigint, i_at array<int>")
+
+
+def _windows(words: Words, offsets: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first word) of the windows that lie within one text."""
+    h = window_hashes(words.hash, offsets)
+    at = np.flatnonzero(words.row[: len(h)] == words.row[max(offsets) :]) if len(h) else np.zeros(0, np.int64)
+    return h[at], at
+
+
+def _bitmap(seeds: DataFrame) -> np.ndarray:
+    """One bit for each remainder of a seed's hash by the size, which is a power of two that goes by the number of seeds up to a limit."""
+    size = 1 << min(MAX_BITMAP, max(16, math.ceil(math.log2(BITS_PER_SEED * max(1, seeds.count())))))
+    slot = F.col("hash").bitwiseAND(size - 1)
+    parts = seeds.groupBy(F.shiftright(slot, 15).alias("k")).agg(F.bitmap_construct_agg(slot.bitwiseAND(32767)).alias("bits"))
+    out = np.zeros(size // 8, np.uint8)
+    for k, bits in parts.toLocalIterator():
+        out[k * 4096 : (k + 1) * 4096] = np.frombuffer(bits, np.uint8)
     return out
 
 
-def _item_blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> Iterator[Index]:
-    """Indexes of blocks of items. The number of blocks goes by the words of the benchmark, so what the driver holds
-    and sends at a time is bounded by block_words (or the longest item)."""
-    items = benchmark.select(col(item_id).alias("item_id"), col(text).alias("text"))
-    total = items.agg(F.sum(F.size(F.split("text", r"\s+")).cast("bigint"))).first()[0] or 0
-    n = -(-total // block_words)
-    for k in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        rows = [tuple(r) for r in part.collect()]
-        if rows:
-            yield index_items(sorted(rows, key=repr))
+def _text_seeds(rows: DataFrame, bitmap: np.ndarray, shorter: tuple[int, ...]) -> DataFrame:
+    """hash, doc_id, text_key, d_at (places) of those seeds of (doc_id, text_key, text) that the bitmap does not rule out."""
+    kinds, mask = _kinds(shorter), U64(len(bitmap) * 8 - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch, 2):
+                words = hash_words(part.column(2))
+                found = []
+                for salt, offsets in kinds:
+                    h, at = _windows(words, offsets)
+                    h = _salted(h, salt)
+                    slot = h & mask
+                    near = np.flatnonzero((bitmap[(slot >> U64(3)).astype(np.int64)] >> (slot & U64(7)).astype(np.uint8)) & 1)
+                    found.append((words.row[at[near]], h[near], at[near] - words.first[words.row[at[near]]]))
+                owner, h, at = _by_hash(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                if len(h):
+                    owner = pa.array(owner)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column(0).take(owner), part.column(1).take(owner), at], names=["hash", "doc_id", "text_key", "d_at"])
+
+    return map_arrow(rows, run, f"hash bigint, doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_key bigint, d_at array<int>")
 
 
 def leaks(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", min_overlap: int = MIN_OVERLAP, percent: int = MIN_PERCENT, block_words: int = BLOCK_WORDS) -> DataFrame:
     """A row for each document row and item that it leaks: doc_id, item_id, n_equal, n_overlap, doc_start, item_start.
 
-    Words are runs of letters and digits, in lower case. Starts count words. Of several stretches of one item in a
-    row the one with most equal words is reported (then the first). Null and empty texts leak nothing; equal items
-    are reported each; repeated rows each; an empty table on either side gives an empty result. No shuffle: only the
-    benchmark's seeds travel.
+    Words are runs of letters and digits, in lower case. An item of MIN_ITEM_WORDS words or more is leaked by a stretch of
+    min_overlap words (or as many as it has) of which `percent` in a hundred agree; a shorter one, down to one word, by
+    all its words in a row. Starts count words. Of several stretches of one item in a row the one with most equal words is
+    reported (then the first). Null and empty texts leak nothing, nor do items without words; equal items are reported each;
+    repeated rows each; an empty table on either side gives an empty result. Texts are read a second time only where
+    seeds met; only those shuffle.
     """
-    spark = df.sparkSession
-    rows = df.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
-    items = benchmark.select(col(item_id).alias("item_id"))
-    schema = f"doc_id {rows.dtypes[0][1]}, item_id {items.dtypes[0][1]}, n_equal bigint, n_overlap bigint, doc_start bigint, item_start bigint"
-    out = None
-    for index in _item_blocks(benchmark, item_id, item_text, block_words):
-
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in blocks(batch, 1):
-                    found = find_leaks(hash_words(part.column(1)), index, min_overlap, percent)
-                    if found:
-                        keys = sorted(found)
-                        ids = part.column(0).take(pa.array([r for r, _ in keys]))
-                        values = np.array([found[k] for k in keys], np.int64)
-                        yield pa.RecordBatch.from_arrays([ids, pa.array([index.item_ids[i] for _, i in keys], type=item_type), *[pa.array(values[:, j]) for j in range(4)]], names=["doc_id", "item_id", "n_equal", "n_overlap", "doc_start", "item_start"])
-
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        item_type = to_arrow_type(items.schema[0].dataType)
-        hits = map_arrow(rows, run, schema)
-        out = hits if out is None else out.unionByName(hits)
-    return out if out is not None else spark.createDataFrame([], schema)
-
-
-def without_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", min_overlap: int = MIN_OVERLAP, percent: int = MIN_PERCENT, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of df that leak no item, all columns as they were. Same rules as leaks(); no shuffle."""
-    at = df.columns.index(text)
-    for index in _item_blocks(benchmark, item_id, item_text, block_words):
-
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in blocks(batch, at):
-                    clean = np.ones(part.num_rows, bool)
-                    clean[[row for row, _ in find_leaks(hash_words(part.column(at)), index, min_overlap, percent)]] = False
-                    yield part.filter(pa.array(clean))
-
-        df = map_arrow_rows(df, run)
-    return df
+    plain = [doc_id, text]
+    rows = df.select(*[col(c).alias(a) for c, a in zip(plain, ("doc_id", "text"), strict=True)]).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    found = _leaks(rows, benchmark, item_id, item_text, min_overlap, percent, block_words)
+    return found.select("doc_id", "item_id", "n_equal", "n_overlap", "doc_start", "item_start")
+
+
+def _leaks(rows: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, min_overlap: int, percent: int, block_words: int) -> DataFrame:
+    """leaks() of (doc_id, text_key, text), with text_key."""
+    items = benchmark.select(col(item_id).alias("item_id"), col(item_text).alias("text")).filter("text IS NOT NULL")
+    items = written(items.select(F.monotonically_increasing_id().alias("item"), "item_id", "text"), "items")
+    words = written(_item_words(items.select("item", "text")), "item-words")
+    seeds = written(_item_seeds(items.select("item", "text")), "item-seeds")
+    sizes = words.groupBy(F.least(F.size("words"), F.lit(MIN_ITEM_WORDS)).alias("n")).agg(F.sum(F.size("words")).alias("words")).collect()
+    shorter = tuple(sorted(r["n"] for r in sizes if r["n"] < MIN_ITEM_WORDS))
+    chunks = -(-sum(r["words"] for r in sizes) // block_words) or 1
+
+    met = _text_seeds(rows, _bitmap(seeds), shorter).join(seeds, "hash")
+    pairs = met.groupBy("doc_id", "text_key", "item").agg(F.collect_list(F.struct("d_at", "i_at")).alias("hits"))
+    named = pairs.join(words, "item").join(items.select("item", "item_id"), "item")
+    # a text meets the items in chunks, so that one which leaks a large benchmark is no row of unbounded size
+    packs = named.groupBy("doc_id", "text_key", F.pmod("item", F.lit(chunks)).alias("chunk")).agg(F.collect_list(F.struct("item_id", "words", "hits")).alias("items"))
+    packs = written(packs.select(F.col("doc_id").alias("p_doc"), F.col("text_key").alias("p_key"), "items"), "candidates")
+    same = (F.col("text_key") == F.col("p_key")) & F.col("doc_id").eqNullSafe(F.col("p_doc"))
+    keys = packs.select("p_doc", "p_key").distinct()
+    keys = F.broadcast(keys) if within_rows(keys, BROADCAST_ROWS) else keys
+    both = rows.join(keys, same, "left_semi").join(packs, same).select("doc_id", "text_key", "text", "items")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch, 2):
+                yield _verified(part, min_overlap, percent)
+
+    kinds = {f.name: f.dataType.simpleString() for f in named.schema.fields}
+    return map_arrow(both, run, f"doc_id {kinds['doc_id']}, text_key bigint, item_id {kinds['item_id']}, n_equal bigint, n_overlap bigint, doc_start bigint, item_start bigint")
+
+
+def _verified(part: pa.RecordBatch, min_overlap: int, percent: int) -> pa.RecordBatch:
+    """Leaks among the candidates of (doc_id, text_key, text, items)."""
+    texts, lists = hash_words(part.column(2)), part.column(3)
+    items = lists.values
+    ends, item_words, hits = np.asarray(lists.offsets), items.field("words"), items.field("hits")
+    word_ends, word_values = np.asarray(item_words.offsets), np.asarray(item_words.values).view(U64)
+    hit_ends, hit = np.asarray(hits.offsets), hits.values
+    places = [(np.asarray(hit.field(c).offsets), np.asarray(hit.field(c).values)) for c in ("d_at", "i_at")]
+    of, item, values = [], [], []
+    for row in range(part.num_rows):
+        text = texts.hash[texts.first[row] : texts.first[row + 1]]
+        for k in range(ends[row], ends[row + 1]):
+            met = [tuple(v[o[j] : o[j + 1]] for o, v in places) for j in range(hit_ends[k], hit_ends[k + 1])]
+            best = best_overlap(text, word_values[word_ends[k] : word_ends[k + 1]], met, min_overlap, percent)
+            if best:
+                of.append(row)
+                item.append(k)
+                values.append(best)
+    table = np.array(values, np.int64).reshape(-1, 4)
+    at = pa.array(of, pa.int64())
+    return pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), items.field("item_id").take(pa.array(item, pa.int64())), *[pa.array(table[:, j]) for j in range(4)]], names=["doc_id", "text_key", "item_id", "n_equal", "n_overlap", "doc_start", "item_start"])
+
+
+def without_leaks(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", min_overlap: int = MIN_OVERLAP, percent: int = MIN_PERCENT, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of df that leak no item, all columns as they were. Same rules as leaks(); the leaking rows' keys are broadcast
+    if they are few, else the texts shuffle once."""
+    key, l_id, l_key = fresh(df, "key", "l_id", "l_key")
+    rows = df.select(col(doc_id).alias("doc_id"), col(text).alias("text")).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    bad = _leaks(rows, benchmark, item_id, item_text, min_overlap, percent, block_words)
+    bad = written(bad.select(F.col("doc_id").alias(l_id), F.col("text_key").alias(l_key)).distinct(), "leaks")
+    side = F.broadcast(bad) if within_rows(bad, BROADCAST_ROWS) else bad
+    tagged = df.select(*[col(c) for c in df.columns], F.xxhash64(col(text)).alias(key))
+    return tagged.join(side, (F.col(key) == F.col(l_key)) & col(doc_id).eqNullSafe(F.col(l_id)), "left_anti").select(*[col(c) for c in df.columns])

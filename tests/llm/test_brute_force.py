@@ -228,16 +228,47 @@ def test_every_accepted_pattern_has_a_seed():
             assert any(all(p[i + o] for o in s) for s in seeds for i in range(n - max(s))), p
 
 
-def test_short_items_with_substituted_words_leak():
+def test_short_items_with_substituted_words_leak(spark):
     word = "w{}x{}".format
     items = [(n, " ".join(word(n, i) for i in range(n))) for n in range(8, 17)]
     texts, want = [], []
     for k, (n, _) in enumerate(items):
         for p in accepted_patterns(n):
             texts.append("before it " + " ".join(word(n, i) if equal else "other" for i, equal in enumerate(p)) + " after")
-            want.append(k)
-    found = decontamination.find_leaks(hash_words(pa.array(texts)), decontamination.index_items(items))
-    assert set(found) == set(enumerate(want))
+            want.append(items[k][0])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontamination.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == list(enumerate(want))
+
+
+def test_shorter_items_match_as_a_whole(spark):
+    rng = random.Random(11)
+    docs = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randint(0, 30)))) for i in range(200)]
+    items = [(i, " ".join(rng.choice("abcd") for _ in range(i % 8))) for i in range(40)]
+    inside = lambda item, text: any(text[k : k + len(item)] == item for k in range(len(text) - len(item) + 1))
+    want = {(d, i) for d, t in docs for i, x in items if x and inside(x.split(), t.split())}
+    found = decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want and len(found) == len(want)
+    assert all(dict(docs)[r.doc_id].split()[r.doc_start : r.doc_start + r.n_overlap] == dict(items)[r.item_id].split() for r in found)
+
+
+def test_texts_that_repeat_themselves_are_compared_in_bounded_time(spark):
+    import time
+    import tracemalloc
+
+    one, two = np.full(8000, 5, np.uint64), np.full(800, 5, np.uint64)
+    places = [(np.arange(7997), np.arange(797)), (np.arange(7995), np.arange(795))]
+    tracemalloc.start()
+    began = time.perf_counter()
+    assert decontamination.best_overlap(one, two, places) == (800, 800, 0, 0)
+    other = two.copy()
+    other[::3] = 6  # never enough equal words, so all diagonals are tried
+    assert decontamination.best_overlap(one, other, places) is None
+    assert time.perf_counter() - began < 3 and tracemalloc.get_traced_memory()[1] < 50_000_000
+    tracemalloc.stop()
+    rows = spark.createDataFrame([(1, "same " * 8000)], "doc_id long, text string")
+    item = spark.createDataFrame([(2, "same " * 800)], "item_id long, text string")
+    assert [tuple(r) for r in decontamination.leaks(rows, item).collect()] == [(1, 2, 800, 800, 0, 0)]
 
 
 # toxicity
