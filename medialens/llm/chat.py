@@ -5,32 +5,35 @@ one sequence: the tokens of a shared turn stand in it once, each node with the p
 tokens have in a conversation and with the intervals of the sequence that it attends to, which
 are those of its ancestors (and, causally, itself). A token is one code point of the formatted text.
 
-A node under which more than `max_conversations` different conversations stand is heavy. The
-conversations below it are dealt by their next turn into packs of about that size, so that a first turn
+A node under which more than `max_conversations` different conversations stand, or more than `max_bytes` of them, is heavy.
+The conversations below it are dealt by their next turn into packs of about that size, so that a first turn
 which a third of all conversations share never gathers in one task; its tokens then stand once in each
 such pack. Conversations equal in all turns are formatted once, with their ids beside.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medialens.llm.runtime import col, map_pandas, ship
+from medialens.llm.runtime import col, map_arrow, within_rows, written
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Openings of control strings in common chat templates; none is left bare in a text.
 CONTROLS = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 MAX_CONVERSATIONS = 256
+#: Bytes of different conversations that a pack holds, unless one alone has more.
+MAX_BYTES = 16_000_000
+#: Characters of formatted text in a batch of results.
+BLOCK_CHARS = 2_000_000
 LEARNED_ROLE = "assistant"
 
 _ESCAPED = re.compile(r"\\(.)", re.S)
-_TURNS = re.compile(r"<\|turn\|>(.*?)<\|text\|>(.*?)<\|end\|>", re.S)
 
 
 def escape(text: str) -> str:
@@ -42,7 +45,7 @@ def escape(text: str) -> str:
 
 
 def unescape(text: str) -> str:
-    return _ESCAPED.sub(r"\1", text)
+    return _ESCAPED.sub(r"\1", text) if "\\" in text else text
 
 
 def format_turn(role: str, text: str) -> tuple[str, int, int]:
@@ -54,18 +57,9 @@ def format_turn(role: str, text: str) -> tuple[str, int, int]:
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
-    """(role, text) of each turn of a formatted conversation."""
-    return [(unescape(m[1]), unescape(m[2])) for m in _TURNS.finditer(formatted)]
-
-
-def prefix_keys(turns: list[tuple[str, str]]) -> list[str]:
-    """A key for each prefix of turns: equal prefixes have equal keys."""
-    chain, out = hashlib.sha256(), []
-    for role, text in turns:
-        for part in (role.encode(), text.encode()):
-            chain.update(len(part).to_bytes(8, "big") + part)
-        out.append(chain.hexdigest()[:32])
-    return out
+    """(role, text) of each turn of a formatted conversation; no marker stands bare inside a role or text."""
+    heads = (piece[len(TURN) :].partition(TEXT) for piece in formatted.split(END)[:-1])
+    return [(unescape(role), unescape(text)) for role, _, text in heads]
 
 
 def build_pack(conversations: list[tuple[str, list[tuple[str, str]]]]) -> dict:
@@ -105,67 +99,152 @@ PACK = f"pack string, text string, nodes array<{NODE}>, ends array<struct<conver
 
 
 def conversations_of(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv_id, conversation (key), prefixes, turns: a row for each conversation.
+    """conv_id, conversation (key), prefixes, size (bytes), turns: a row for each conversation.
 
-    Rows go by turn, then role and text, nulls first; repeated rows are turns of their own; null
-    roles and texts are empty; rows with a null conv_id make one conversation.
+    Rows go by turn, then role and text, nulls first; repeated rows are turns of their own; null roles and texts are empty;
+    rows with a null conv_id make one conversation. A prefix's key is a chain of MD5 digests over its turns, so equal
+    prefixes, and no others, have equal keys. Written once, so that later steps read only the columns they need.
     """
     said = F.struct(col(turn).alias("turn"), F.coalesce(col(role), F.lit("")).alias("role"), F.coalesce(col(text), F.lit("")).alias("text"))
     grouped = rows.select(col(conv_id).alias("conv_id"), said.alias("said")).groupBy("conv_id").agg(F.sort_array(F.collect_list("said")).alias("said"))
     grouped = grouped.select("conv_id", F.transform("said", lambda s: F.struct(s["role"].alias("role"), s["text"].alias("text"))).alias("turns"))
+    before = lambda keys: F.coalesce(F.get(keys, F.size(keys) - 1), F.lit(""))
+    link = lambda keys, t: F.md5(F.concat_ws(":", before(keys), F.length(t["role"]), t["role"], t["text"]))
+    keys = F.aggregate("turns", F.array().cast("array<string>"), lambda keys, t: F.concat(keys, F.array(link(keys, t))))
+    size = F.aggregate("turns", F.lit(0).cast("bigint"), lambda n, t: n + F.octet_length(t["role"]) + F.octet_length(t["text"]))
+    keyed = grouped.select("conv_id", keys.alias("prefixes"), size.alias("size"), "turns")
+    return written(keyed.select("conv_id", F.element_at("prefixes", -1).alias("conversation"), "prefixes", "size", "turns"), "conversations")
 
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keys = [prefix_keys([(t["role"], t["text"]) for t in turns]) for turns in batch["turns"]]
-            yield batch.assign(conversation=[k[-1] for k in keys], prefixes=keys)[["conv_id", "conversation", "prefixes", "turns"]]
 
-    kind = grouped.schema["conv_id"].dataType.simpleString()
-    return map_pandas(grouped, keyed, f"conv_id {kind}, conversation string, prefixes array<string>, turns array<struct<role:string,text:string>>")
+def packs_of(conversations: DataFrame, max_conversations: int = MAX_CONVERSATIONS, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Packs (pack, text, nodes, ends) of conversations_of()'s rows; equal conversations count once.
 
-
-def packs_of(conversations: DataFrame, max_conversations: int = MAX_CONVERSATIONS) -> DataFrame:
-    """Packs (pack, text, nodes, ends) of conversations_of()'s rows; equal conversations count once."""
-    distinct = conversations.groupBy("conversation").agg(F.first("prefixes").alias("prefixes"), F.first("turns").alias("turns"))
-    steps = distinct.select("conversation", F.posexplode("prefixes").alias("depth", "prefix"))
-    heavy = steps.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_conversations)
-    deepest = steps.join(heavy, "prefix").groupBy("conversation").agg(F.max(F.struct("depth", "prefix", "n")).alias("heavy")).withColumnRenamed("conversation", "h_conversation")
-    both = distinct.join(deepest, F.col("conversation") == F.col("h_conversation"), "left")
+    A prefix is heavy if more conversations than max_conversations, or several of more than max_bytes, share it.
+    """
+    once = conversations.select("conversation", "prefixes", "size").groupBy("conversation").agg(F.first("prefixes").alias("prefixes"), F.first("size").alias("size"))
+    steps = once.select("conversation", "size", F.posexplode("prefixes").alias("depth", "prefix"))
+    heavy = steps.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    parts = F.greatest(F.ceil(F.col("n") / F.lit(max_conversations)), F.least(F.col("n"), F.ceil(F.col("bytes") / F.lit(max_bytes)))).cast("bigint")
+    # written, so that Spark shuffles it anew and can split the conversations of a very common turn
+    heavy = written(heavy.filter((F.col("n") > max_conversations) | ((F.col("bytes") > max_bytes) & (F.col("n") > 1))).select("prefix", parts.alias("parts")), "heavy")
+    deepest = steps.join(_small(heavy), "prefix").groupBy("conversation").agg(F.max(F.struct("depth", "prefix", "parts")).alias("heavy"))
+    deepest = written(deepest.withColumnRenamed("conversation", "h_conversation"), "deepest")
+    both = conversations.join(_small(deepest), F.col("conversation") == F.col("h_conversation"), "left")
     following = F.coalesce(F.get("prefixes", F.col("heavy.depth") + 1), F.col("conversation"))
-    bucket = F.pmod(F.xxhash64(following), F.ceil(F.col("heavy.n") / F.lit(max_conversations)).cast("bigint"))
+    bucket = F.pmod(F.xxhash64(following), F.col("heavy.parts"))
     pack = F.when(F.col("heavy").isNull(), F.get("prefixes", F.lit(0))).otherwise(F.concat_ws("#", F.col("heavy.prefix"), bucket))
-
-    def build(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        made = build_pack([(k, [(t["role"], t["text"]) for t in turns]) for k, turns in zip(group["conversation"], group["turns"], strict=True)])
-        fields = ("parent", "start", "end", "position", "loss_start", "loss_end", "context")
-        nodes = [dict(zip(fields, (*n[:-1], [{"start": a, "end": b} for a, b in n[-1]]), strict=True)) for n in made["nodes"]]
-        ends = [{"conversation": k, "node": n} for k, n in made["ends"]]
-        return pd.DataFrame({"pack": [key[0]], "text": [made["text"]], "nodes": [nodes], "ends": [ends]})
-
-    ship(both.sparkSession)
-    return both.select(pack.alias("pack"), "conversation", "turns").groupBy("pack").applyInPandas(build, PACK)
+    rows = map_arrow(both.select(pack.alias("pack"), "conversation", "turns"), _once_a_task, "pack string, conversation string, turns array<struct<role:string,text:string>>")
+    return map_arrow(rows.repartition("pack").sortWithinPartitions("pack", "conversation"), _packed, PACK)
+
+
+def _small(side: DataFrame) -> DataFrame:
+    return F.broadcast(side) if within_rows(side) else side
+
+
+def _once_a_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each conversation in a task, so that copies do not shuffle; those of other tasks meet in their pack."""
+    seen: set[str] = set()
+    for batch in batches:
+        keys = batch.column(1).to_pylist()
+        new = [k for k, c in enumerate(keys) if not (c in seen or seen.add(c))]
+        yield batch if len(new) == len(keys) else batch.take(pa.array(new, pa.int64()))
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packs of (pack, conversation, turns) rows in the order of pack and conversation; several in a batch."""
+    out, pack, last, held = _Packs(), None, None, []
+    for batch in batches:
+        turns = batch.column(2)
+        ends, roles, texts = turns.offsets.to_pylist(), turns.values.field("role").to_pylist(), turns.values.field("text").to_pylist()
+        for i, (name, key) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            if name != pack:
+                if held:
+                    out.add(pack, build_pack(held))
+                    if out.chars > BLOCK_CHARS:
+                        yield out.batch()
+                        out = _Packs()
+                pack, last, held = name, None, []
+            if key != last:
+                a, b = ends[i], ends[i + 1]
+                held.append((key, list(zip(roles[a:b], texts[a:b], strict=True))))
+                last = key
+    if held:
+        out.add(pack, build_pack(held))
+    if out.names:
+        yield out.batch()
+
+
+class _Packs:
+    """Columns of some packs."""
+
+    def __init__(self):
+        self.names, self.texts, self.nodes, self.ends = [], [], [], []
+        self.node_ends, self.context_ends, self.contexts, self.conversation_ends = [0], [0], [], [0]
+        self.chars = 0
+
+    def add(self, name: str, pack: dict) -> None:
+        self.names.append(name)
+        self.texts.append(pack["text"])
+        self.chars += len(pack["text"])
+        self.nodes += pack["nodes"]
+        self.node_ends.append(len(self.nodes))
+        for node in pack["nodes"]:
+            self.contexts += node[-1]
+            self.context_ends.append(len(self.contexts))
+        self.ends += pack["ends"]
+        self.conversation_ends.append(len(self.ends))
+
+    def batch(self) -> pa.RecordBatch:
+        numbers = np.array([n[:-1] for n in self.nodes], np.int64).reshape(-1, 6)
+        spans = np.array(self.contexts, np.int64).reshape(-1, 2)
+        context = pa.ListArray.from_arrays(pa.array(self.context_ends, pa.int32()), pa.StructArray.from_arrays([pa.array(spans[:, 0]), pa.array(spans[:, 1])], ["start", "end"]))
+        fields = [pa.array(numbers[:, 0].astype(np.int32)), *[pa.array(numbers[:, j]) for j in range(1, 6)], context]
+        nodes = pa.StructArray.from_arrays(fields, ["parent", "start", "end", "position", "loss_start", "loss_end", "context"])
+        ends = pa.StructArray.from_arrays([pa.array([k for k, _ in self.ends], pa.string()), pa.array([n for _, n in self.ends], pa.int32())], ["conversation", "node"])
+        lists = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), v) for o, v in ((self.node_ends, nodes), (self.conversation_ends, ends))]
+        return pa.RecordBatch.from_arrays([pa.array(self.names, pa.string()), pa.array(self.texts, pa.string()), *lists], names=["pack", "text", "nodes", "ends"])
 
 
 def read_back(packs: DataFrame) -> DataFrame:
     """conversation, formatted, loss (array of the texts under the mask, unescaped), turns: from packs alone."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for text, nodes, ends in zip(batch["text"], batch["nodes"], batch["ends"], strict=True):
-                out = []
-                for e in ends:
-                    node = nodes[e["node"]]
-                    formatted = "".join(text[c["start"] : c["end"]] for c in node["context"]) + text[node["start"] : node["end"]]
-                    loss, at = [], e["node"]
-                    while at >= 0:
-                        n = nodes[at]
-                        if n["parent"] < 0 and n["position"] != 0:
-                            raise ValueError("a root does not start at position 0")
-                        loss.append(unescape(text[n["loss_start"] : n["loss_end"]]))
-                        at = n["parent"]
-                    out.append((e["conversation"], formatted, loss[::-1], [{"role": r, "text": t} for r, t in parse(formatted)]))
-                yield pd.DataFrame(out, columns=["conversation", "formatted", "loss", "turns"])
-
-    return map_pandas(packs, run, "conversation string, formatted string, loss array<string>, turns array<struct<role:string,text:string>>")
+    return map_arrow(packs, _read, "conversation string, formatted string, loss array<string>, turns array<struct<role:string,text:string>>")
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out, chars = [], 0
+    for batch in batches:
+        nodes, ends = batch.column(2), batch.column(3)
+        node_ends, end_ends = nodes.offsets.to_pylist(), ends.offsets.to_pylist()
+        parent, start, end, position, loss_start, loss_end = (nodes.values.field(c).to_pylist() for c in ("parent", "start", "end", "position", "loss_start", "loss_end"))
+        context = nodes.values.field("context")
+        context_ends, opens, closes = context.offsets.to_pylist(), context.values.field("start").to_pylist(), context.values.field("end").to_pylist()
+        keys, last = ends.values.field("conversation").to_pylist(), ends.values.field("node").to_pylist()
+        for row, text in enumerate(batch.column(1).to_pylist()):
+            base = node_ends[row]
+            for e in range(end_ends[row], end_ends[row + 1]):
+                n = base + last[e]
+                formatted = "".join(text[opens[c] : closes[c]] for c in range(context_ends[n], context_ends[n + 1])) + text[start[n] : end[n]]
+                loss, at = [], n
+                while at >= base:
+                    if parent[at] < 0 and position[at] != 0:
+                        raise ValueError("a root does not start at position 0")
+                    loss.append(unescape(text[loss_start[at] : loss_end[at]]))
+                    at = base + parent[at] if parent[at] >= 0 else -1
+                out.append((keys[e], formatted, loss[::-1], parse(formatted)))
+                chars += len(formatted)
+                if chars > BLOCK_CHARS:  # a shared beginning stands in each conversation here, so packs grow
+                    yield _told(out)
+                    out, chars = [], 0
+    if out:
+        yield _told(out)
+
+
+def _told(rows: list) -> pa.RecordBatch:
+    turns = [t for r in rows for t in r[3]]
+    pairs = pa.StructArray.from_arrays([pa.array([t[j] for t in turns], pa.string()) for j in (0, 1)], ["role", "text"])
+    ends = lambda j: pa.array(np.cumsum([0, *[len(r[j]) for r in rows]]).astype(np.int32))
+    loss = pa.ListArray.from_arrays(ends(2), pa.array([x for r in rows for x in r[2]], pa.string()))
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), loss, pa.ListArray.from_arrays(ends(3), pairs)], names=["conversation", "formatted", "loss", "turns"])
 
 
 def digests(conversations: DataFrame, packs: DataFrame) -> DataFrame:
