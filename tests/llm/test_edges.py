@@ -89,6 +89,19 @@ def test_urls(spark):
     assert urls.judge_urls(pages, prefix).filter("rule = 'org/f'").count() == 1
 
 
+def test_urls_of_very_many_labels_and_slashes(spark):
+    import time
+
+    host, path = ".".join(["a"] * 200_000), "/b" * 200_000
+    rows = [(1, f"x://{host}.example.com{path}"), (2, f"x://{host}.example.com/de{path}"), (3, f"x://example.com.{host}/de/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    rules = urls.rules_table(spark, [*URL_RULES, ("block", "a.b.c.com/x/y/z"), ("block", "com/b/b/b/")])
+    began = time.perf_counter()
+    got = {r.page_id: r.rule for r in urls.judge_urls(pages, rules).collect()}
+    assert got == {1: "com/b/b/b/", 2: "example.com/de/", 3: None}
+    assert time.perf_counter() - began < 20
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 1, "assistant", None), (2, 0, "user", "hi"), (None, None, None, None), (3, 5, "assistant", "z" * 200_000), (3, -1, "tool", "")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, conversation int")
@@ -98,6 +111,16 @@ def test_chat(spark):
     assert chat.digests(*chat.format_chats(df.limit(0))).count() == 0
 
 
+def test_chat_packs_are_bounded_by_bytes(spark):
+    rows = [(i, t, "user", "same" if t == 0 else f"{i} " * 2000) for i in range(40) for t in (0, 1)] + [(100 + i, 0, "user", "copy") for i in range(50)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    conversations = chat.conversations_of(df)
+    packs = chat.packs_of(conversations, max_bytes=30_000).collect()
+    assert len(packs) > 8 and max(len(p.text) for p in packs) < 120_000
+    assert sum(len(p.ends) for p in packs) == 41
+    assert chat.digests(conversations, chat.packs_of(conversations, max_bytes=30_000)).count() == 90
+
+
 def test_decontamination(docs, none, bench):
     assert decontamination.leaks(docs, bench).count() == 0
     assert decontamination.without_leaks(docs, bench).columns == docs.columns
