@@ -10,13 +10,16 @@ from __future__ import annotations
 import html as entities
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medialens.llm.runtime import col, map_pandas
+from medialens.llm.runtime import col, map_arrow
+from medialens.llm.words import blocks
 
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,7 +47,17 @@ ENDS = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
 }
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A table is aligned if that makes at most so many characters for each one of its cells, or so many in all.
+MAX_PADDING, MIN_PADDING = 8, 2000
+#: Tables in tables deeper than this are read as blocks; indents stop at so many characters.
+MAX_GRIDS, MAX_INDENT = 8, 64
+#: Cells over several columns reach as far as this one.
+MAX_COLUMNS = 200
+#: Characters of pages that are rendered before their texts are sent on.
+BLOCK_CHARS = 2_000_000
+
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_OPENING = re.compile(r"<(?=[!?/a-zA-Z])")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _BLANK = re.compile(r"[ \t\n\r\f]+")
 _STYLE_HIDES = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
@@ -68,73 +81,162 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
+class _Places:
+    """Where a character stands in a page: the next place from a given one on."""
+
+    def __init__(self, page: str, wanted: str):
+        self.at = [m.start() for m in re.finditer(wanted, page)]
+        self.n = 0
+
+    def next(self, at: int) -> int:
+        """-1 if there is none. Mostly asked for places close to the last one."""
+        k, places = self.n, self.at
+        if k and places[k - 1] >= at:
+            k = bisect_left(places, at, 0, k)
+        elif len(places) - k > 8 and places[k + 8] < at:
+            k = bisect_left(places, at, k + 8)
+        else:
+            while k < len(places) and places[k] < at:
+                k += 1
+        self.n = k
+        return places[k] if k < len(places) else -1
+
+
+class Tags:
+    """Finds the ends of tags. A tag ends at the first `>` outside quotes; one without such an end is text.
+
+    Every place of a page is looked at a bounded number of times, however many tags lack an end: what is found on the
+    way to none is kept.
+    """
+
+    def __init__(self, page: str):
+        self.stops = _Places(page, "[>\"']")
+        self.quotes = {q: _Places(page, q) for q in "\"'"}
+        self.page, self.lost = page, set()
+
+    def end(self, at: int) -> int:
+        """The place of the `>` that ends a tag of which `at` is outside quotes; -1 if none does."""
+        seen = []
+        while True:
+            stop = self.stops.next(at)
+            if stop < 0 or stop in self.lost:
+                break
+            if (c := self.page[stop]) == ">":
+                return stop
+            seen.append(stop)
+            close = self.quotes[c].next(stop + 1)
+            if close < 0:
+                break
+            at = close + 1
+        self.lost.update(seen)
+        return -1
+
+
+class Stack:
+    """Open elements, and for each tag the places of its open ones, so that an end tag finds its element at once."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def pop(self) -> None:
+        self.places[self.nodes.pop().tag].pop()
+
+    def inner(self, tags) -> int:
+        """Place of the innermost open element of tags; 0 if there is none."""
+        return max((at[-1] for t in tags if (at := self.places.get(t))), default=0)
+
+    def end(self, tags, scopes) -> None:
+        """Ends the innermost open element of tags that no scope hides, with all inside."""
+        k = self.inner(tags)
+        if k and self.inner(scopes) <= k:
+            while len(self.nodes) > k:
+                self.pop()
+
+
 def build(page: str) -> Node:
     """Tree of a page; unclosed elements end with the page, stray end tags are left out."""
     root = Node("html", {})
-    stack = [root]
+    stack, tags, gts = Stack(root), Tags(page), _Places(page, ">")
+    nodes = stack.nodes
+    closings: dict[str, _Places] = {}
     at, n = 0, len(page)
 
     def text(piece: str) -> None:
         if piece:
-            stack[-1].children.append(entities.unescape(piece) if "&" in piece else piece)
-
-    def end(tags, scopes) -> None:
-        """Ends the innermost open element of tags that no scope hides, with all inside."""
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                del stack[k:]
-                return
-            if stack[k].tag in scopes:
-                return
+            nodes[-1].children.append(entities.unescape(piece) if "&" in piece else piece)
 
+    begun = 0  # of the text that is not yet put into the tree
     while at < n:
-        m = _TAG.search(page, at)
-        if m is None:
-            text(page[at:])
+        opening = _OPENING.search(page, at)
+        if opening is None:
             break
-        text(page[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None:
+        start = opening.start()
+        following = page[start + 1]
+        if following in "!?":
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                end = n if end < 0 else end + 3
+            else:
+                end = gts.next(start) + 1
+            if not end:
+                at = start + 1
+                continue
+            text(page[begun:start])
+            begun = at = end
+            continue
+        m = _NAME.match(page, start)
+        end = tags.end(m.end()) if m else -1
+        if end < 0:
+            at = start + 1
             continue
-        tag = name.lower()
+        text(page[begun:start])
+        begun = at = end + 1
+        tag, attributes = m[2].lower(), page[m.end() : end]
         if m[1]:
-            if tag == "p" and not any(x.tag == "p" for x in stack):
-                stack[-1].children.append(Node("p", {}))
+            if tag == "p" and not stack.inner(("p",)):
+                nodes[-1].children.append(Node("p", {}))
             elif tag in HEADINGS:
-                end(HEADINGS, SCOPES)
+                stack.end(HEADINGS, SCOPES)
             elif tag not in ("html", "body"):
-                end({tag}, set() if tag == "table" else {"table"} if tag in TABLE_PARTS else {"td", "th", "caption"})
+                stack.end((tag,), () if tag == "table" else ("table",) if tag in TABLE_PARTS else ("td", "th", "caption"))
             continue
         if tag in ("html", "body"):
-            for k, v in _attributes(m[3]).items():
+            for k, v in _attributes(attributes).items():
                 root.attrs.setdefault(k, v)
             if tag == "body":
-                end({"head"}, set())
+                stack.end(("head",), ())
             continue
         if tag in CLOSES_P:
-            end({"p"}, SCOPES)
-        if tag in BLOCKS and stack[-1].tag == "head":
+            stack.end(("p",), SCOPES)
+        if tag in BLOCKS and nodes[-1].tag == "head":
             stack.pop()
-        if tag in HEADINGS and stack[-1].tag in HEADINGS:
+        if tag in HEADINGS and nodes[-1].tag in HEADINGS:
             stack.pop()
         if (rule := ENDS.get(tag)) is not None:
             for _ in range(3 if tag in ("thead", "tbody", "tfoot") else 2 if tag == "tr" else 1):
-                end(*rule)
-            if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
+                stack.end(*rule)
+            if tag in ("td", "th") and nodes[-1].tag in ("table", "thead", "tbody", "tfoot"):
                 row = Node("tr", {})
-                stack[-1].children.append(row)
-                stack.append(row)
-        node = Node(tag, _attributes(m[3]))
-        stack[-1].children.append(node)
+                nodes[-1].children.append(row)
+                stack.push(row)
+        node = Node(tag, _attributes(attributes))
+        nodes[-1].children.append(node)
         if tag in RAW or tag in PLAIN:
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            inner = page[at : close.start() if close else n]
+            if tag not in closings:
+                closings[tag] = _Places(page, rf"(?i)</{re.escape(tag)}(?=[\s/>])")
+            close = closings[tag].next(at)
+            last = gts.next(close) if close >= 0 else -1
+            inner = page[at : close if last >= 0 else n]
             if tag in PLAIN:
                 node.children.append(entities.unescape(inner))
-            at = close.end() if close else n
-        elif tag not in VOID and not (m[3].endswith("/") and tag in ("svg", "path", "g")):
-            stack.append(node)
+            begun = at = last + 1 if last >= 0 else n
+        elif tag not in VOID and not (attributes.endswith("/") and tag in ("svg", "path", "g")):
+            stack.push(node)
+    text(page[begun:])
     return root
 
 
@@ -172,7 +274,7 @@ class Flow:
         if self.gap > 1 and self.lines:
             self.lines.append("")
         self.gap = 0
-        head = "".join(self.indent)
+        head = "".join(self.indent)[-MAX_INDENT:]
         if self.mark:
             head, self.mark = head[: len(head) - len(self.mark)] + self.mark, ""
         self.lines.append((head + s).rstrip(" "))
@@ -211,34 +313,55 @@ class Grid:
 
     def lay_out(self) -> list[str]:
         """Lines with all columns aligned; two spaces between columns. A cell over several columns or
-        rows stands in the first of them."""
+        rows stands in the first of them; columns after MAX_COLUMNS are taken by cells one by one. Where that would make more than MIN_PADDING characters and MAX_PADDING times
+        those of the cells, rows are not aligned."""
         placed: list[dict[int, list[str]]] = []
-        taken: dict[int, int] = {}
-        for row in self.rows:
-            at, cells, begun = 0, {}, {}
+        until: dict[int, int] = {}  # the last row that a cell over several rows takes a column of
+        for n, row in enumerate(self.rows):
+            at, cells = 0, {}
             for body, across, down in row:
-                while taken.get(at, 0) > 0:
+                while until.get(at, -1) >= n:
                     at += 1
                 cells[at] = body.split("\n")
+                beyond = max(at + 1, min(at + across, MAX_COLUMNS))
                 if down > 1:
-                    begun.update(dict.fromkeys(range(at, at + across), down))
-                at += across
+                    until.update(dict.fromkeys(range(at, beyond), n + down - 1))
+                at = beyond
             placed.append(cells)
-            taken = {c: k - 1 for c, k in (taken | begun).items() if k > 1}
         widths: dict[int, int] = {}
+        own = size = 0
         for cells in placed:
             for c, lines in cells.items():
-                widths[c] = max([widths.get(c, 0), *map(width, lines)])
+                sizes = list(map(width, lines))
+                widths[c] = max([widths.get(c, 0), *sizes])
+                own += sum(len(x) - x.count(" ") for x in lines)
         shown = [c for c in sorted(widths) if widths[c]]
+        edges = [0, *accumulate(widths[c] + 2 for c in shown)]
         out = [x for caption in self.captions for x in caption.split("\n")]
         for cells in placed:
+            size += edges[bisect_right(shown, max(cells, default=-1))] * max((len(x) for x in cells.values()), default=0)
+        if size > MAX_PADDING * own + MIN_PADDING:
+            return out + self._stacked(placed)
+        for cells in placed:
+            last = bisect_right(shown, max(cells, default=-1))
             for k in range(max((len(x) for x in cells.values()), default=0)):
-                pieces = [(cells[c][k] if c in cells and k < len(cells[c]) else "") for c in shown]
-                line = "  ".join(p + " " * (widths[c] - width(p)) for c, p in zip(shown, pieces, strict=True)).rstrip(" ")
-                if line or any(cells.get(c) for c in shown):
+                pieces = [(cells[c][k] if c in cells and k < len(cells[c]) else "") for c in shown[:last]]
+                line = "  ".join(p + " " * (widths[c] - width(p)) for c, p in zip(shown, pieces, strict=False)).rstrip(" ")
+                if line or any(cells.get(c) for c in shown[:last]):
                     out.append(line)
         return out
 
+    @staticmethod
+    def _stacked(placed: list[dict[int, list[str]]]) -> list[str]:
+        """Rows without columns: cells of one line beside each other, others below each other."""
+        out = []
+        for cells in placed:
+            filled = [cells[c] for c in sorted(cells) if any(cells[c])]
+            if all(len(x) == 1 for x in filled):
+                filled = [["  ".join(x[0] for x in filled)]] if filled else []
+            out += [line for x in filled for line in x]
+        return out
+
 
 def _span(value: str | None, most: int) -> int:
     return min(most, max(1, int(value))) if value and value.isascii() and value.isdigit() else 1
@@ -247,6 +370,7 @@ def _span(value: str | None, most: int) -> int:
 def render(root: Node) -> str:
     """All visible text with its layout."""
     flows, grids, lists, pre = [Flow()], [], [], 0
+    plain: list[bool] = []  # for each open table whether it is too deep for a grid
     todo: list[tuple[object, bool, bool]] = [(root, False, True)]
     while todo:
         node, leaving, seen = todo.pop()
@@ -265,7 +389,9 @@ def render(root: Node) -> str:
         tag = node.tag
         gap = 2 if tag in SPACED else 1 if tag in BLOCKS else 0
         if leaving:
-            if tag == "table":
+            if tag == "table" and plain.pop():
+                flow.rest(2)
+            elif tag == "table":
                 lines = grids.pop()[0].lay_out()
                 for line in lines:
                     flow.line(line)
@@ -322,7 +448,9 @@ def render(root: Node) -> str:
         todo.append((node, True, seen))
         if tag == "table":
             flow.rest(2)
-            grids.append((Grid(), len(flows)))
+            plain.append(len(grids) >= MAX_GRIDS)
+            if not plain[-1]:
+                grids.append((Grid(), len(flows)))
         elif tag == "tr" and grids and grids[-1][1] == len(flows):
             grids[-1][0].rows.append([])
         elif tag in ("td", "th", "caption") and grids and grids[-1][1] == len(flows):
@@ -356,14 +484,17 @@ def extract(page: str | None) -> str:
 def extract_pages(df: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
     """page_id, text, n_chars, n_lines of each row of df (repeated rows too).
 
-    Null or empty pages give an empty text; pages of any length or nesting are rendered whole; an
-    empty table gives an empty result; other columns do not matter. No shuffle.
+    Null or empty pages give an empty text; pages of any length or nesting are rendered whole, in steps that grow with
+    their length alone, into a text of bounded size for each character; an empty table gives an empty result; repeated rows
+    are rendered each; other columns do not matter. No shuffle.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(p) for p in batch["html"].tolist()]
-            yield pd.DataFrame({"page_id": batch["page_id"].array, "text": texts, "n_chars": list(map(len, texts)), "n_lines": [t.count("\n") + 1 if t else 0 for t in texts]})
+            for part in blocks(batch, 1, BLOCK_CHARS):
+                texts = [extract(p) for p in part.column(1).to_pylist()]
+                counts = [pa.array(x, pa.int64()) for x in (list(map(len, texts)), [t.count("\n") + 1 if t else 0 for t in texts])]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), *counts], names=["page_id", "text", "n_chars", "n_lines"])
 
     rows = df.select(col(page_id).alias("page_id"), F.coalesce(col(html), F.lit("")).alias("html"))
-    return map_pandas(rows, run, f"page_id {rows.dtypes[0][1]}, text string, n_chars bigint, n_lines bigint")
+    return map_arrow(rows, run, f"page_id {rows.dtypes[0][1]}, text string, n_chars bigint, n_lines bigint")

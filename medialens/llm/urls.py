@@ -78,7 +78,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url
     best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "host_length", F.col("action"), "rule")).alias("best"))
     # written, so that the join shuffles it anew: only then can Spark split the rows of one URL over tasks
     best = written(best.select(F.col("host").alias("b_host"), F.col("path").alias("b_path"), F.col("best.rule").alias("rule"), F.col("best.action").alias("action")), "verdicts")
-    both = judged.filter("host <> ''").join(best, (F.col("host") == F.col("b_host")) & (F.col("path") == F.col("b_path")), "left")
+    # no broadcast: Parquet files of so like rows are far smaller than the rows
+    both = judged.filter("host <> ''").join(best.hint("merge"), (F.col("host") == F.col("b_host")) & (F.col("path") == F.col("b_path")), "left")
     rest = judged.filter("host = ''").withColumns({"rule": F.lit(None).cast("string"), "action": F.lit(None).cast("string")})
     rows = both.select("page_id", "host", "path", "rule", "action").unionByName(rest)
     return rows.select("page_id", "host", "path", "rule", F.coalesce("action", F.lit(default)).alias("verdict"))
