@@ -47,8 +47,7 @@ m AS (SELECT rid, doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(coale
   FROM w LEFT JOIN repeats USING (rid)),
 l AS (SELECT rid, doc_id, t, source, CAST('0x' || substr(md5(trim(regexp_replace(lower(x), '{WORD_SPLIT}', ' ', 'g'))), 1, 15) AS BIGINT) AS line,
   CAST(len(list_filter(regexp_split_to_array(x, '{WORD_SPLIT}'), lambda y: y <> '')) AS BIGINT) AS words FROM (SELECT rid, doc_id, t, source, unnest(ls) AS x FROM w)),
-other AS (SELECT a.rid, a.source, a.line, min(b.line) AS lo, max(b.line) AS hi FROM (SELECT DISTINCT rid, source, line FROM l) a LEFT JOIN (SELECT DISTINCT rid, line FROM l) b ON a.rid = b.rid AND a.line <> b.line GROUP BY ALL),
-frequent AS (SELECT source, line FROM (SELECT DISTINCT source, line, lo, hi FROM other) GROUP BY ALL HAVING count(*) > {MAX_DOCS_PER_HOST}),
+frequent AS (SELECT source, line FROM (SELECT DISTINCT source, line, md5(t) AS document FROM l) GROUP BY ALL HAVING count(*) > {MAX_DOCS_PER_HOST}),
 lost AS (SELECT rid, CAST(count(*) AS BIGINT) AS n, CAST(sum(words) AS BIGINT) AS words FROM l JOIN frequent f ON l.line = f.line AND l.source IS NOT DISTINCT FROM f.source GROUP BY rid),
 v AS (SELECT m.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(lost.n, 0) AS n_frequent_lines, coalesce(lost.words, 0) AS n_frequent_words FROM m LEFT JOIN lost USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT 100 * n_frequent_words > 50 * n_words AS kept, n_frequent_lines, n_frequent_words FROM v"""

@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medialens.llm.runtime import SPACE_CLASS, col, fresh, written
+from medialens.functions.vectors import bound
+from medialens.llm.runtime import SPACE_CLASS, col, fresh, within_rows, written
 
 #: A line is frequent if more distinct documents of one host than this have it.
 MAX_DOCS_PER_HOST = 20
@@ -107,6 +108,9 @@ def removed_lines(df: DataFrame, doc_id: str, text: str, host: str, max_docs: in
     # written once and read twice: splitting and hashing the lines costs far more than their hashes take on disk
     rows = written(line_occurrences(df, doc_id, text, host), "lines")
     frequent = frequent_lines(rows, max_docs).select(F.col("host").alias("f_host"), F.col("line").alias("f_line"))
+    # written, so that a larger side is shuffled anew: only then can Spark split the rows of one line over tasks
+    frequent = written(frequent, "frequent-lines")
+    frequent = F.broadcast(frequent) if within_rows(frequent) else frequent.hint("merge")
     hit = rows.join(frequent, (F.col("line") == F.col("f_line")) & F.col("host").eqNullSafe(F.col("f_host")), "left_semi")
     return hit.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("pos", "words")).alias("removed"))
 
@@ -158,6 +162,8 @@ def apply_quality(df: DataFrame, doc_id: str = "doc_id", text: str = "text", hos
     # one comparison over both sides: a filter on the measures alone would be pushed down and compute them many times
     both = both.filter(100 * gone <= F.col(words))
     places = F.col(removed)["pos"]
-    left = F.array_join(F.filter(lines_of(col(text)), lambda _, i: ~F.array_contains(places, i)), "\n")
+    # the places that stay by one hashed difference, not by a look at all removed places for each line
+    stay = lambda ls: F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), places)
+    left = bound(lines_of(col(text)), lambda ls: F.array_join(F.transform(stay(ls), lambda i: F.get(ls, i)), "\n"))
     both = both.withColumn(lines, F.when(F.col(removed).isNull(), col(text)).otherwise(left))
     return both.select(*[F.col(lines).alias(c) if c == text else F.length(F.col(lines)).cast(df.schema[c].dataType).alias(c) if c == length else col(c) for c in out_cols])
