@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medialens.llm.runtime import col, cut, fresh, map_arrow, release_memory, ship, written
@@ -128,19 +128,20 @@ def similarity_of(left: pa.Array, right: pa.Array) -> np.ndarray:
 
 
 def _bands(texts: DataFrame, bands: int, per_band: int) -> DataFrame:
-    """band, node of (node, text): no shuffle; a text is signed once in each block that has it."""
+    """band, id of (id, text): no shuffle; a text is signed once in each block that has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, 1):
-                nodes, at = np.unique(np.asarray(part.column(0)), return_index=True)
+                ids = part.column(0).dictionary_encode()
+                _, at = np.unique(np.asarray(ids.indices), return_index=True)
                 words = hash_words(part.column(1).take(pa.array(at)))
                 _, rows, shingles, counts = bags_of(words, len(at))
                 full = np.unique(rows)
                 hashes = band_hashes(signatures(rows, shingles, counts, len(at), bands * per_band)[full], bands, per_band)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.reshape(-1).view(np.int64)), pa.array(np.repeat(nodes[full], bands))], names=["band", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.reshape(-1).view(np.int64)), ids.dictionary.take(pa.array(np.repeat(full, bands)))], names=["band", "id"])
 
-    return map_arrow(texts, run, "band bigint, node bigint")
+    return map_arrow(texts, run, "band bigint, id binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -184,26 +185,51 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return cut(old.unionByName(new))
 
 
-def near_duplicate_labels(texts: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
-    """node, class of all nodes of (node, text) that have a link; a node stands for one text."""
+def near_duplicate_labels(texts: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS, per_band: int = ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """(node, class of all nodes that have a link; numbers) of (id, text); an id stands for one text, a node for an id.
+
+    Nodes are 64-bit hashes of ids, unless two ids that share a bucket with others have the same one; then numbers (id, node)
+    has nodes that are counted. Sides that are summed by bucket are written before they are joined, so that Spark can split a
+    bucket which many texts are in.
+    """
     rows = written(_bands(texts, bands, per_band).distinct(), "bands")
-    full = rows.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("band", "low")
-    rows = written(rows.join(full, "band"), "buckets")
-    members = rows.select("node").distinct()
-    known = written(texts.join(members, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    full = written(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band"), "full")
+    rows = written(rows.join(full, "band", "left_semi"), "shared")
+    ids = rows.select("id").distinct()
+    numbers = None
+    if not ids.groupBy(hash_of("id").alias("node")).count().filter("count > 1").isEmpty():
+        numbers = written(ids.select("id", F.monotonically_increasing_id().alias("node")), "numbers")
+    rows = with_node(rows, numbers).select("band", "node")
+    known = written(with_node(texts, numbers).join(rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    low = rows.groupBy("band").agg(F.min("node").alias("low"))
+    rows = written(rows.join(written(low, "lowest"), "band"), "buckets")
+    return _labels(rows, known, threshold), numbers
+
+
+def hash_of(name: str) -> Column:
+    return F.xxhash64(name)
+
+
+def with_node(df: DataFrame, numbers: DataFrame | None) -> DataFrame:
+    """df with the node of its id; null for ids that have no number."""
+    return df.withColumn("node", hash_of("id")) if numbers is None else df.join(numbers, "id", "left")
+
+
+def _labels(rows: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """node, class of the nodes of (band, node, low) that have a link."""
     tried = cut(rows.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct())
     labels = components(_verified(tried, known, threshold))
 
     rows = _open(rows, labels)
     leaders = rows.groupBy("band").agg(F.min_by(F.struct("node", "class"), F.xxhash64("node", "band")).alias("leader")).select("band", F.col("leader.node").alias("l_node"), F.col("leader.class").alias("l_class"))
-    pairs = rows.join(leaders, "band").filter("class <> l_class").select(F.least("node", "l_node").alias("a"), F.greatest("node", "l_node").alias("b")).distinct()
+    pairs = rows.join(written(leaders, "leaders"), "band").filter("class <> l_class").select(F.least("node", "l_node").alias("a"), F.greatest("node", "l_node").alias("b")).distinct()
     pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
     labels = _joined(labels, _verified(pairs, known, threshold))
 
     rows = _open(rows, labels)
     tried = tried.union(pairs)
     sizes = rows.groupBy("band", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("main"))
-    rows = cut(rows.join(sizes, "band"))
+    rows = cut(rows.join(written(sizes, "sizes"), "band"))
     small = rows.filter(F.col("n") <= SMALL_BUCKET)
     other = small.select("band", F.col("node").alias("b"), F.col("class").alias("b_class"))
     pairs = small.join(other, "band").filter("class < b_class").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
@@ -215,7 +241,7 @@ def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """band, node, class of the buckets that still hold several classes."""
     named = rows.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("class", "node").alias("class"))
     several = named.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("band")
-    return cut(named.join(several, "band", "left_semi"))
+    return cut(named.join(written(several, "several"), "band", "left_semi"))
 
 
 def _block_links(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -281,15 +307,20 @@ def overlaps(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return both.astype(np.float64), total
 
 
+def text_id(text: str) -> Column:
+    """128 bits that tell texts apart; null for null."""
+    return F.unhex(F.md5(col(text)))
+
+
 def _classes(df: DataFrame, doc_id: str, text: str, **options) -> DataFrame:
-    """node, class_id, keeper (struct of doc_id and node), n_docs of the texts of df."""
-    texts = df.select(F.xxhash64(col(text)).alias("node"), col(text).alias("text")).filter("text IS NOT NULL")
-    labels = near_duplicate_labels(texts, **options)
-    docs = df.filter(col(text).isNotNull()).select(F.xxhash64(col(text)).alias("node"), col(doc_id).alias("doc_id")).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count_if(F.col("doc_id").isNull()).alias("n_null"), F.count(F.lit(1)).alias("n"))
-    docs = docs.select("node", F.when(F.col("n_null") == 0, F.col("doc_id")).alias("doc_id"), "n").join(labels, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    docs = cut(docs)
-    best = docs.groupBy("class").agg(F.min(F.struct("doc_id", "node")).alias("keeper"), F.sum("n").alias("n_docs"))
-    return docs.select("node", "class").join(best, "class").select("node", "keeper", "n_docs")
+    """id, keeper (struct of doc_id and id), n_docs of the texts of df."""
+    labels, numbers = near_duplicate_labels(df.select(text_id(text).alias("id"), col(text).alias("text")).filter("text IS NOT NULL"), **options)
+    docs = df.filter(col(text).isNotNull()).select(text_id(text).alias("id"), col(doc_id).alias("doc_id")).groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.count_if(F.col("doc_id").isNull()).alias("n_null"), F.count(F.lit(1)).alias("n"))
+    docs = with_node(docs.select("id", F.when(F.col("n_null") == 0, F.col("doc_id")).alias("doc_id"), "n"), numbers)
+    docs = cut(docs.join(labels, "node", "left").select("id", "doc_id", "n", "class"))
+    own = F.struct("doc_id", "id")
+    best = docs.filter("class IS NOT NULL").groupBy("class").agg(F.min(own).alias("keeper"), F.sum("n").alias("n_docs"))
+    return docs.join(written(best, "keepers"), "class", "left").select("id", F.coalesce("keeper", own).alias("keeper"), F.coalesce("n_docs", "n").alias("n_docs"))
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -298,12 +329,12 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     class_id is the smallest doc_id of the class (null goes first); kept marks the rows with that id and text,
     so equal rows are kept or dropped together. Equal texts are one class. Texts without words link to
     nothing but their copies; null texts are classes of their own, kept. An empty table gives an empty result.
-    Texts are told apart by 64-bit hashes. Options: threshold, bands, per_band.
+    Texts are told apart by 128-bit hashes. Options: threshold, bands, per_band.
     """
     classes = _classes(df, doc_id, text, **options)
-    rows = df.select(col(doc_id).alias("doc_id"), F.xxhash64(col(text)).alias("row_node"), col(text).isNull().alias("no_text"))
-    both = rows.join(classes, (F.col("row_node") == F.col("node")) & ~F.col("no_text"), "left")
-    kept = F.col("no_text") | (F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("row_node") == F.col("keeper.node")))
+    rows = df.select(col(doc_id).alias("doc_id"), text_id(text).alias("row_id"), col(text).isNull().alias("no_text"))
+    both = rows.join(classes, F.col("row_id") == F.col("id"), "left")
+    kept = F.col("no_text") | (F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("row_id") == F.col("keeper.id")))
     return both.select("doc_id", F.when(F.col("no_text"), F.col("doc_id")).otherwise(F.col("keeper.doc_id")).alias("class_id"), F.coalesce("n_docs", F.lit(1)).alias("n_docs"), kept.alias("kept"))
 
 
@@ -314,11 +345,11 @@ def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     node, r_id, r_node, serial = fresh(df, "node", "r_id", "r_node", "serial")
     classes = _classes(df, doc_id, text, **options)
-    keepers = classes.select("keeper").distinct().select(F.col("keeper.doc_id").alias(r_id), F.col("keeper.node").alias(r_node))
-    rows = df.withColumn(node, F.xxhash64(col(text)))
+    keepers = classes.select("keeper").distinct().select(F.col("keeper.doc_id").alias(r_id), F.col("keeper.id").alias(r_node))
+    rows = df.withColumn(node, text_id(text))
     kept = rows.join(keepers, (F.col(node) == F.col(r_node)) & col(doc_id).eqNullSafe(F.col(r_id)) & col(text).isNotNull(), "left")
     kept = kept.filter(F.col(r_node).isNotNull() | col(text).isNull())
-    again = df.filter(col(text).isNotNull()).groupBy(F.xxhash64(col(text)).alias(r_node), col(doc_id).alias(r_id)).count().filter("count > 1").drop("count")
+    again = df.filter(col(text).isNotNull()).groupBy(text_id(text).alias(r_node), col(doc_id).alias(r_id)).count().filter("count > 1").drop("count")
     if again.isEmpty():
         return kept.select(*[col(c) for c in df.columns])
     once = kept.withColumn(serial, F.when(col(text).isNull(), F.monotonically_increasing_id()))

@@ -393,6 +393,15 @@ def test_a_large_group_of_borderline_copies(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept) == sorted(set(brute_classes(rows).values()))
 
 
+def test_texts_whose_hashes_collide_stay_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(minhash, "hash_of", lambda name: F.pmod(F.xxhash64(name), F.lit(5)))
+    rows = [(i, " ".join(f"w{i % 20}x{k}" for k in range(30)) + (" more" if i >= 20 else "")) for i in range(40)]
+    got = {r.doc_id: (r.class_id, r.n_docs) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (i % 20, 2) for i in range(40)}
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(5)
     errors = []
