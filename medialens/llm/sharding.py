@@ -19,7 +19,7 @@ from medialens.llm.runtime import col, fresh
 
 #: Slots of the table: a prime, so that every stride walks through all slots. It bounds the broadcast.
 TABLE_SIZE = 65_537
-MAX_TABLE_SIZE = 5_000_011
+MAX_TABLE_SIZE = 199_999
 
 
 def _is_prime(n: int) -> bool:
