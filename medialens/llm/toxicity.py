@@ -174,24 +174,23 @@ def _highest(key: np.ndarray, slot: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return order[np.append((k[1:] != k[:-1]) | (s[1:] != s[:-1]), True)] if len(order) else order
 
 
-def _sketch(words: Words, texts: bytes) -> tuple[np.ndarray, list[bytes], list[bytes]]:
-    """(stem, word, registers) of each word that follows another: the hash of its shortest stem, its bytes, and register and
+def _sketch(words: Words, texts: bytes) -> tuple[list[bytes], list[bytes]]:
+    """(word, registers) of each word that follows another: its bytes, and register and
     rank of the words before it, in pairs of bytes. The empty word has the registers of all pairs, 16 bits each."""
     at, pairs = pairs_of(words)
     if not len(at):
-        return np.zeros(0, np.int64), [], []
+        return [], []
     total, rank = (pairs & U64(_TOTAL_REGISTERS - 1)).astype(np.uint16), _rank(pairs)
     best = _highest(total, total, rank)
-    stems, names, packed = [np.zeros(1, np.int64)], [b""], [np.stack([total[best], rank[best].astype(np.uint16)], 1).tobytes()]
+    names, packed = [b""], [np.stack([total[best], rank[best].astype(np.uint16)], 1).tobytes()]
     before = mix(words.hash[at - 1] + U64(7))
     register, rank = (before & U64(_REGISTERS - 1)).astype(np.uint8), _rank(before)
     best = _highest(words.hash[at], register, rank)
     at, filled = at[best], np.stack([register[best], rank[best]], 1).tobytes()
     first = np.flatnonzero(np.append(True, words.hash[at[1:]] != words.hash[at[:-1]]))
-    stems.append(words.prefix[STEMS[0]][at[first]].view(np.int64))
     names += [texts[a:b] for a, b in zip(words.start[at[first]].tolist(), words.end[at[first]].tolist(), strict=True)]
     packed += [filled[2 * a : 2 * b] for a, b in zip(first.tolist(), [*first[1:].tolist(), len(at)], strict=True)]
-    return np.concatenate(stems), names, packed
+    return names, packed
 
 
 def _merge(names: pa.Array, packed: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -241,19 +240,19 @@ def continuation_counts(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for part in blocks(batch, 0, 8_000_000):
                 lower = pc.utf8_lower(pc.fill_null(part.column(0).cast(pa.large_string()), ""))
-                stems, names, packed = _sketch(words_of(lower), "".join(lower.to_pylist()).encode())
-                yield pa.RecordBatch.from_arrays([pa.array(stems), pa.array(names, pa.binary()), pa.array(packed, pa.binary())], names=["stem", "word", "registers"])
+                names, packed = _sketch(words_of(lower), "".join(lower.to_pylist()).encode())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(packed, pa.binary())], names=["word", "registers"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(batches, pa.schema([("stem", pa.int64()), ("word", pa.binary()), ("registers", pa.binary())])).combine_chunks()
+        rows = pa.Table.from_batches(batches, pa.schema([("word", pa.binary()), ("registers", pa.binary())])).combine_chunks()
         if len(rows):
             for level, key, stands in _merge(rows["word"].combine_chunks().cast(pa.string()), rows["registers"].combine_chunks()):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), level, np.int32)), pa.array(key.view(np.int64)), pa.array(stands)], names=["level", "key", "stands"])
 
-    filled = map_arrow(texts, gather, "stem bigint, word binary, registers binary")
+    filled = map_arrow(texts, gather, "word binary, registers binary")
     # in proportion to the input, so that what a task holds is bounded
     n = max(48, 4 * texts.rdd.getNumPartitions())
-    return map_arrow(filled.repartition(n, "stem"), merge, "level int, key bigint, stands double")
+    return map_arrow(filled.repartition(n, F.substring("word", 1, STEMS[0])), merge, "level int, key bigint, stands double")
 
 
 def _model(keys: list[np.ndarray], counts: list[np.ndarray], parents: list[np.ndarray], contexts: np.ndarray, totals: np.ndarray, stands: list[np.ndarray], pairs: float) -> Model:
