@@ -38,6 +38,8 @@ FOLDS = 5
 CURVE_ONE_IN = 5
 _REGISTERS = 16
 _TOTAL_REGISTERS = 1 << 12
+#: Most cells of registers that a task holds before it sends them on.
+_HELD_CELLS = 2_000_000
 
 
 def words_of(texts: pa.Array) -> Words:
@@ -167,34 +169,68 @@ def _rank(h: np.ndarray) -> np.ndarray:
     return np.minimum(40, 41 - np.frexp((h >> U64(24)).astype(np.float64))[1]).astype(np.uint8)
 
 
-def _highest(key: np.ndarray, slot: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Where the highest rank of each key and register stands; by key, then register."""
-    order = np.lexsort((rank, slot, key))
-    k, s = key[order], slot[order]
+def _highest(key: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Where the highest rank of each key and register stands; by key, then register. A cell has a rank in its lower 8 bits
+    and its register above."""
+    order = np.lexsort((cells, key))
+    k, s = key[order], cells[order] >> cells.dtype.type(8)
     return order[np.append((k[1:] != k[:-1]) | (s[1:] != s[:-1]), True)] if len(order) else order
 
 
-def _sketch(words: Words, texts: bytes) -> tuple[list[bytes], list[bytes]]:
-    """(word, registers) of each word that follows another: its bytes, and register and
-    rank of the words before it, in pairs of bytes. The empty word has the registers of all pairs, 16 bits each."""
+@dataclass
+class Sketch:
+    """Different words, their hashes, and the cells of the registers that each fills: counts[i] cells for word i, in order."""
+
+    names: pa.Array
+    hash: np.ndarray
+    counts: np.ndarray
+    cells: np.ndarray
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        """Rows of (word, registers), registers and ranks in pairs of bytes. Words stand in order, so that they compress well."""
+        ends = np.concatenate([[0], np.cumsum(self.counts)]) * 2
+        packed = pa.Array.from_buffers(pa.large_binary(), len(self.names), [None, pa.py_buffer(ends), pa.py_buffer(self.cells.astype(">u2"))])
+        rows = pa.RecordBatch.from_arrays([self.names, packed.cast(pa.binary())], names=["word", "registers"]).sort_by("word")
+        for at in range(0, rows.num_rows, 50_000):
+            yield rows.slice(at, 50_000)
+
+
+def _best(names: pa.Array, of: np.ndarray, key: np.ndarray, cells: np.ndarray) -> Sketch:
+    """Sketch of the highest cells; cell i belongs to the word names[of[i]], whose hash is key[i]."""
+    best = _highest(key, cells)
+    key, of, cells = key[best], of[best], cells[best]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return Sketch(names.take(pa.array(of[first])), key[first], np.diff(np.append(first, len(key))), cells)
+
+
+def _sketch(texts: pa.Array, totals: np.ndarray) -> Sketch | None:
+    """Sketch of the words before each word that follows another; all pairs fill the registers of totals."""
+    lower = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    words = hash_words(lower, lower=False)
     at, pairs = pairs_of(words)
     if not len(at):
-        return [], []
-    total, rank = (pairs & U64(_TOTAL_REGISTERS - 1)).astype(np.uint16), _rank(pairs)
-    best = _highest(total, total, rank)
-    names, packed = [b""], [np.stack([total[best], rank[best].astype(np.uint16)], 1).tobytes()]
+        return None
+    np.maximum.at(totals, (pairs & U64(len(totals) - 1)).astype(np.int64), _rank(pairs))
     before = mix(words.hash[at - 1] + U64(7))
-    register, rank = (before & U64(_REGISTERS - 1)).astype(np.uint8), _rank(before)
-    best = _highest(words.hash[at], register, rank)
-    at, filled = at[best], np.stack([register[best], rank[best]], 1).tobytes()
-    first = np.flatnonzero(np.append(True, words.hash[at[1:]] != words.hash[at[:-1]]))
-    names += [texts[a:b] for a, b in zip(words.start[at[first]].tolist(), words.end[at[first]].tolist(), strict=True)]
-    packed += [filled[2 * a : 2 * b] for a, b in zip(first.tolist(), [*first[1:].tolist(), len(at)], strict=True)]
-    return names, packed
+    cells = ((before & U64(_REGISTERS - 1)) << U64(8)).astype(np.uint16) | _rank(before)
+    # words and the gaps after them in turn, over the buffer that the texts share
+    borders = np.stack([words.start, words.end], 1).ravel()
+    begin = np.frombuffer(lower.buffers()[1], np.int64, count=1, offset=lower.offset * 8)[0]
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(borders) - 1, [None, pa.py_buffer(borders), lower.buffers()[2].slice(begin)])
+    found = _best(pieces, 2 * at, words.hash[at], cells)
+    found.names = found.names.cast(pa.binary())
+    return found
+
+
+def _joined(parts: list[Sketch]) -> Sketch:
+    """One sketch with the words of all parts."""
+    names, key = pa.concat_arrays([p.names for p in parts]), np.concatenate([p.hash for p in parts])
+    of = np.repeat(np.arange(len(key)), np.concatenate([p.counts for p in parts]))
+    return _best(names, of, key[of], np.concatenate([p.cells for p in parts]))
 
 
 def _merge(names: pa.Array, packed: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(level, keys, estimated counts) from the rows of _sketch() that have the same stems."""
+    """(level, keys, estimated counts) from the rows of sketches that have the same stems."""
     total = np.asarray(pc.equal(pc.binary_length(names), 0))
     if total.any():
         registers = np.zeros((1, _TOTAL_REGISTERS), np.uint8)
@@ -207,15 +243,15 @@ def _merge(names: pa.Array, packed: pa.Array) -> Iterator[tuple[int, np.ndarray,
         return
     words = words_of(names)
     of = np.repeat(np.arange(len(names)), np.asarray(pc.binary_length(packed)) // 2)
-    register, rank = np.frombuffer(b"".join(packed.to_pylist()), np.uint8).reshape(-1, 2).T
+    cells = np.frombuffer(b"".join(packed.to_pylist()), ">u2").astype(np.uint16)
     for level in range(WORD, -1, -1):
         # what stands before a longer form also stands before its stem, so each level goes on from what the last one left
         key = keys_of(words, level)[of]
-        best = _highest(key, register, rank)
-        key, of, register, rank = key[best], of[best], register[best], rank[best]
+        best = _highest(key, cells)
+        key, of, cells = key[best], of[best], cells[best]
         first = np.append(True, key[1:] != key[:-1])
         registers = np.zeros((int(first.sum()), _REGISTERS), np.uint8)
-        registers[np.cumsum(first) - 1, register] = rank
+        registers[np.cumsum(first) - 1, cells >> 8] = cells & 255
         yield level, key[first], estimate(registers)
 
 
@@ -232,16 +268,25 @@ def continuation_counts(texts: DataFrame) -> DataFrame:
     """level, key, stands of all words and stems of all texts: in how many contexts they stand, estimated from registers.
     Level -1 has the number of different pairs, if there are any.
 
-    Each block of text sends a row for each of its different words, so a frequent one is as light as others. All forms
-    of a word meet by its shortest stem: one shuffle serves all levels.
+    A task sends a row for each of its different words (again each time it holds _HELD_CELLS cells, so that its memory is bounded), so
+    a frequent one is as light as others. All forms of a word meet by its shortest stem: one shuffle serves all levels.
     """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals, held = np.zeros(_TOTAL_REGISTERS, np.uint8), []
         for batch in batches:
-            for part in blocks(batch, 0, 8_000_000):
-                lower = pc.utf8_lower(pc.fill_null(part.column(0).cast(pa.large_string()), ""))
-                names, packed = _sketch(words_of(lower), "".join(lower.to_pylist()).encode())
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(packed, pa.binary())], names=["word", "registers"])
+            for part in blocks(batch, 0):
+                held += [found] if (found := _sketch(part.column(0), totals)) else []
+                if sum(len(p.cells) for p in held) > _HELD_CELLS:
+                    held = [_joined(held)]
+                    if len(held[0].cells) > _HELD_CELLS // 2:
+                        yield from held.pop().batches()
+        if held:
+            yield from _joined(held).batches()
+        filled = np.flatnonzero(totals)
+        if len(filled):
+            packed = np.stack([filled.astype(np.uint16), totals[filled].astype(np.uint16)], 1).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([b""], pa.binary()), pa.array([packed], pa.binary())], names=["word", "registers"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(batches, pa.schema([("word", pa.binary()), ("registers", pa.binary())])).combine_chunks()
