@@ -13,6 +13,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,8 +26,10 @@ from medialens.llm.runtime import col, map_pandas
 #: Code points whose case, category and composition all Unicode versions in use agree on; texts with
 #: others are normalised and split by the tokenizers library itself.
 _UNSETTLED = regex.compile(r"[^\x00-ԯ‐-‧‰-⁞€]")
-#: Ranks after every merge.
-_NONE = (1 << 60, -1)
+#: A rank after that of every merge.
+_NONE = 1 << 60
+#: Letters that tell how long the tokens that begin with them can be.
+_HEAD = 3
 #: Words kept with their ids in one worker; beyond it the table starts anew.
 CACHED_WORDS = 150_000
 CACHED_PAIRS = 300_000
@@ -59,19 +62,31 @@ class WordBpe:
         for table in (self.vocab, self.special):
             for name, i in table.items():
                 self.names[i] = name
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[tuple[int, int], int] = {}
+        self.made: list[int] = []
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges.setdefault((self.vocab[a], self.vocab[b]), (rank, self.vocab[a + b]))
+            self.ranks.setdefault((self.vocab[a], self.vocab[b]), rank)
+            self.made.append(self.vocab[a + b])
         splits = spec["pre_tokenizer"]["pretokenizers"]
         self.words = regex.compile(splits[0]["pattern"]["Regex"])
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.letters = dict(enumerate(byte_letters()))
         self.longest = max(map(len, self.vocab))
+        # tokens that end a word, by their letters, and the length of the longest token by its first letters
+        self.finals = {name.removesuffix(self.suffix): i for name, i in self.vocab.items() if name.endswith(self.suffix)}
+        self.reach: dict[str, int] = {}
+        for name in self.vocab:
+            self.reach[name[:_HEAD]] = max(len(name), self.reach.get(name[:_HEAD], 0))
         self._raw, self._library = raw, None
         self.cache: dict[str, bytes] = {}
-        self.good: dict[int, bool] = {}
-        self.pairs: dict[int, bool] = {}
+        #: 1 if a token encodes to itself, 0 if not, -1 if not looked at yet
+        self.good = np.full(len(self.names), -1, np.int8)
+        self._forget_pairs()
+
+    def _forget_pairs(self) -> None:
+        """Empties the sorted table of looked-up pairs and whether they hold."""
+        self.pairs, self.pair_holds = np.zeros(0, np.int64), np.zeros(0, bool)
 
     # exact merging
 
@@ -84,19 +99,19 @@ class WordBpe:
         """The lowest-ranked adjacent pair, leftmost first, is merged until none is left."""
         if len(parts) > 40:
             return self._merge_long(parts)
-        get, none, parts = self.merges.get, _NONE, list(parts)
+        get, none, parts = self.ranks.get, _NONE, list(parts)
         ranked = [get(pair, none) for pair in zip(parts, parts[1:])]
         while ranked:
             best = min(ranked)
-            if best is none:
+            if best == none:
                 break
-            at = ranked.index(best)
-            parts[at : at + 2] = [best[1]]
-            del ranked[at]
+            at, new = ranked.index(best), self.made[best]
+            parts[at] = new
+            del parts[at + 1], ranked[at]
             if at:
-                ranked[at - 1] = get((parts[at - 1], best[1]), none)
+                ranked[at - 1] = get((parts[at - 1], new), none)
             if at < len(ranked):
-                ranked[at] = get((best[1], parts[at + 1]), none)
+                ranked[at] = get((new, parts[at + 1]), none)
         return parts
 
     def _merge_long(self, parts: list[int]) -> list[int]:
@@ -106,8 +121,8 @@ class WordBpe:
 
         def offer(i: int) -> None:
             j = after[i]
-            if j >= 0 and (found := self.merges.get((parts[i], parts[j]))) is not None:
-                heapq.heappush(heap, (found[0], i, parts[i], parts[j], found[1]))
+            if j >= 0 and (rank := self.ranks.get((parts[i], parts[j]))) is not None:
+                heapq.heappush(heap, (rank, i, parts[i], parts[j], self.made[rank]))
 
         for i in range(n - 1):
             offer(i)
@@ -129,14 +144,12 @@ class WordBpe:
 
     def propose(self, word: str) -> list[int]:
         """Greedy longest match from the left; the last token carries the suffix."""
-        vocab, suffix, n, at, out = self.vocab, self.suffix, len(word), 0, []
+        vocab, finals, reach, n, at, out = self.vocab, self.finals, self.reach, len(word), 0, []
         while at < n:
-            end = min(n, at + self.longest)
-            if end == n and (i := vocab.get(word[at:] + suffix)) is not None:
+            if n - at <= self.longest and (i := finals.get(word[at:])) is not None:
                 out.append(i)
                 break
-            if end == n:
-                end = n - 1
+            end = min(n - 1, at + reach.get(word[at : at + _HEAD], _HEAD - 1))
             while (i := vocab.get(word[at:end])) is None:
                 end -= 1
             out.append(i)
@@ -147,47 +160,52 @@ class WordBpe:
         name = self.names[token]
         return self.symbols(name[: -len(self.suffix)]) if self.suffix and name.endswith(self.suffix) else [self.vocab[c] for c in name]
 
-    def _token_holds(self, token: int) -> bool:
-        if (known := self.good.get(token)) is None:
-            known = self.good[token] = self.merge(self.letters_of(token)) == [token]
-        return known
+    def _tokens_hold(self, tokens: np.ndarray) -> np.ndarray:
+        """Whether each token encodes to itself; tokens not met before are merged once."""
+        for t in np.unique(tokens[self.good[tokens] < 0]).tolist():
+            self.good[t] = self.merge(self.letters_of(t)) == [t]
+        return self.good[tokens] > 0
 
-    def _pair_holds(self, code: int) -> bool:
-        a, b = code >> 32, code & 0xFFFFFFFF
-        return self._token_holds(a) and self._token_holds(b) and self.merge(self.letters_of(a) + self.letters_of(b)) == [a, b]
+    def _pairs_hold(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether each pair of tokens encodes to just that pair: all looked up in the table at once, new ones merged once."""
+        codes, back = np.unique((a << 32) | b, return_inverse=True)
+        if len(self.pairs) > CACHED_PAIRS:
+            self._forget_pairs()
+        new = codes[~np.isin(codes, self.pairs, assume_unique=True)]
+        left, right = new >> 32, new & 0xFFFFFFFF
+        holds = self._tokens_hold(left) & self._tokens_hold(right)
+        for k in np.flatnonzero(holds).tolist():
+            pair = [int(left[k]), int(right[k])]
+            holds[k] = self.merge(self.letters_of(pair[0]) + self.letters_of(pair[1])) == pair
+        at = np.searchsorted(self.pairs, new)
+        self.pairs, self.pair_holds = np.insert(self.pairs, at, new), np.insert(self.pair_holds, at, holds)
+        return self.pair_holds[np.searchsorted(self.pairs, codes)][back]
+
+    def spelled(self, word: str) -> str:
+        """The byte letters of a word; printable ASCII stands for itself."""
+        if word.isascii() and word.isprintable() and " " not in word:
+            return word
+        return "".join(map(self.letters.__getitem__, word.encode()))
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of each distinct pre-token, as little-endian unsigned 32-bit integers."""
         if not words:
             return []
-        spelled = ["".join(map(self.letters.__getitem__, w.encode())) for w in words]
-        proposals = [self.propose(w) for w in spelled]
+        spelled = list(map(self.spelled, words))
+        proposals = list(map(self.propose, spelled))
         lengths = np.fromiter(map(len, proposals), np.int64, len(proposals))
-        flat = np.fromiter((t for p in proposals for t in p), np.int64, int(lengths.sum()))
-        ends = np.cumsum(lengths)
-        inner = np.ones(len(flat), bool)
-        inner[ends - 1] = False
-        left = np.flatnonzero(inner)
-        codes = (flat[left] << 32) | flat[left + 1]
-        distinct, back = np.unique(codes, return_inverse=True)
-        if len(self.pairs) > CACHED_PAIRS:
-            self.pairs = {}
-        holds = np.empty(len(distinct), bool)
-        for k, code in enumerate(distinct.tolist()):
-            known = self.pairs.get(code)
-            if known is None:
-                known = self.pairs[code] = self._pair_holds(code)
-            holds[k] = known
-        fails = np.zeros(len(words), bool)
+        flat = np.fromiter(chain.from_iterable(proposals), np.int64, int(lengths.sum()))
         owner = np.repeat(np.arange(len(words)), lengths)
-        fails[owner[left[~holds[back]]]] = True
-        alone = np.flatnonzero(lengths == 1)
-        for k in alone.tolist():
-            if not self._token_holds(proposals[k][0]):
-                fails[k] = True
+        left = np.flatnonzero(owner[1:] == owner[:-1])
+        fails = np.zeros(len(words), bool)
+        fails[owner[left[~self._pairs_hold(flat[left], flat[left + 1])]]] = True
+        fails[owner[~self._tokens_hold(flat)]] = True
         for k in np.flatnonzero(fails).tolist():
             proposals[k] = self.merge(self.symbols(spelled[k]))
-        return [np.asarray(p, "<u4").tobytes() for p in proposals]
+        lengths = np.fromiter(map(len, proposals), np.int64, len(proposals))
+        ids = np.fromiter(chain.from_iterable(proposals), "<u4", int(lengths.sum())).tobytes()
+        ends = (4 * np.cumsum(lengths)).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
     # texts
 
