@@ -27,7 +27,7 @@ _SPACES = " \t\n\x0b\x0c\r"
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE_CLASS + "+"), lambda w: w != "")
+    return F.array_remove(F.split(text, SPACE_CLASS + "+"), "")
 
 
 def lines_of(text: Column) -> Column:
@@ -35,10 +35,14 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def line_key(line: Column) -> Column:
-    """60 bits of the MD5 of a line in lower case with single spaces and none around it."""
-    digest = F.md5(F.lower(F.btrim(F.regexp_replace(line, SPACE_CLASS + "+", " "))))
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+def single_spaced(line: Column) -> Column:
+    """A line with single spaces between its words and none around them."""
+    return F.btrim(F.regexp_replace(line, SPACE_CLASS + "+", " "))
+
+
+def line_key(spaced: Column) -> Column:
+    """60 bits of the MD5 of a single-spaced line in lower case."""
+    return F.conv(F.substring(F.md5(F.lower(spaced)), 1, 15), 16, 10).cast("bigint")
 
 
 def _has_word(line: Column) -> Column:
@@ -59,18 +63,21 @@ def base_measures(df: DataFrame, text: str) -> DataFrame:
         {
             words: words_of(F.col(body)),
             lines: F.filter(lines_of(F.col(body)), _has_word),
-            "word_chars": F.length(F.translate(F.col(body), _SPACES, "")).cast("bigint"),
-            "n_symbols": (F.length(F.col(body)) - F.length(F.translate(F.col(body), SYMBOLS, ""))).cast("bigint"),
+            # a look at each character through translate() costs several times as much
+            "n_symbols": (F.size(F.split(F.col(body), f"[{SYMBOLS}]")) - 1).cast("bigint"),
         }
     )
     step = step.withColumns(
         {
             "n_words": F.size(words).cast("bigint"),
+            "word_chars": F.length(F.array_join(words, "")).cast("bigint"),
             "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(F.col(lines)))).cast("bigint"),
             windows: F.expr(f"slice(transform({q(words)}, (w, i) -> xxhash64(w, get({q(words)}, i + 1), get({q(words)}, i + 2))), 1, greatest(size({q(words)}) - 2, 0))"),
         }
     ).drop(words, lines, body)
-    step = step.withColumn(ordered, F.expr(f"sort_array(transform({q(windows)}, (x, i) -> struct(x AS h, i AS i)))")).drop(windows)
+    # most texts repeat no window: a set of the hashes tells, and only the others are sorted
+    numbered = f"transform(if(size(array_distinct({q(windows)})) < size({q(windows)}), {q(windows)}, slice({q(windows)}, 1, 0)), (x, i) -> struct(x AS h, i AS i))"
+    step = step.withColumn(ordered, F.expr(f"sort_array({numbered})")).drop(windows)
     step = step.withColumn(places, F.expr(f"sort_array(transform(filter({q(ordered)}, (e, j) -> e.h = get({q(ordered)}, j + 1).h OR e.h = get({q(ordered)}, j - 1).h), e -> e.i))")).drop(ordered)
     covered = F.expr(f"aggregate(transform({q(places)}, (p, j) -> least(3, coalesce(get({q(places)}, j + 1) - p, 3))), 0, (a, x) -> a + x)")
     step = step.withColumn("n_repeat_words", covered.cast("bigint")).drop(places)
@@ -84,10 +91,14 @@ def line_occurrences(df: DataFrame, doc_id: str, text: str, host: str) -> DataFr
         col(doc_id).alias("doc_id"),
         F.xxhash64(col(text)).alias("text_key"),
         col(host).cast("string").alias("host"),
-        F.filter(F.transform(lines_of(F.coalesce(col(text), F.lit(""))), lambda x, i: F.struct(x.alias("line"), i.alias("pos"))), lambda s: _has_word(s["line"])).alias("lines"),
+        F.transform(lines_of(F.coalesce(col(text), F.lit(""))), lambda x, i: F.struct(single_spaced(x).alias("line"), i.alias("pos"))).alias("lines"),
     )
-    base = base.select("doc_id", "text_key", "host", F.transform("lines", lambda s: F.struct(line_key(s["line"]).alias("line"), s["pos"].alias("pos"), F.size(words_of(s["line"])).alias("words"))).alias("lines"))
-    base = base.select("doc_id", "text_key", "host", F.explode("lines").alias("l"))
+    # a line with a word has one space fewer than words
+    words = lambda line: F.size(F.split(line, " ")).alias("words")
+    lines = F.transform(F.filter("lines", lambda s: s["line"] != ""), lambda s: F.struct(line_key(s["line"]).alias("line"), s["pos"].alias("pos"), words(s["line"])))
+    base = base.select("doc_id", "text_key", "host", lines.alias("lines"))
+    # outer, as Spark would compute the lines once more in a filter on their number ahead of a plain explode
+    base = base.select("doc_id", "text_key", "host", F.explode_outer("lines").alias("l")).filter("l IS NOT NULL")
     return base.select("doc_id", "text_key", "host", F.col("l.line").alias("line"), F.col("l.pos").alias("pos"), F.col("l.words").alias("words"))
 
 
