@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medialens.llm import bpe, chat, decontamination, html, minhash, quality, sharding, substrings, toxicity, urls
+from medialens.llm import bpe, chat, decontamination, html, infill, minhash, quality, sharding, stamps, substrings, topk, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,6 +77,19 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = stamps.normalise(table(spark, sf_dir, "stamps").select("stamp_id", "source", "zone", "raw"))
+    return done.select("stamp_id", "utc_us", "rule", "ambiguous")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(infill.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -95,5 +108,8 @@ def queries() -> dict[str, Query]:
         "op8_near_dedup": op8_near_dedup,
         "op9_bpe": op9_bpe,
         "op10_html_extraction": op10_html_extraction,
+        "op11_timestamps": op11_timestamps,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_exact_topk": op13_exact_topk,
         "pipeline": pipeline,
     }
