@@ -1,13 +1,14 @@
 """Fill-in-middle transformation: prefix, suffix and middle of a text in the order of prefix-suffix-middle or suffix-prefix-middle.
 
 Code points are counted and cut by the Split pre-tokenizer of the tokenizers library. Its isolated matches are blocks of
-1,024 code points first, whose offsets rank the blocks; only a block that holds the text's end or a cut is split again into single code
+64 code points first, whose offsets rank the blocks; only a block that holds the text's end or a cut is split again into single code
 points, whose offsets give the number and the cuts. No tokenizer is trained.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,7 @@ from medialens.llm.runtime import col, fresh, map_arrow_rows
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Of 100 documents, so many stay plain, and of 100 others so many put the suffix first.
 PLAIN_PERCENT, SUFFIX_FIRST_PERCENT = 10, 20
-BLOCK = 1024
+BLOCK = 64
 #: A text goes to the library in pieces of so many code points, as it keeps some thirty bytes for each byte of its input.
 PIECE = 1024 * BLOCK
 
@@ -55,8 +56,8 @@ class Ruler:
         return starts[block] + (inside[rank][1][0] if rank < len(inside) else inside[-1][1][1])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the last three columns (text, the two draws) to n, prefix, middle and suffix."""
+def _cut(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Adds the columns `names`, which are n, prefix, middle and suffix, by the last three: text and the two draws."""
     ruler = Ruler()
     for batch in batches:
         texts, lows, highs = (batch.column(batch.num_columns - k) for k in (3, 2, 1))
@@ -69,7 +70,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, piece in zip(parts, (text[:a], text[a:b], text[b:]), strict=True):
                 part.append(piece)
         arrays = [*batch.columns, pa.array(counts, pa.int64()), *[pa.array(p, pa.string()) for p in parts]]
-        yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "n", "prefix", "middle", "suffix"])
+        yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, *names])
 
 
 def _draw(key: Column, k: int) -> Column:
@@ -84,21 +85,21 @@ def fill_in_middle(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     empty one. Repeated rows are cut alike. Other columns pass; those with the names of the added ones are replaced.
     """
     df = documents.drop("n", "form", "prefix_chars", "middle_chars", "output")
-    digest, whole, low, high = fresh(df, "digest", "whole", "low", "high")
+    names = fresh(df, "digest", "whole", "low", "high", "n", "prefix", "middle", "suffix", "form")
+    digest, whole, low, high, n, prefix, middle, suffix, form = names
     keyed = df.withColumn(digest, F.sha2(F.concat(F.lit("1:"), F.coalesce(col(doc_id).cast("string"), F.lit(""))), 256))
     keyed = keyed.withColumns({whole: F.coalesce(col(text), F.lit("")), low: _draw(F.col(digest), 1), high: _draw(F.col(digest), 2)})
     kept = [x for x in keyed.columns if x not in (text, whole, low, high)]
-    cut = map_arrow_rows(keyed.select(*map(col, kept), whole, low, high), _cut, "n long, prefix string, middle string, suffix string")
+    cut = map_arrow_rows(keyed.select(*map(col, kept), whole, low, high), partial(_cut, names=[n, prefix, middle, suffix]), f"{n} long, {prefix} string, {middle} string, {suffix} string")
     marked = F.col(whole).contains(PREFIX) | F.col(whole).contains(SUFFIX) | F.col(whole).contains(MIDDLE)
     plain = (F.col(whole) == "") | marked | (_draw(F.col(digest), 3) % 100 >= 100 - PLAIN_PERCENT)
     suffix_first = _draw(F.col(digest), 4) % 100 < SUFFIX_FIRST_PERCENT
-    form = F.when(plain, "plain").when(suffix_first, "spm").otherwise("psm")
-    p, s, m = F.concat(F.lit(PREFIX), "prefix"), F.concat(F.lit(SUFFIX), "suffix"), F.concat(F.lit(MIDDLE), "middle")
-    output = F.when(F.col("form") == "plain", F.col(whole)).when(F.col("form") == "spm", F.concat(s, p, m)).otherwise(F.concat(p, s, m))
-    size = lambda x: F.when(F.col("form") != "plain", F.length(x)).cast("long")
-    done = cut.withColumn("form", form).withColumns({"prefix_chars": size("prefix"), "middle_chars": size("middle"), "output": output})
+    formed = cut.withColumn(form, F.when(plain, "plain").when(suffix_first, "spm").otherwise("psm"))
+    p, s, m = F.concat(F.lit(PREFIX), prefix), F.concat(F.lit(SUFFIX), suffix), F.concat(F.lit(MIDDLE), middle)
+    output = F.when(F.col(form) == "plain", F.col(whole)).when(F.col(form) == "spm", F.concat(s, p, m)).otherwise(F.concat(p, s, m))
+    size = lambda x: F.when(F.col(form) != "plain", F.length(x)).cast("long")
     own = [F.col(whole).alias(text) if x == text else col(x) for x in df.columns]
-    return done.select(*own, "n", "form", "prefix_chars", "middle_chars", "output")
+    return formed.select(*own, F.col(n).alias("n"), F.col(form).alias("form"), size(prefix).alias("prefix_chars"), size(middle).alias("middle_chars"), output.alias("output"))
 
 
 def restored(output: Column, form: Column) -> Column:
