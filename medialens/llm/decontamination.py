@@ -3,8 +3,8 @@
 A seed is a mask over consecutive words; only the words at its ones are hashed, so a substituted word at a zero does not
 hide a match. The windows of all training texts are hashed under each mask, once; those that a bitmap of the benchmark's seeds
 does not rule out join the seeds of the items. Around each hit the two texts are compared word by word along the
-diagonal (the place in the text less the place in the item), and the longest stretch with enough equal words decides. Items
-too short for a mask are one seed as a whole.
+diagonal (the place in the text less the place in the item), whose longest stretch with enough equal words decides. Items
+shorter than a stretch are compared as a whole and have masks of their own, each of which ignores a part of the item.
 
 The bitmap has a fixed largest size, so a benchmark of any size is one pass over the corpus: the larger it is, the more seeds
 the join has to sort out. Seeds meet as one row for each text, item and hash with the places of both, so texts and items that
@@ -13,6 +13,7 @@ repeat themselves make no products.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -22,30 +23,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medialens.llm.runtime import BROADCAST_ROWS, col, fresh, map_arrow, within_rows, written
-from medialens.llm.words import U64, Words, blocks, hash_words, mix, window_hashes
+from medialens.llm.words import U64, Words, blocks, hash_words, mix
 
-#: Every stretch of 8 words or more that counts has one of these. With at most a fifth of its words changed,
-#: four equal words follow each other somewhere, unless it has 10, 11 or 15 words; then the second fits.
-MASKS = ("1111", "111011")
 #: A stretch counts from so many words (or the whole item, if that is shorter) ...
 MIN_OVERLAP = 13
 #: ... of which so many in a hundred are equal.
 MIN_PERCENT = 80
-#: Items of fewer words match only as a whole, word for word.
-MIN_ITEM_WORDS = 8
+#: Fixed values, found by search: each hashes eight words and ignores others, and every stretch that counts has one of them in some
+#: place, wherever its changed words are. It is enough that they fit all stretches of 13 to 25 words: a longer one has such a part.
+MASKS = ("1011011111", "111111011", "11100001010111", "110111000111", "1100111111", "11101011011", "11010001001111", "1101110001011", "10100101101011", "11110011011", "1111010000111")
+#: A whole item is cut into so many parts; a mask ignores as many of them as words may be changed.
+PARTS = 5
 #: Words of benchmark items that one text is compared with at a time.
 BLOCK_WORDS = 250_000
+#: Words that are compared at a time.
+CELLS = 1 << 20
 #: Bits of the bitmap for each seed, and the logarithm of its largest size: 64 MB.
 BITS_PER_SEED, MAX_BITMAP = 16, 29
+#: Odd factors for the first, second, ... word of a seed.
+FACTORS = tuple((0x9E3779B97F4A7C15 * (2 * k + 1) + 0x2545F4914F6CDD1C * k) % 2**64 | 1 for k in range(MIN_OVERLAP))
 
 
 def _offsets(mask: str) -> tuple[int, ...]:
     return tuple(i for i, c in enumerate(mask) if c == "1")
 
 
-def _kinds(shorter: tuple[int, ...]) -> list[tuple[int, tuple[int, ...]]]:
-    """(salt, offsets) of all masks and of the whole items of so many words."""
-    return [(i + 1, _offsets(m)) for i, m in enumerate(MASKS)] + [(100 + n, tuple(range(n))) for n in shorter]
+def whole_masks(n: int, percent: int = MIN_PERCENT) -> list[tuple[int, ...]]:
+    """The words that each mask of an item of n words keeps: whatever words are changed, if not too many, one mask ignores them all."""
+    changed = n * (100 - percent) // 100
+    parts = np.array_split(np.arange(n), max(1, min(n, PARTS)))
+    return [tuple(np.concatenate([parts[k] for k in kept]).tolist()) for kept in itertools.combinations(range(len(parts)), max(1, len(parts) - changed))]
+
+
+def _kinds(shorter: tuple[int, ...]) -> list[tuple[int, tuple[int, ...], int, int]]:
+    """(salt, offsets, words of the item or 0, place of the first word in it) of all masks and of whole items of so many words."""
+    kinds = [(i + 1, _offsets(m), 0, 0) for i, m in enumerate(MASKS)]
+    return kinds + [(1000 * n + i, tuple(k - kept[0] for k in kept), n, kept[0]) for n in shorter for i, kept in enumerate(whole_masks(n))]
 
 
 def _salted(h: np.ndarray, salt: int) -> np.ndarray:
@@ -75,32 +88,47 @@ def longest_stretch(equal: np.ndarray, percent: int = MIN_PERCENT) -> tuple[int,
     return int(starts[k]), int(ends[k])
 
 
+def reaching(equal: np.ndarray, need: int, percent: int = MIN_PERCENT) -> np.ndarray:
+    """Which rows have `need` words or more in a row of which at least `percent` in a hundred are equal, whatever words these begin and end with."""
+    sums = np.zeros((len(equal), equal.shape[1] + 1), np.int64)
+    np.cumsum(np.where(equal, 100 - percent, -percent), axis=1, out=sums[:, 1:])
+    return (sums[:, need:] >= np.minimum.accumulate(sums, axis=1)[:, : sums.shape[1] - need]).any(1)
+
+
 def best_overlap(text: np.ndarray, item: np.ndarray, hits: list[tuple[np.ndarray, np.ndarray]], min_overlap: int = MIN_OVERLAP, percent: int = MIN_PERCENT) -> tuple[int, int, int, int] | None:
     """(equal words, words of the stretch, its start in the text, its start in the item) of the stretch with most equal
-    words (then the first) on the diagonals of the hits (places in the text, places in the item); None if none counts."""
+    words (then the first) on the diagonals of the hits (places in the text, places in the item); None if none counts.
+
+    A stretch is min_overlap words of the item, or all it has, with enough equal ones; words beyond the ends of the text are changed ones. It is
+    reported from its first to its last equal word. All diagonals are tried in blocks, and those that count are measured until none left has as many equal words.
+    """
     size = len(item)
-    marks = np.zeros(len(text) + size, bool)
+    marks = np.zeros(len(text) + 2 * size, bool)
     for places, own in hits:
         few, many, sign = (own, places, -1) if len(own) <= len(places) else (places, own, 1)
         for k in few.tolist():
             marks[(many - k if sign < 0 else k - many) + size] = True
-    whole = size < MIN_ITEM_WORDS
     need, best = min(min_overlap, size), None
-    for start in (np.flatnonzero(marks) - size).tolist():
-        skip, stop = max(0, -start), min(size, len(text) - start)
-        if stop - skip < need:
-            continue
-        equal = text[start + skip : start + stop] == item[skip:stop]
-        n = int(equal.sum())
-        if n < size if whole else n * 100 < need * percent or (best and n <= best[0]):
-            continue
-        a, b = longest_stretch(equal, percent)
-        if b - a >= need:
-            found = (int(equal[a:b].sum()), b - a, start + skip + a, skip + a)
-            if best is None or found[0] > best[0]:
-                best = found
-            if best[0] == size:
-                break
+    other = next(U64(x) for x in range(size + 1) if U64(x) not in item)
+    outside = np.full(size, other)
+    along = np.lib.stride_tricks.sliding_window_view(np.concatenate([outside, text, outside]), size)
+    starts, counts = np.flatnonzero(marks), []
+    kept = []
+    for at in range(0, len(starts), max(1, CELLS // size)):
+        some = starts[at : at + max(1, CELLS // size)]
+        equal = along[some] == item
+        good = np.flatnonzero(reaching(equal, need, percent))
+        kept.append(some[good])
+        counts.append(equal[good].sum(1))
+    kept, counts = np.concatenate(kept or [starts]), np.concatenate(counts or [starts])
+    for k in np.lexsort((kept, -counts)).tolist():
+        start = int(kept[k]) - size
+        if best and (counts[k] < best[0] or counts[k] == best[0] and start > best[2] - best[3]):
+            break
+        a, b = longest_stretch(along[kept[k]] == item, percent)
+        found = (int((along[kept[k]][a:b] == item[a:b]).sum()), b - a, start + a, a)
+        if best is None or found[0] > best[0] or found[0] == best[0] and start < best[2] - best[3]:
+            best = found
     return best
 
 
@@ -125,23 +153,33 @@ def _item_seeds(items: DataFrame) -> DataFrame:
             for part in blocks(batch, 1):
                 words = hash_words(part.column(1))
                 sizes = np.diff(words.first)
-                found = []
-                for salt, offsets in _kinds(tuple(np.unique(sizes[(sizes > 0) & (sizes < MIN_ITEM_WORDS)]).tolist())):
-                    h, at = _windows(words, offsets)
-                    size = sizes[words.row[at]]
-                    fits = size == len(offsets) if salt > 100 else size >= MIN_ITEM_WORDS
-                    found.append((words.row[at[fits]], _salted(h[fits], salt), at[fits] - words.first[words.row[at[fits]]]))
+                found, windows = [], _windows(words)
+                for salt, offsets, n, lead in _kinds(tuple(np.unique(sizes[(sizes > 0) & (sizes < MIN_OVERLAP)]).tolist())):
+                    h, at = windows(offsets)
+                    row = words.row[at]
+                    fits = (sizes[row] == n) & (at - words.first[row] == lead) if n else sizes[row] >= MIN_OVERLAP
+                    found.append((row[fits], _salted(h[fits], salt), at[fits] - words.first[row[fits]]))
                 owner, h, at = _by_hash(*(np.concatenate(x) for x in zip(*found, strict=True)))
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column(0).take(pa.array(owner)), at], names=["hash", "item", "i_at"])
 
     return map_arrow(items, run, "hash bigint, item bigint, i_at array<int>")
 
 
-def _windows(words: Words, offsets: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first word) of the windows that lie within one text."""
-    h = window_hashes(words.hash, offsets)
-    at = np.flatnonzero(words.row[: len(h)] == words.row[max(offsets) :]) if len(h) else np.zeros(0, np.int64)
-    return h[at], at
+def _windows(words: Words):
+    """A function from offsets to (hash, first word) of the windows that lie within one text. The words times each factor are made once."""
+    with np.errstate(over="ignore"):
+        times = [words.hash * U64(f) for f in FACTORS]
+
+    def windows(offsets: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        n = max(0, len(words.hash) - offsets[-1])
+        h = np.zeros(n, U64)
+        with np.errstate(over="ignore"):
+            for k, o in enumerate(offsets):
+                h += times[k][o : o + n]
+        at = np.flatnonzero(words.row[:n] == words.row[offsets[-1] :])
+        return h[at], at
+
+    return windows
 
 
 def _bitmap(seeds: DataFrame) -> np.ndarray:
@@ -163,9 +201,9 @@ def _text_seeds(rows: DataFrame, bitmap: np.ndarray, shorter: tuple[int, ...]) -
         for batch in batches:
             for part in blocks(batch, 2):
                 words = hash_words(part.column(2))
-                found = []
-                for salt, offsets in kinds:
-                    h, at = _windows(words, offsets)
+                found, windows = [], _windows(words)
+                for salt, offsets, _, _ in kinds:
+                    h, at = windows(offsets)
                     h = _salted(h, salt)
                     slot = h & mask
                     near = np.flatnonzero((bitmap[(slot >> U64(3)).astype(np.int64)] >> (slot & U64(7)).astype(np.uint8)) & 1)
@@ -181,9 +219,10 @@ def _text_seeds(rows: DataFrame, bitmap: np.ndarray, shorter: tuple[int, ...]) -
 def leaks(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", min_overlap: int = MIN_OVERLAP, percent: int = MIN_PERCENT, block_words: int = BLOCK_WORDS) -> DataFrame:
     """A row for each document row and item that it leaks: doc_id, item_id, n_equal, n_overlap, doc_start, item_start.
 
-    Words are runs of letters and digits, in lower case. An item of MIN_ITEM_WORDS words or more is leaked by a stretch of
-    min_overlap words (or as many as it has) of which `percent` in a hundred agree; a shorter one, down to one word, by
-    all its words in a row. Starts count words. Of several stretches of one item in a row the one with most equal words is
+    Words are runs of letters and digits, in lower case. An item is leaked by a stretch of min_overlap words, or as many as it
+    has, of which `percent` in a hundred agree along one alignment, down to items of one word; which words differ does not matter, and words that the
+    text lacks at its ends count as different. Seeds miss nothing for the default numbers or higher ones. Starts count words; a
+    stretch is reported from its first to its last equal word. Of several stretches of one item in a row the one with most equal words is
     reported (then the first). Null and empty texts leak nothing, nor do items without words; equal items are reported each;
     repeated rows each; an empty table on either side gives an empty result. Texts are read a second time only where
     seeds met; only those shuffle.
@@ -200,8 +239,8 @@ def _leaks(rows: DataFrame, benchmark: DataFrame, item_id: str, item_text: str,
     items = written(items.select(F.monotonically_increasing_id().alias("item"), "item_id", "text"), "items")
     words = written(_item_words(items.select("item", "text")), "item-words")
     seeds = written(_item_seeds(items.select("item", "text")), "item-seeds")
-    sizes = words.groupBy(F.least(F.size("words"), F.lit(MIN_ITEM_WORDS)).alias("n")).agg(F.sum(F.size("words")).alias("words")).collect()
-    shorter = tuple(sorted(r["n"] for r in sizes if r["n"] < MIN_ITEM_WORDS))
+    sizes = words.groupBy(F.least(F.size("words"), F.lit(MIN_OVERLAP)).alias("n")).agg(F.sum(F.size("words")).alias("words")).collect()
+    shorter = tuple(sorted(r["n"] for r in sizes if r["n"] < MIN_OVERLAP))
     chunks = -(-sum(r["words"] for r in sizes) // block_words) or 1
 
     met = _text_seeds(rows, _bitmap(seeds), shorter).join(seeds, "hash")
