@@ -38,8 +38,8 @@ PARTS = 5
 BLOCK_WORDS = 250_000
 #: Words that are compared at a time.
 CELLS = 1 << 20
-#: Bits of the bitmap for each seed, and the logarithm of its largest size: 64 MB.
-BITS_PER_SEED, MAX_BITMAP = 16, 29
+#: Bits of the bitmap for each seed, of which each has two, and the logarithm of its largest size: 64 MB.
+BITS_PER_SEED, MAX_BITMAP = 64, 29
 #: Odd factors for the first, second, ... word of a seed.
 FACTORS = tuple((0x9E3779B97F4A7C15 * (2 * k + 1) + 0x2545F4914F6CDD1C * k) % 2**64 | 1 for k in range(MIN_OVERLAP))
 
@@ -183,10 +183,11 @@ def _windows(words: Words):
 
 
 def _bitmap(seeds: DataFrame) -> np.ndarray:
-    """One bit for each remainder of a seed's hash by the size, which is a power of two that goes by the number of seeds up to a limit."""
+    """The bits of two remainders of each seed's hash by the size, which is a power of two that goes by the number of seeds up to a limit."""
     size = 1 << min(MAX_BITMAP, max(16, math.ceil(math.log2(BITS_PER_SEED * max(1, seeds.count())))))
-    slot = F.col("hash").bitwiseAND(size - 1)
-    parts = seeds.groupBy(F.shiftright(slot, 15).alias("k")).agg(F.bitmap_construct_agg(slot.bitwiseAND(32767)).alias("bits"))
+    slots = F.array(F.col("hash").bitwiseAND(size - 1), F.shiftrightunsigned("hash", 32).bitwiseAND(size - 1))
+    slot = F.col("slot")
+    parts = seeds.select(F.explode(slots).alias("slot")).groupBy(F.shiftright(slot, 15).alias("k")).agg(F.bitmap_construct_agg(slot.bitwiseAND(32767)).alias("bits"))
     out = np.zeros(size // 8, np.uint8)
     for k, bits in parts.toLocalIterator():
         out[k * 4096 : (k + 1) * 4096] = np.frombuffer(bits, np.uint8)
@@ -197,6 +198,10 @@ def _text_seeds(rows: DataFrame, bitmap: np.ndarray, shorter: tuple[int, ...]) -
     """hash, doc_id, text_key, d_at (places) of those seeds of (doc_id, text_key, text) that the bitmap does not rule out."""
     kinds, mask = _kinds(shorter), U64(len(bitmap) * 8 - 1)
 
+    def there(h: np.ndarray) -> np.ndarray:
+        slot = h & mask
+        return (bitmap[(slot >> U64(3)).astype(np.int64)] >> (slot & U64(7)).astype(np.uint8) & 1).astype(bool)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, 2):
@@ -205,8 +210,8 @@ def _text_seeds(rows: DataFrame, bitmap: np.ndarray, shorter: tuple[int, ...]) -
                 for salt, offsets, _, _ in kinds:
                     h, at = windows(offsets)
                     h = _salted(h, salt)
-                    slot = h & mask
-                    near = np.flatnonzero((bitmap[(slot >> U64(3)).astype(np.int64)] >> (slot & U64(7)).astype(np.uint8)) & 1)
+                    near = np.flatnonzero(there(h))
+                    near = near[there(h[near] >> U64(32))]
                     found.append((words.row[at[near]], h[near], at[near] - words.first[words.row[at[near]]]))
                 owner, h, at = _by_hash(*(np.concatenate(x) for x in zip(*found, strict=True)))
                 if len(h):
