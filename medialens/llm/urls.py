@@ -74,7 +74,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url
 
     keyed = _keyed(rules).select(F.col("short").alias("r_short"), F.col("digest").alias("r_digest"), F.concat("e_host", "e_path").alias("rule"), F.length("e_host").alias("host_length"), "action")
     side = F.broadcast(keyed) if within_rows(keyed, BROADCAST_ROWS) else keyed
-    hits = expressions.join(side, (F.col("short") == F.col("r_short")) & (F.col("digest") == F.col("r_digest")))
+    # the digests are confirmed by two inequalities, as an equality would become a second key of the join
+    hits = expressions.join(side, (F.col("short") == F.col("r_short")) & F.col("digest").between(F.col("r_digest"), F.col("r_digest")))
     best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "host_length", F.col("action"), "rule")).alias("best"))
     # written, so that the join shuffles it anew: only then can Spark split the rows of one URL over tasks
     best = written(best.select(F.col("host").alias("b_host"), F.col("path").alias("b_path"), F.col("best.rule").alias("rule"), F.col("best.action").alias("action")), "verdicts")

@@ -89,6 +89,33 @@ def test_urls(spark):
     assert urls.judge_urls(pages, prefix).filter("rule = 'org/f'").count() == 1
 
 
+def test_urls_meet_by_the_short_prefix_and_are_confirmed_by_the_digest(spark, monkeypatch):
+    rows = [(i, f"x://h{i % 40}.example.net/p{i % 7}/en/x") for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    rules = urls.rules_table(spark, [*URL_RULES, *[("block", f"h{k}.example.net/p{k % 7}/") for k in range(0, 40, 3)]])
+    want = {(r.page_id, r.rule, r.verdict) for r in urls.judge_urls(pages, rules).collect()}
+    joins = [line for line in _plans(spark, lambda: urls.judge_urls(pages, rules)) if "short" in line and "Join" in line]
+    assert joins and not any("digest" in line.split("Inner")[0] for line in joins)
+    monkeypatch.setattr(urls, "PREFIX_HEX", 1)  # sixteen different prefixes, so most expressions share one with a rule
+    assert {(r.page_id, r.rule, r.verdict) for r in urls.judge_urls(pages, rules).collect()} == want
+    assert sum(rule is not None for _, rule, _ in want) > 100
+
+
+def _plans(spark, made):
+    """Lines of the physical plans that made() writes or returns."""
+    from unittest import mock
+
+    lines, plain = [], urls.written
+
+    def seen(df, name):
+        lines.extend(df._jdf.queryExecution().executedPlan().toString().splitlines())
+        return plain(df, name)
+
+    with mock.patch.object(urls, "written", seen):
+        made()
+    return lines
+
+
 def test_urls_of_very_many_labels_and_slashes(spark):
     import time
 
