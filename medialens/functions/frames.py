@@ -1,8 +1,12 @@
-"""Sizes of tables, checked before they are broadcast."""
+"""Sizes of tables, checked before they are broadcast; the package on the executors."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import zipfile
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Tables up to so many rows are broadcast; larger ones shuffle.
@@ -12,3 +16,17 @@ SMALL = 20_000
 def small_side(df: DataFrame, limit: int = SMALL) -> DataFrame:
     """df, to be broadcast if it is found to have at most `limit` rows; the count stops one row beyond it."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once for each Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_medialens_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    target = Path(tempfile.mkdtemp(prefix="medialens-")) / "medialens_package.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted((root / "medialens").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    context.addPyFile(str(target))
+    context._medialens_shipped = True

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from medialens.operators import clusters as c
+from medialens.operators import vector_index
 from medialens.operators.graph import connected_components
 from medialens.plans import surrogates as s
 from medialens.plans.sql import CLUSTER, KNN
@@ -16,6 +17,16 @@ def edges(spark, sf):
     return c.knn_edges(units(spark, sf), s.NEIGHBOURS, s.COSINE)
 
 
+def indexed(spark, sf):
+    """Through an index that looks into every list which can hold a neighbour."""
+    return c.symmetric(vector_index.knn_edges(units(spark, sf), s.NEIGHBOURS, s.COSINE, recall=1.0))
+
+
+def probed(spark, sf):
+    """Through an index that looks into as many lists as nine neighbours of ten take, by a sample, and some more."""
+    return vector_index.knn_edges(units(spark, sf), s.NEIGHBOURS, s.COSINE, recall=0.97).select("src", "dst", F.round("similarity", 6).alias("similarity"))
+
+
 def members(spark, sf):
     return c.clusters(units(spark, sf), edges(spark, sf), s.MIN_CLUSTER)
 
@@ -34,6 +45,8 @@ def consistency(spark, sf):
 QUERIES = {
     "knn_edges": (lambda spark, sf: c.symmetric(edges(spark, sf)), f"WITH {KNN} SELECT src, dst FROM knn UNION SELECT dst, src FROM knn"),
     "knn_edges_blocked": (lambda spark, sf: c.symmetric(c.knn_edges(units(spark, sf), s.NEIGHBOURS, s.COSINE, block=200)), f"WITH {KNN} SELECT src, dst FROM knn UNION SELECT dst, src FROM knn"),
+    "knn_edges_indexed": (indexed, f"WITH {KNN} SELECT src, dst FROM knn UNION SELECT dst, src FROM knn"),
+    "knn_edges_probed": (probed, None),
     "connected_components": (lambda spark, sf: connected_components(edges(spark, sf), "src", "dst"), f"WITH RECURSIVE {CLUSTER} SELECT node, cluster_id AS component FROM comp"),
     "knn_clusters": (members, f"WITH RECURSIVE {CLUSTER} SELECT * FROM clu"),
     "cluster_centers": (

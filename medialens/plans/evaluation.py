@@ -3,7 +3,10 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from medialens.functions.vectors import l2_normalize
 from medialens.operators import evaluation as ev
+from medialens.operators import heads as he
+from medialens.operators import quantiles as qu
 from medialens.operators import labeling as lab
 from medialens.plans import surrogates as s
 from medialens.plans.sql import IMG, PROTO, SCENE
@@ -84,6 +87,20 @@ def rounded_sweep(spark, sf, n=None):
     return sweep(spark, sf, n).withColumns({c: r(F.col(c)) for c in ("precision", "recall", "f1")})
 
 
+def sketched(spark, sf):
+    """The sweep at 21 thresholds of sketches, merged from two parts of the scores."""
+    rows = scores(spark, sf)
+    parts = [qu.sketches(rows.filter(f"doc_id % 2 = {k}"), "attribute", "p") for k in (0, 1)]
+    out = qu.sketched_sweep(rows, "attribute", "p", "truth", 21, sketched=qu.merged(parts[0].unionByName(parts[1]), "attribute"))
+    return out.withColumns({c: r(F.col(c)) for c in ("precision", "recall", "f1")})
+
+
+def confused_samples(spark, sf):
+    """The rows around the threshold of the best F1, and the most confused ones."""
+    cuts = ev.best_thresholds(sweep(spark, sf), "attribute").select("attribute", F.col("best_threshold").alias("threshold"))
+    return qu.samples(scores(spark, sf), "attribute", "doc_id", "p", "truth", cuts, 15)
+
+
 def best(spark, sf):
     return ev.best_thresholds(sweep(spark, sf), "attribute", 0.88).withColumn("best_f1", r(F.col("best_f1")))
 
@@ -118,6 +135,24 @@ def multi_hot(spark, sf):
     return out.select("conv_id", F.array_join(F.transform("hot", lambda x: x.cast("int").cast("string")), "").alias("hot"))
 
 
+def attribute_pairs(spark, sf):
+    """(p, truth) of heads whose weights are the prototypes, where people have set the label."""
+    protos = s.prototypes(spark, sf).select("label_key", F.col("proto").alias("weights"), F.lit(-0.25).alias("bias"))
+    rows = s.images(spark, sf).select("image_id", "label", "vec_id", l2_normalize(F.col("v")).alias("v"))
+    truth = rows.filter("vec_id % 3 > 0").crossJoin(protos.select("label_key")).select("image_id", "label_key", (F.col("label_key") == F.concat(F.lit("object.k"), "label")).alias("truth"))
+    return he.scored_pairs(rows, protos, truth, "image_id", "v").withColumn("p", r(F.col("p")))
+
+
+def multilabel(spark, sf):
+    """Heads of three labels that images may have together, and what they cost; compared by rows only."""
+    labels = ["even", "low", "third"]
+    i = s.images(spark, sf)
+    long = i.select("vec_id", F.explode(F.array(*[F.when(c, n) for n, c in zip(labels, (F.col("label") % 2 == 0, F.col("label") < 4, F.col("label") % 3 == 0), strict=True)], F.lit("other"))).alias("x"))
+    rows = i.select("vec_id", l2_normalize(F.col("v")).alias("v")).join(ev.multi_hot(long, "vec_id", "x", labels), "vec_id")
+    heads = he.train(rows, labels, key="vec_id")
+    return he.head_table(spark, heads).withColumn("loss", r(F.lit(heads.losses[heads.step][0] if heads.losses else None).cast("double")))
+
+
 def trained_head(spark, sf):
     """Accuracy of a linear head fitted on the training part, on the other part; compared by rows only."""
     rows = ev.split(s.images(spark, sf).select("vec_id", "v", "label"), "vec_id", 0.2, 3)
@@ -152,6 +187,9 @@ QUERIES = {
     "confusion_top20": (confused, f"WITH {RANKED} SELECT 'object.k' || label AS human, label_key AS auto, count(*) AS n FROM rk WHERE rank = 1 AND label_key <> 'object.k' || label GROUP BY ALL ORDER BY n DESC, human, auto LIMIT 20"),
     "threshold_sweep": (rounded_sweep, f"WITH {SWEEP} {ROUNDED}"),
     "threshold_sweep_picked": (lambda spark, sf: rounded_sweep(spark, sf, 11), f"WITH {SWEEP} {ROUNDED} WHERE n <= 11 OR i IN (SELECT CAST(floor(k * (n - 1) / 10) AS BIGINT) FROM range(0, 11) x(k), (SELECT max(n) AS n FROM sw))"),
+    "threshold_sweep_sketched": (sketched, f"WITH {SWEEP}, o AS (SELECT attribute, p, row_number() OVER (PARTITION BY attribute ORDER BY p) AS i, count(*) OVER (PARTITION BY attribute) AS n FROM s), q AS (SELECT DISTINCT attribute, p AS threshold FROM o, range(0, 21) x(k) WHERE i = greatest(1, ceil(k / 20 * n - 1e-9))) {ROUNDED} JOIN q USING (attribute, threshold)"),
+    "confused_samples": (confused_samples, f"WITH {SWEEP}, b AS (SELECT attribute, arg_max(threshold, struct_pack(a := f1, b := -threshold)) AS cut FROM sw GROUP BY attribute), x AS (SELECT doc_id, 'quality' AS attribute, (length(text) % 101) / 100 AS p, quality = 1 AS truth FROM labels JOIN documents USING (doc_id)), "
+    "k AS (SELECT *, 'borderline' AS kind, row_number() OVER (PARTITION BY attribute ORDER BY abs(p - cut), doc_id) AS rank FROM x JOIN b USING (attribute) UNION ALL SELECT *, 'false_positive', row_number() OVER (PARTITION BY attribute ORDER BY p DESC, doc_id) FROM x JOIN b USING (attribute) WHERE NOT truth AND p >= cut UNION ALL SELECT *, 'false_negative', row_number() OVER (PARTITION BY attribute ORDER BY p, doc_id) FROM x JOIN b USING (attribute) WHERE truth AND p < cut) SELECT attribute, kind, CAST(rank AS INTEGER) AS rank, doc_id, p, truth FROM k WHERE rank <= 15"),
     "best_thresholds": (best, f"WITH {SWEEP} SELECT attribute, round(max(f1), 6) AS best_f1, arg_max(threshold, struct_pack(a := f1, b := -threshold)) AS best_threshold, arg_max(threshold, struct_pack(a := recall, b := f1, c := -threshold)) FILTER (precision >= 0.88) AS precise_threshold, arg_min(threshold, struct_pack(a := abs(threshold - 0.5), b := threshold)) AS nearest_threshold FROM sw GROUP BY attribute"),
     "teacher_mapping": (
         teacher,
@@ -162,5 +200,7 @@ QUERIES = {
     "hash_sample": (hash_sample, "SELECT doc_id, lang FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 50"),
     "train_val_split": (split, "SELECT vec_id, label, row_number() OVER (ORDER BY md5('3:' || vec_id), vec_id) <= floor(count(*) OVER () * 0.2) AS is_val FROM embeddings"),
     "multi_hot": (multi_hot, "SELECT conv_id, array_to_string([CAST(bool_or(role = 'assistant') AS INTEGER), CAST(bool_or(role = 'system') AS INTEGER), CAST(bool_or(role = 'user') AS INTEGER)], '') AS hot FROM conversations GROUP BY conv_id"),
+    "attribute_pairs": (attribute_pairs, f"WITH {PROTO} SELECT image_id, label_key, round(1 / (1 + exp(0.25 - list_inner_product(u, proto))), 6) AS p, label_key = 'object.k' || unit.label AS truth FROM unit, proto WHERE vec_id % 3 > 0"),
+    "trained_multilabel": (multilabel, None),
     "trained_head": (trained_head, None),
 }

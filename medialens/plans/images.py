@@ -1,9 +1,14 @@
 """Hashes, near duplicates and groups of images."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from medialens.functions.hashing import hamming_hex, hex64
+from medialens.functions.hashing import hamming_hex, hex64, perceptual_hash
+from medialens.functions.pixels import grey_thumbnails
 from medialens.operators import ingest
+from medialens.operators.graph import shared_folder
+from medialens.operators.kept_components import KeptComponents
 from medialens.operators.near_duplicates import canonical_only, hamming_pairs, incremental_pairs, neighbours
 from medialens.plans import surrogates as s
 from medialens.plans.sql import BITS, GROUPS, HAMMING, PAIRS
@@ -13,6 +18,16 @@ def perceptual_bits(spark, sf):
     return s.hashed(spark, sf).select("image_id", hex64(F.col("bits")).alias("phash"))
 
 
+def from_pixels(spark, sf):
+    """Hashes of images whose grey pixels are made from their vectors, in sizes of their own; compared by rows only."""
+    n = F.col("vec_id")
+    wide, high = (32 + n % 40).cast("int"), (32 + n % 23).cast("int")
+    pixel = lambda k: F.floor(128 + 900 * F.element_at("v", (k % 64 + 1).cast("int")) * F.element_at("v", (F.floor(k / 64) % 64 + 1).cast("int")))
+    made = F.transform(F.sequence(F.lit(0), wide * high - 1), lambda k: F.greatest(F.lit(0), F.least(F.lit(255), pixel(k))))
+    rows = s.images(spark, sf).select("image_id", wide.alias("width"), high.alias("height"), F.lit(1).alias("channels"), made.alias("pixels"))
+    return grey_thumbnails(rows, "image_id").select("image_id", perceptual_hash("grey").alias("phash"))
+
+
 def hamming_incremental(spark, sf):
     rows = s.hashed(spark, sf)
     dirty = rows.filter("mtime >= 70")
@@ -25,6 +40,16 @@ def banded(spark, sf):
     return hamming_pairs(s.hashed(spark, sf), 17, small=0, bands=8)
 
 
+def kept_groups(spark, sf):
+    """Groups of near duplicates kept over three batches of changes: pairs, more pairs, and images that go."""
+    near = s.pairs(spark, sf).select(F.col("anchor_id").alias("a"), F.col("duplicate_id").alias("b"), "distance")
+    kept = KeptComponents(spark, f"{shared_folder(spark)}/components-{uuid.uuid4().hex}", "string")
+    kept.apply(near.filter("distance % 2 = 0"))
+    kept.apply(near.filter("distance % 2 = 1"))
+    kept.apply(removed_nodes=s.images(spark, sf).filter("vec_id % 7 = 0").select(F.col("image_id").alias("node")))
+    return kept.labels()
+
+
 def canonical(spark, sf):
     return canonical_only(s.images(spark, sf).select("image_id", "label"), s.groups(spark, sf))
 
@@ -43,11 +68,14 @@ HEX = "array_to_string(list_transform(range(0, 16), lambda n: format('{:x}', 8 *
 QUERIES = {
     "exact_duplicates": (exact_duplicates, "SELECT min(doc_id) AS first, count(*) AS n FROM documents GROUP BY md5(text)"),
     "perceptual_bits": (perceptual_bits, f"WITH {BITS} SELECT image_id, {HEX} AS phash FROM bits"),
+    "perceptual_hash_of_pixels": (from_pixels, None),
     "hamming_hex": (hamming_text, f"WITH {BITS}, x AS (SELECT image_id, b, {HEX} AS h FROM bits) SELECT image_id, CASE WHEN h LIKE '%0' THEN 64 ELSE CAST(list_sum(b[1:32]) + 32 - list_sum(b[33:64]) AS INTEGER) END AS distance FROM x"),
     "hamming_pairs": (s.pairs, f"WITH {PAIRS} SELECT * FROM pairs"),
     "hamming_pairs_banded": (banded, f"WITH {PAIRS} SELECT * FROM pairs WHERE distance <= 17"),
     "hamming_pairs_incremental": (hamming_incremental, f"WITH {PAIRS} SELECT * FROM pairs"),
     "near_duplicate_groups": (s.groups, f"WITH RECURSIVE {GROUPS} SELECT * FROM grp"),
+    "groups_kept_over_batches": (kept_groups, f"WITH RECURSIVE {PAIRS}, e AS (SELECT anchor_id AS a, duplicate_id AS b FROM pairs JOIN img x ON x.image_id = anchor_id JOIN img y ON y.image_id = duplicate_id WHERE x.vec_id % 7 <> 0 AND y.vec_id % 7 <> 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), "
+    "reach(node, other) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM reach r JOIN u ON r.other = u.a) SELECT node, min(other) AS component FROM reach GROUP BY node"),
     "canonical_only": (canonical, f"WITH RECURSIVE {GROUPS} SELECT image_id, label FROM img WHERE image_id NOT IN (SELECT image_id FROM grp WHERE NOT is_canonical)"),
     "near_duplicate_neighbours": (lambda spark, sf: neighbours(s.pairs(spark, sf)), f"WITH {PAIRS} SELECT anchor_id AS image_id, duplicate_id AS other_id, distance FROM pairs UNION ALL SELECT duplicate_id, anchor_id, distance FROM pairs"),
 }

@@ -1,14 +1,18 @@
 """Ingest, artifacts, upserts, dates and places."""
 
+import uuid
+from datetime import datetime
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from medialens.functions import hashing, text
 from medialens.operators import ingest as ing
-from medialens.operators.graph import closure
+from medialens.operators.graph import closure, shared_folder
 from medialens.plans import surrogates as s
 from medialens.plans.sql import IMG
 from medialens.sources.snapshot import insert_missing, upsert
+from medialens.streaming import retries
 from medialens.streaming.arrivals import windowed_counts
 
 
@@ -20,6 +24,25 @@ def scans(spark, sf):
     return one, two
 
 
+def failing(image, payload, attempt):
+    """Each third message fails once, each sixth always."""
+    n = int(payload)
+    return "busy" if n % 3 == 0 and (n % 6 == 0 or attempt == 1) else None
+
+
+def retried(spark, sf):
+    """Events as messages in two slices with duplicates, read by a query that is started anew for each; later heartbeats let the last tries come due."""
+    folder = f"{shared_folder(spark)}/retries-{uuid.uuid4().hex}"
+    e = s.table(spark, sf, "events").select(F.col("event_id").cast("string").alias("message_id"), F.concat(F.lit("u"), "user_id").alias("image_id"), F.col("ts").alias("sent_at"), F.col("event_id").cast("string").alias("payload"))
+    early = F.col("sent_at") < F.lit("2024-01-16").cast("timestamp")
+    beats = [spark.createDataFrame([(f"beat{d}", "beat", datetime(2024, 3, d), "1")], retries.MESSAGE) for d in (1, 2, 3)]
+    for part in (e.filter(early).unionByName(e.filter(early & F.col("message_id").endswith("0"))), e.filter(~early), *beats):
+        part.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(retries.MESSAGE).parquet(f"{folder}/in")
+        retries.run(stream, failing, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return retries.read_outcomes(spark, f"{folder}/out").filter("image_id <> 'beat'").select("message_id", "image_id", "attempts", "outcome", "error")
+
+
 def moved(spark, sf):
     one, two = scans(spark, sf)
     empty = spark.createDataFrame([], "image_id string, primary_path string, all_paths array<string>, size_bytes long, mtime double, status string, dirty boolean")
@@ -152,6 +175,7 @@ QUERIES = {
     "resume_after_cursor": (resumed, "SELECT doc_id, CAST(length(text) AS INTEGER) AS n FROM documents WHERE doc_id > 300"),
     "metadata_patch": (patched, "SELECT format('{:016x}', vec_id) AS image_id, 640 + 10 * (vec_id % 13) AS width, CASE WHEN vec_id % 3 = 0 THEN 77 WHEN vec_id % 2 = 0 THEN CAST(480 + 10 * label AS BIGINT) END AS height FROM embeddings"),
     "stale_hashes": (stale, "SELECT format('{:016x}', vec_id) AS image_id FROM embeddings WHERE vec_id % 7 <> 0 AND (vec_id % 4 = 0 OR vec_id % 5 = 0 OR vec_id % 11 = 0 OR vec_id % 13 = 0)"),
+    "stream_retries": (retried, "SELECT CAST(event_id AS VARCHAR) AS message_id, 'u' || user_id AS image_id, CAST(CASE WHEN event_id % 6 = 0 THEN 3 WHEN event_id % 3 = 0 THEN 2 ELSE 1 END AS INTEGER) AS attempts, CASE WHEN event_id % 6 = 0 THEN 'dead' ELSE 'done' END AS outcome, CASE WHEN event_id % 6 = 0 THEN 'busy' END AS error FROM events"),
     "event_windows": (event_windows, "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"),
     "event_sessions": (event_sessions, "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), n AS (SELECT user_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g), c AS (SELECT user_id, k, count(*) AS n FROM n GROUP BY ALL) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY user_id"),
 }

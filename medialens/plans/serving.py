@@ -59,6 +59,15 @@ def collections(spark, sf):
     return rows.filter("collection IS NOT NULL").groupBy("collection").agg(F.count(F.lit(1)).alias("n"))
 
 
+def assigned(spark, sf):
+    """image_id, facet, value: scenes, class and shape of the images."""
+    i = s.images(spark, sf)
+    scene = s.scenes(spark, sf).select("image_id", F.lit("scene").alias("facet"), F.substring_index("label_key", ".", -1).alias("value"))
+    kind = i.select("image_id", F.lit("class").alias("facet"), F.concat(F.lit("k"), "label").alias("value"))
+    shape = i.select("image_id", F.lit("shape").alias("facet"), F.when(F.col("width") > F.col("height") + 150, "wide").otherwise("square").alias("value"))
+    return scene.unionByName(kind).unionByName(shape)
+
+
 def event_facets(spark, sf):
     return s.table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
@@ -71,6 +80,9 @@ QUERIES = {
     "listing_top_labels": (top_labels, f"WITH {REG}, h AS (SELECT image_id, label_key, max(score) AS score FROM reg GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, label_key) AS n FROM h) SELECT image_id, string_agg(label_key, ',' ORDER BY n) AS labels FROM k WHERE n <= 4 GROUP BY image_id"),
     "attribute_flags_pivot": (flags, "SELECT doc_id AS image_id, bool_or(quality = 1) AS quality, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id"),
     "facet_counts": (lambda spark, sf: v.facets(s.scenes(spark, sf)), f"WITH {IMG}, {SCENE} SELECT split_part(label_key, '.', 1) AS level, label_key, count(DISTINCT image_id) AS n FROM sc GROUP BY ALL"),
+    "facets_filtered": (lambda spark, sf: v.filtered_facets(assigned(spark, sf), {"scene": ["food", "people"], "shape": ["wide"], "class": []}), f"""WITH {IMG}, {SCENE}, a AS (SELECT image_id, 'scene' AS facet, split_part(label_key, '.', 2) AS value FROM sc UNION SELECT image_id, 'class', 'k' || label FROM img UNION SELECT image_id, 'shape', CASE WHEN width > height + 150 THEN 'wide' ELSE 'square' END FROM img),
+p AS (SELECT image_id, bool_or(facet = 'scene' AND value IN ('food', 'people')) AS scene, bool_or(facet = 'shape' AND value = 'wide') AS shape FROM a GROUP BY image_id), k AS (SELECT facet, value, image_id, scene AND shape AS whole FROM a JOIN p USING (image_id) WHERE (scene OR facet = 'scene') AND (shape OR facet = 'shape'))
+SELECT facet, value, CASE WHEN grouping(facet) = 1 THEN count(DISTINCT image_id) FILTER (whole) ELSE count(DISTINCT image_id) END AS n FROM k GROUP BY GROUPING SETS ((facet, value), (facet), ())"""),
     "event_facets": (event_facets, "SELECT event_type, count(*) AS n FROM events GROUP BY event_type"),
     "detail_nested": (detail, f"WITH {REG}, n AS (SELECT image_id, string_agg(idx || ':' || format('{{:.2f}}', score), ' ' ORDER BY idx) AS regions FROM reg GROUP BY image_id) SELECT o_orderkey AS image_id, o_orderstatus, coalesce(regions, '') AS regions FROM (SELECT DISTINCT o_orderkey, o_orderstatus FROM orders) LEFT JOIN n ON image_id = o_orderkey"),
     "photo_statistics": (photo_statistics, "SELECT count(*) AS total, count(quality) AS labelled, count(*) FILTER (toxic = 1) AS toxic, round(avg(n_chars), 4) AS avg_chars FROM documents LEFT JOIN labels USING (doc_id)"),
