@@ -47,10 +47,10 @@ ENDS = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
 }
 
-#: A table is aligned if that makes at most so many characters for each one of its cells, or so many in all.
+#: A column is padded to its widest cell with which it makes at most so many characters for each one of its cells, or its share of so many in all; longer cells stand out.
 MAX_PADDING, MIN_PADDING = 8, 2000
 #: Tables in tables deeper than this are read as blocks; indents stop at so many characters.
-MAX_GRIDS, MAX_INDENT = 8, 64
+MAX_GRIDS, MAX_INDENT = 64, 64
 #: Cells over several columns reach as far as this one.
 MAX_COLUMNS = 200
 #: Characters of pages that are rendered before their texts are sent on.
@@ -312,9 +312,9 @@ class Grid:
         self.captions: list[str] = []
 
     def lay_out(self) -> list[str]:
-        """Lines with all columns aligned; two spaces between columns. A cell over several columns or
-        rows stands in the first of them; columns after MAX_COLUMNS are taken by cells one by one. Where that would make more than MIN_PADDING characters and MAX_PADDING times
-        those of the cells, rows are not aligned."""
+        """Lines with columns aligned; two spaces between columns. A cell over several columns or
+        rows stands in the first of them; columns after MAX_COLUMNS are taken by cells one by one. Where full alignment would make more than MIN_PADDING characters and MAX_PADDING times
+        those of the cells, each column is as wide as its widest cell that it can afford: the line of a longer cell goes on after it, and a column that can afford none is not aligned."""
         placed: list[dict[int, list[str]]] = []
         until: dict[int, int] = {}  # the last row that a cell over several rows takes a column of
         for n, row in enumerate(self.rows):
@@ -332,8 +332,7 @@ class Grid:
         own = size = 0
         for cells in placed:
             for c, lines in cells.items():
-                sizes = list(map(width, lines))
-                widths[c] = max([widths.get(c, 0), *sizes])
+                widths[c] = max([widths.get(c, 0), *map(width, lines)])
                 own += sum(len(x) - x.count(" ") for x in lines)
         shown = [c for c in sorted(widths) if widths[c]]
         edges = [0, *accumulate(widths[c] + 2 for c in shown)]
@@ -341,26 +340,38 @@ class Grid:
         for cells in placed:
             size += edges[bisect_right(shown, max(cells, default=-1))] * max((len(x) for x in cells.values()), default=0)
         if size > MAX_PADDING * own + MIN_PADDING:
-            return out + self._stacked(placed)
+            widths = self._affordable(placed, shown)
+            edges = [0, *accumulate(widths[c] + 2 if widths[c] else 0 for c in shown)]
+        start = dict(zip(shown, edges, strict=False))
         for cells in placed:
-            last = bisect_right(shown, max(cells, default=-1))
+            filled = [(c, cells[c]) for c in sorted(cells) if c in start]
             for k in range(max((len(x) for x in cells.values()), default=0)):
-                pieces = [(cells[c][k] if c in cells and k < len(cells[c]) else "") for c in shown[:last]]
-                line = "  ".join(p + " " * (widths[c] - width(p)) for c, p in zip(shown, pieces, strict=False)).rstrip(" ")
-                if line or any(cells.get(c) for c in shown[:last]):
+                pieces, at = [], 0
+                for c, lines in filled:
+                    if k < len(lines) and lines[k]:
+                        gap = max(start[c] - at, 2 if at else 0)
+                        pieces += [" " * gap, lines[k]]
+                        at += gap + width(lines[k])
+                line = "".join(pieces).rstrip(" ")
+                if line or filled:
                     out.append(line)
         return out
 
     @staticmethod
-    def _stacked(placed: list[dict[int, list[str]]]) -> list[str]:
-        """Rows without columns: cells of one line beside each other, others below each other."""
-        out = []
+    def _affordable(placed: list[dict[int, list[str]]], shown: list[int]) -> dict[int, int]:
+        """For each column the width of its widest cell that it can afford, 0 for none."""
+        place = {c: k for k, c in enumerate(shown)}
+        sizes: list[list[int]] = [[] for _ in shown]
+        text, ends = [0] * len(shown), [0] * (len(shown) + 1)
         for cells in placed:
-            filled = [cells[c] for c in sorted(cells) if any(cells[c])]
-            if all(len(x) == 1 for x in filled):
-                filled = [["  ".join(x[0] for x in filled)]] if filled else []
-            out += [line for x in filled for line in x]
-        return out
+            ends[bisect_right(shown, max(cells, default=-1))] += max((len(x) for x in cells.values()), default=0)
+            for c, lines in cells.items():
+                if c in place:
+                    sizes[place[c]] += [n for n in map(width, lines) if n]
+                    text[place[c]] += sum(len(x) - x.count(" ") for x in lines)
+        reaching = list(accumulate(reversed(ends)))[::-1][1:]  # lines that go up to a column or beyond
+        most = [(MAX_PADDING * t + MIN_PADDING / len(shown)) / max(1, n) - 2 for t, n in zip(text, reaching, strict=True)]
+        return {c: max((n for n in sizes[k] if n <= most[k]), default=0) for k, c in enumerate(shown)}
 
 
 def _span(value: str | None, most: int) -> int:

@@ -139,3 +139,27 @@ def test_hostile_pages_take_bounded_time_and_space():
         began = time.perf_counter()
         assert len(extract(page)) < 16 * len(page)
         assert time.perf_counter() - began < 10
+
+
+@pytest.mark.parametrize(("rows", "size"), [(40, 500), (60, 300), (200, 200), (3000, 5000)])
+def test_long_cells_stand_out_of_aligned_columns(rows, size):
+    cell = lambda i: "L" * size if i == 5 else "x" * (i % 7 + 1)
+    page = "<table>" + "".join(f"<tr><td>row {i % 10}<td>{cell(i)}<td>end {i}" for i in range(rows)) + "</table>"
+    lines = extract(page).split("\n")
+    assert lines == ["row 5  " + "L" * size + "  end 5" if i == 5 else f"row {i % 10}  {cell(i):7}  end {i}" for i in range(rows)]
+
+
+def test_columns_that_can_not_be_afforded_are_not_aligned():
+    cells = ["w" * 400 if i % 50 == 0 else "" for i in range(1000)]
+    page = "<table>" + "".join(f"<tr><td>{x}<td>e{i}" for i, x in enumerate(cells)) + "</table>"
+    lines = extract(page).split("\n")
+    assert len("".join(lines)) < 8 * len("".join(cells)) + 20_000 and all(line.split()[-1] == f"e{i}" for i, line in enumerate(lines))
+
+
+@pytest.mark.parametrize("depth", [3, 9, 12, 40])
+def test_cells_beside_nested_tables_stand_in_their_first_line(depth):
+    page = "one<br>two"
+    for k in range(depth):
+        page = f"<table><tr><td>{page}<td>side{k}</table>"
+    first, second = extract(page).split("\n")
+    assert first.split() == ["one", *[f"side{k}" for k in range(depth)]] and second == "two"
