@@ -13,6 +13,7 @@ such pack. Conversations equal in all turns are formatted once, with their ids b
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -108,12 +109,30 @@ def conversations_of(rows: DataFrame, conv_id: str = "conv_id", turn: str = "tur
     said = F.struct(col(turn).alias("turn"), F.coalesce(col(role), F.lit("")).alias("role"), F.coalesce(col(text), F.lit("")).alias("text"))
     grouped = rows.select(col(conv_id).alias("conv_id"), said.alias("said")).groupBy("conv_id").agg(F.sort_array(F.collect_list("said")).alias("said"))
     grouped = grouped.select("conv_id", F.transform("said", lambda s: F.struct(s["role"].alias("role"), s["text"].alias("text"))).alias("turns"))
-    before = lambda keys: F.coalesce(F.get(keys, F.size(keys) - 1), F.lit(""))
-    link = lambda keys, t: F.md5(F.concat_ws(":", before(keys), F.length(t["role"]), t["role"], t["text"]))
-    keys = F.aggregate("turns", F.array().cast("array<string>"), lambda keys, t: F.concat(keys, F.array(link(keys, t))))
-    size = F.aggregate("turns", F.lit(0).cast("bigint"), lambda n, t: n + F.octet_length(t["role"]) + F.octet_length(t["text"]))
-    keyed = grouped.select("conv_id", keys.alias("prefixes"), size.alias("size"), "turns")
-    return written(keyed.select("conv_id", F.element_at("prefixes", -1).alias("conversation"), "prefixes", "size", "turns"), "conversations")
+    kind = grouped.schema["conv_id"].dataType.simpleString()
+    keyed = map_arrow(grouped, _chained, f"conv_id {kind}, conversation string, prefixes array<string>, size bigint, turns array<struct<role:string,text:string>>")
+    return written(keyed, "conversations")
+
+
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of all prefixes, the last one first of all, and the bytes of (conv_id, turns); steps and space grow with the turns alone."""
+    for batch in batches:
+        turns = batch["turns"]
+        offsets = np.asarray(turns.offsets)
+        roles, texts = (turns.values.field(c).slice(offsets[0], offsets[-1] - offsets[0]).to_pylist() for c in ("role", "text"))
+        starts = (offsets - offsets[0]).tolist()
+        keys, last, sizes = [], [], []
+        for low, high in zip(starts, starts[1:]):
+            key, size = "", 0
+            for role, text in zip(roles[low:high], texts[low:high], strict=True):
+                said = f"{key}:{len(role)}:{role}:{text}".encode()
+                size += len(said) - len(key) - len(str(len(role))) - 3
+                key = hashlib.md5(said).hexdigest()
+                keys.append(key)
+            last.append(key)
+            sizes.append(size)
+        prefixes = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(keys, pa.string()))
+        yield pa.RecordBatch.from_arrays([batch["conv_id"], pa.array(last, pa.string()), prefixes, pa.array(sizes, pa.int64()), turns], names=["conv_id", "conversation", "prefixes", "size", "turns"])
 
 
 def packs_of(conversations: DataFrame, max_conversations: int = MAX_CONVERSATIONS, max_bytes: int = MAX_BYTES) -> DataFrame:

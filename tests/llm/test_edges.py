@@ -138,6 +138,21 @@ def test_chat(spark):
     assert chat.digests(*chat.format_chats(df.limit(0))).count() == 0
 
 
+def test_chat_keys_of_very_long_conversations(spark):
+    import hashlib
+
+    rows = [(c, t, "user" if t % 2 else "assistant", f"turn {t} é" if t < n - 1 else f"end {c}") for c, n in ((1, 32_000), (2, 32_000), (3, 1)) for t in range(n)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.conversations_of(df).collect()}
+    assert [len(got[c].prefixes) for c in (1, 2, 3)] == [32_000, 32_000, 1]
+    assert got[1].prefixes[:-1] == got[2].prefixes[:-1] and got[1].conversation == got[1].prefixes[-1] != got[2].conversation
+    key = ""
+    for _, _, role, text in rows[:5]:
+        key = hashlib.md5(f"{key}:{len(role)}:{role}:{text}".encode()).hexdigest()
+    assert got[1].prefixes[4] == key
+    assert got[1].size == sum(len(role) + len(text.encode()) for c, _, role, text in rows if c == 1)
+
+
 def test_chat_packs_are_bounded_by_bytes(spark):
     rows = [(i, t, "user", "same" if t == 0 else f"{i} " * 2000) for i in range(40) for t in (0, 1)] + [(100 + i, 0, "user", "copy") for i in range(50)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
