@@ -42,6 +42,11 @@ def hamming_hex(a: Column, b: Column) -> Column:
     return F.coalesce(hamming(from_hex64(a), from_hex64(b)), F.lit(64))
 
 
+def prefix_bucket(bits: Column, width: int = 16) -> Column:
+    """The first bits of a 64-bit hash, as a number: images of one bucket are looked at together."""
+    return F.shiftrightunsigned(bits, 64 - width).cast("int")
+
+
 @F.pandas_udf(StringType())
 def content_hash(content: pd.Series) -> pd.Series:
     """XXH64 (seed 0) of binary content as 16 hex digits; the built-in xxhash64 has another seed."""

@@ -21,6 +21,12 @@ def unit_vectors(df: DataFrame, id_col: str, vec: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), l2_normalize(F.col(vec).cast("array<double>")).alias("v")).filter("v IS NOT NULL")
 
 
+def raw_vectors(df: DataFrame, id_col: str, vec: str) -> DataFrame:
+    """id, v (double) as they are, for heads that were fitted on such vectors; null and empty ones, and those with a null element, are left out."""
+    v = F.col(vec).cast("array<double>")
+    return df.select(F.col(id_col).alias("id"), v.alias("v")).filter((F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull()))
+
+
 def knn_edges(units: DataFrame, k: int = 20, threshold: float = 0.78, block: int = BLOCK) -> DataFrame:
     """src, dst, similarity: the up to k nearest of each vector at or above the threshold (all of them for k <= 0), ties by id.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medialens.functions.hashing import hamming
-from medialens.operators.graph import connected_components
+from medialens.operators.graph import connected_components, stored
 
 DEFAULT_DISTANCE = 12
 #: Below so many rows one side is broadcast and all pairs are tested; above, hashes meet by bands.
@@ -52,6 +52,16 @@ def hamming_pairs(images: DataFrame, distance: int = DEFAULT_DISTANCE, delta: Da
     return _pairs(lookups.alias("l").join(table.alias("r"), same & near)).distinct()
 
 
+def group_edges(images: DataFrame, distance: int = DEFAULT_DISTANCE, **options) -> DataFrame:
+    """anchor_id, duplicate_id: edges that connect the same images as hamming_pairs() does. Of n images with one hash there are n - 1 edges, to the one with the
+    smallest id, which alone is compared with other hashes; all pairs would be n (n - 1) / 2."""
+    rows = images.filter("bits IS NOT NULL").select("image_id", "bits")
+    first = stored(rows.groupBy("bits").agg(F.min("image_id").alias("image_id")).withColumn("mtime", F.lit(0)))
+    near = hamming_pairs(first, distance, **options).select("anchor_id", "duplicate_id")
+    same = rows.withColumnRenamed("image_id", "duplicate_id").join(first.select("bits", F.col("image_id").alias("anchor_id")), "bits").filter("anchor_id <> duplicate_id")
+    return near.unionByName(same.select("anchor_id", "duplicate_id"))
+
+
 def incremental_pairs(old_pairs: DataFrame, images: DataFrame, dirty: DataFrame, distance: int = DEFAULT_DISTANCE, **options) -> DataFrame:
     """The pairs after a change: those that touch dirty or vanished images are dropped, those of dirty images are computed anew."""
     alive, changed = images.select(F.col("image_id").alias("id")), dirty.select(F.col("image_id").alias("id"))
@@ -64,7 +74,8 @@ def incremental_pairs(old_pairs: DataFrame, images: DataFrame, dirty: DataFrame,
 def duplicate_groups(images: DataFrame, pairs: DataFrame) -> DataFrame:
     """group_id (the canonical image), image_id, is_canonical, distance of the members of groups of two or more.
 
-    Canonical is the largest by pixels (unknown sides count as 0), bytes, then id. images: image_id, bits, width, height, size_bytes.
+    Canonical is the largest by pixels (unknown sides count as 0), bytes, then id. images: image_id, bits, width, height, size_bytes; pairs: anchor_id, duplicate_id, of hamming_pairs() or
+    group_edges().
     """
     labels = connected_components(pairs, "anchor_id", "duplicate_id").withColumnRenamed("node", "image_id")
     members = labels.join(images, "image_id").select("component", "image_id", "bits", (F.coalesce("width", F.lit(0)) * F.coalesce("height", F.lit(0))).cast("bigint").alias("area"), "size_bytes")

@@ -79,6 +79,19 @@ def filtered_facets(assignments: DataFrame, filters: dict[str, Sequence[str]]) -
     return kept.rollup("facet", "value").agg(F.coalesce(n, F.lit(0)).cast("bigint").alias("n"))
 
 
+def collection_members(changes: DataFrame) -> DataFrame:
+    """collection_id, image_id of collections that are kept by hand: changes (collection_id, image_id, action add or remove, at) in order of time, a removal after an addition of
+    the same time. Repeated changes change nothing; nulls and other actions do not count."""
+    known = changes.filter("collection_id IS NOT NULL AND image_id IS NOT NULL AND at IS NOT NULL").filter(F.col("action").isin("add", "remove"))
+    last = known.groupBy("collection_id", "image_id").agg(F.max(F.struct("at", "action")).alias("last"))
+    return last.filter("last.action = 'add'").select("collection_id", "image_id")
+
+
+def collection_sizes(members: DataFrame) -> DataFrame:
+    """collection_id, n: the counters of collections, from their members."""
+    return members.groupBy("collection_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def detail(images: DataFrame, regions: DataFrame) -> DataFrame:
     """Images with their regions nested, in order of index."""
     nested = regions.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("idx", "score", "x_min", "y_min", "x_max", "y_max"))).alias("regions"))

@@ -48,6 +48,7 @@ QUERIES = {
     "knn_edges_indexed": (indexed, f"WITH {KNN} SELECT src, dst FROM knn UNION SELECT dst, src FROM knn"),
     "knn_edges_probed": (probed, None),
     "connected_components": (lambda spark, sf: connected_components(edges(spark, sf), "src", "dst"), f"WITH RECURSIVE {CLUSTER} SELECT node, cluster_id AS component FROM comp"),
+    "connected_components_stars": (lambda spark, sf: connected_components(edges(spark, sf), "src", "dst", small=0), f"WITH RECURSIVE {CLUSTER} SELECT node, cluster_id AS component FROM comp"),
     "knn_clusters": (members, f"WITH RECURSIVE {CLUSTER} SELECT * FROM clu"),
     "cluster_centers": (
         centers,

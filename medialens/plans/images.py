@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from medialens.functions.hashing import hamming_hex, hex64, perceptual_hash
+from medialens.functions.hashing import hamming_hex, hex64, perceptual_hash, prefix_bucket
 from medialens.functions.pixels import grey_thumbnails
 from medialens.operators import ingest
 from medialens.operators.graph import shared_folder
@@ -54,6 +54,10 @@ def canonical(spark, sf):
     return canonical_only(s.images(spark, sf).select("image_id", "label"), s.groups(spark, sf))
 
 
+def buckets(spark, sf):
+    return s.hashed(spark, sf).groupBy(prefix_bucket(F.col("bits")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min("image_id").alias("first"))
+
+
 def hamming_text(spark, sf):
     rows = perceptual_bits(spark, sf)
     other = F.when(F.substring("phash", 16, 1) == "0", "not a hash").otherwise(F.lit("00000000ffffffff"))
@@ -68,6 +72,7 @@ HEX = "array_to_string(list_transform(range(0, 16), lambda n: format('{:x}', 8 *
 QUERIES = {
     "exact_duplicates": (exact_duplicates, "SELECT min(doc_id) AS first, count(*) AS n FROM documents GROUP BY md5(text)"),
     "perceptual_bits": (perceptual_bits, f"WITH {BITS} SELECT image_id, {HEX} AS phash FROM bits"),
+    "hash_prefix_buckets": (buckets, f"WITH {BITS} SELECT CAST('0x' || substr({HEX}, 1, 4) AS INTEGER) AS bucket, count(*) AS n, min(image_id) AS first FROM bits GROUP BY 1"),
     "perceptual_hash_of_pixels": (from_pixels, None),
     "hamming_hex": (hamming_text, f"WITH {BITS}, x AS (SELECT image_id, b, {HEX} AS h FROM bits) SELECT image_id, CASE WHEN h LIKE '%0' THEN 64 ELSE CAST(list_sum(b[1:32]) + 32 - list_sum(b[33:64]) AS INTEGER) END AS distance FROM x"),
     "hamming_pairs": (s.pairs, f"WITH {PAIRS} SELECT * FROM pairs"),

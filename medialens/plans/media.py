@@ -62,6 +62,13 @@ def payloads(spark, sf):
     return found.select("image_id", media.metadata_payload(*map(F.col, ("image_id", "path", "taken", "camera", "gps_latitude", "gps_longitude"))).alias("payload"))
 
 
+def payload_fields(spark, sf):
+    """The payloads' fields, read back."""
+    field = lambda path: F.get_json_object("payload", f"$.{path}")
+    number = lambda path: F.round(field(path).cast("double"), 6)
+    return payloads(spark, sf).select("image_id", field("primary_path").alias("path"), field("exif_datetime").alias("taken"), field("camera_model").alias("camera"), number("gps.latitude").alias("latitude"), field("gps.latitude_ref").alias("latitude_ref"), number("gps.longitude").alias("longitude"), field("gps.longitude_ref").alias("longitude_ref"))
+
+
 #: What the files say, by the number of the row.
 SAID = """h AS (SELECT vec_id AS n, format('{:016x}', vec_id) AS image_id, vec_id % 11 <> 10 AS whole, vec_id % 4 AS kind FROM embeddings),
 e AS (SELECT *, whole AND kind IN (0, 2) AS exif, whole AND kind IN (0, 2) AND n % 2 = 0 AS placed FROM h),
@@ -74,5 +81,5 @@ said AS (SELECT n, image_id, CASE WHEN whole THEN ['jpeg', 'gif', 'png', 'webp']
 
 QUERIES = {
     "image_headers": (headers, f"WITH {SAID} SELECT image_id, format, width, height, orientation, taken, camera, round(gps_latitude, 6) AS gps_latitude, round(gps_longitude, 6) AS gps_longitude, error FROM said"),
-    "metadata_payloads": (payloads, None),
+    "metadata_payloads": (payload_fields, f"WITH {SAID} SELECT image_id, '/media/' || n || '.bin' AS path, taken, camera, round(gps_latitude, 6) AS latitude, CASE WHEN gps_latitude >= 0 THEN 'N' WHEN gps_latitude < 0 THEN 'S' END AS latitude_ref, round(gps_longitude, 6) AS longitude, CASE WHEN gps_longitude >= 0 THEN 'E' WHEN gps_longitude < 0 THEN 'W' END AS longitude_ref FROM said WHERE error IS NULL"),
 }

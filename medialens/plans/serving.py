@@ -59,6 +59,12 @@ def collections(spark, sf):
     return rows.filter("collection IS NOT NULL").groupBy("collection").agg(F.count(F.lit(1)).alias("n"))
 
 
+def by_hand(spark, sf):
+    """Events as additions to and removals from collections."""
+    e = s.table(spark, sf, "events").select(F.col("event_type").alias("collection_id"), F.col("user_id").alias("image_id"), F.when(F.col("event_id") % 3 == 0, "remove").otherwise("add").alias("action"), F.col("ts").alias("at"))
+    return v.collection_sizes(v.collection_members(e))
+
+
 def assigned(spark, sf):
     """image_id, facet, value: scenes, class and shape of the images."""
     i = s.images(spark, sf)
@@ -80,6 +86,7 @@ QUERIES = {
     "listing_top_labels": (top_labels, f"WITH {REG}, h AS (SELECT image_id, label_key, max(score) AS score FROM reg GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, label_key) AS n FROM h) SELECT image_id, string_agg(label_key, ',' ORDER BY n) AS labels FROM k WHERE n <= 4 GROUP BY image_id"),
     "attribute_flags_pivot": (flags, "SELECT doc_id AS image_id, bool_or(quality = 1) AS quality, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id"),
     "facet_counts": (lambda spark, sf: v.facets(s.scenes(spark, sf)), f"WITH {IMG}, {SCENE} SELECT split_part(label_key, '.', 1) AS level, label_key, count(DISTINCT image_id) AS n FROM sc GROUP BY ALL"),
+    "collections_by_hand": (by_hand, "WITH l AS (SELECT event_type, user_id, arg_max(event_id % 3 = 0, struct_pack(t := ts, r := event_id % 3 = 0)) AS gone FROM events GROUP BY ALL) SELECT event_type AS collection_id, count(*) AS n FROM l WHERE NOT gone GROUP BY 1"),
     "facets_filtered": (lambda spark, sf: v.filtered_facets(assigned(spark, sf), {"scene": ["food", "people"], "shape": ["wide"], "class": []}), f"""WITH {IMG}, {SCENE}, a AS (SELECT image_id, 'scene' AS facet, split_part(label_key, '.', 2) AS value FROM sc UNION SELECT image_id, 'class', 'k' || label FROM img UNION SELECT image_id, 'shape', CASE WHEN width > height + 150 THEN 'wide' ELSE 'square' END FROM img),
 p AS (SELECT image_id, bool_or(facet = 'scene' AND value IN ('food', 'people')) AS scene, bool_or(facet = 'shape' AND value = 'wide') AS shape FROM a GROUP BY image_id), k AS (SELECT facet, value, image_id, scene AND shape AS whole FROM a JOIN p USING (image_id) WHERE (scene OR facet = 'scene') AND (shape OR facet = 'shape'))
 SELECT facet, value, CASE WHEN grouping(facet) = 1 THEN count(DISTINCT image_id) FILTER (whole) ELSE count(DISTINCT image_id) END AS n FROM k GROUP BY GROUPING SETS ((facet, value), (facet), ())"""),

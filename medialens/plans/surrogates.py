@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from medialens.functions.hashing import perceptual_bits
 from medialens.operators import labeling
-from medialens.operators.near_duplicates import duplicate_groups, hamming_pairs
+from medialens.operators.near_duplicates import duplicate_groups, group_edges, hamming_pairs
 
 #: Thresholds at which the test tables have something to find.
 HAMMING, COSINE, NEIGHBOURS, MIN_CLUSTER = 18, 0.40, 20, 3
@@ -42,7 +42,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = hashed(spark, sf_dir)
-    return duplicate_groups(rows, hamming_pairs(rows, HAMMING))
+    return duplicate_groups(rows, group_edges(rows, HAMMING))
 
 
 def prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,16 +94,29 @@ def parse(raw: Any) -> Settings:
 
 
 def load(path: str | None = None) -> Settings:
-    """Settings of a JSON file: the argument, $MEDIALENS_SETTINGS, or settings.json here; defaults where there is none."""
-    for place in (path, os.environ.get("MEDIALENS_SETTINGS"), "settings.json"):
+    """Settings of a JSON or YAML file: the argument, $MEDIALENS_SETTINGS, or settings.json or .yaml here; defaults where there is none or it can't be read.
+    YAML needs the yaml module; without it such a file is an error."""
+    for place in (path, os.environ.get("MEDIALENS_SETTINGS"), "settings.json", "settings.yaml"):
         if place and Path(place).is_file():
-            try:
-                return parse(json.loads(Path(place).read_text()))
-            except ValueError:
-                return Settings()
+            return parse(_read(Path(place)))
     return Settings()
 
 
+def _read(path: Path) -> Any:
+    text = path.read_text()
+    if path.suffix.lower() not in (".yaml", ".yml"):
+        try:
+            return json.loads(text)
+        except ValueError:
+            return None
+    import yaml
+
+    try:
+        return yaml.safe_load(text)
+    except yaml.YAMLError:
+        return None
+
+
 #: Presets of model names by kind; an explicit name goes before a preset, a preset before the default.
 def model_name(explicit: str | None, preset: str | None, presets: dict[str, str], default: str) -> str:
     if explicit:
