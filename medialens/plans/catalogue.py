@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-FAMILIES = ("images", "labels", "clusters", "regions", "serving", "evaluation", "ingest", "search", "extras", "media", "views")
+FAMILIES = ("images", "labels", "clusters", "regions", "serving", "evaluation", "ingest", "search", "extras", "media", "views", "tables")
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:
