@@ -78,8 +78,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = stamps.normalise(table(spark, sf_dir, "stamps").select("stamp_id", "source", "zone", "raw"))
-    return done.select("stamp_id", "utc_us", "rule", "ambiguous")
+    return stamps.normalise(table(spark, sf_dir, "stamps"), keep=["stamp_id"])
 
 
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ one row for each partition, are looked up afterwards and joined by partition.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -141,29 +141,29 @@ def _swept(rows: DataFrame, turns: DataFrame) -> DataFrame:
     return joined.withColumns({k: F.coalesce(F.col(k), F.col(f"carry.{k}")) for k in ("after", "until")}).drop("part", "carry", "turn")
 
 
-def normalise(stamps: DataFrame, raw: str = "raw", zone: str = "zone", source: str = "source") -> DataFrame:
-    """stamps with utc_us, rule and ambiguous; columns of stamps with those names are replaced.
+def normalise(stamps: DataFrame, raw: str = "raw", zone: str = "zone", source: str = "source", keep: Sequence[str] | None = None) -> DataFrame:
+    """stamps (the columns `keep` of it, if named) with utc_us, rule and ambiguous; columns of stamps with those names are replaced.
 
     A null stamp, one of another shape, an impossible date or time, and a date without offset whose zone is null or unknown are bad: utc_us
     null, ambiguous false, no vote. A null source votes as a source of its own. Each repeated row votes and gives a row of its own.
     Very long texts are bad at once. Other columns pass, whatever their names; an empty table gives an empty one.
     """
-    spark = stamps.sparkSession
     df = stamps.drop("utc_us", "rule", "ambiguous")
+    kept = list(df.columns if keep is None else keep)
     names = fresh(df, "wall", "other", "lead", "zoned", "rule")
     wall, other, lead, zoned, rule = names
     salt, votes, told = fresh(df, "salt", "votes", "told")
-    rows = written(_parsed(df, raw, zone, names), "parsed")
+    needed = dict.fromkeys([*kept, zone, source])
+    rows = written(_parsed(df, raw, zone, names).select(*map(col, needed), *map(F.col, names)), "parsed")
     won = rows.filter(F.col(lead).isNotNull()).groupBy(col(source).alias(told)).agg(F.sum(lead).alias(votes))
     won = won.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = rows.filter(F.col(other).isNotNull()).withColumn(salt, F.pmod(F.xxhash64(*[col(x) for x in df.columns]), F.lit(SALTS)).cast("int")).alias("l")
+    dealt = rows.filter(F.col(other).isNotNull()).withColumn(salt, F.pmod(F.xxhash64(*map(col, kept), F.col(wall), F.col(other)), F.lit(SALTS)).cast("int")).alias("l")
     met = dealt.join(won.alias("r"), col(source).eqNullSafe(F.col(f"r.{told}")) & (F.col(f"l.{salt}") == F.col(f"r.{salt}")), "left").select("l.*", F.coalesce(votes, F.lit(0)).alias(votes))
     decided = met.withColumns({wall: F.when(F.col(votes) < 0, F.col(other)).otherwise(F.col(wall)), rule: F.when(F.col(votes) == 0, "default").otherwise("votes")})
-    keep = [*[col(x) for x in df.columns], *map(F.col, (wall, zoned, rule))]
-    resolved = rows.filter(F.col(other).isNull()).select(*keep).unionByName(written(decided.select(*keep), "decided"))
-    plain = resolved.select(*[col(x).alias(f"c{i}") for i, x in enumerate(df.columns)], col(zone).alias("zone"), F.col(wall).alias("wall"), F.col(zoned).alias("zoned"), F.col(rule).alias("rule"))
-    in_zone = plain.filter("zoned").drop("zoned").withColumn("tie", F.xxhash64(*[f"c{i}" for i in range(len(df.columns))]))
+    part = lambda df: df.select(*[col(x).alias(f"c{i}") for i, x in enumerate(kept)], col(zone).alias("zone"), F.col(wall).alias("wall"), F.col(zoned).alias("zoned"), F.col(rule).alias("rule"))
+    plain = part(rows.filter(F.col(other).isNull())).unionByName(written(part(decided), "decided"))
+    in_zone = plain.filter("zoned").drop("zoned").withColumn("tie", F.xxhash64("wall", *[f"c{i}" for i in range(len(kept))]))
     turns = written(transitions(in_zone.select("zone").distinct()), "transitions")
     swept = _swept(in_zone, turns).select(*plain.drop("zone", "wall", "zoned").columns, (F.col("wall") - F.col("after")).alias("utc_us"), (F.col("wall") < F.col("until")).alias("odd"))
     done = plain.filter("NOT zoned").select(*swept.drop("utc_us", "odd").columns, F.col("wall").alias("utc_us"), F.lit(False).alias("odd")).unionByName(swept)
-    return done.select(*[F.col(f"c{i}").alias(x) for i, x in enumerate(df.columns)], "utc_us", "rule", (F.col("odd") | F.col("rule").isin("votes", "default")).alias("ambiguous"))
+    return done.select(*[F.col(f"c{i}").alias(x) for i, x in enumerate(kept)], "utc_us", "rule", (F.col("odd") | F.col("rule").isin("votes", "default")).alias("ambiguous"))
