@@ -12,7 +12,7 @@ def test_equal_hashes_are_linked_once_and_connect_the_same_images(spark):
     rows = [(f"a{i:03d}", 5, i) for i in range(300)] + [("b", 7, 1), ("c", 1 << 40, 1), ("d", None, 1), ("e", (1 << 40) + 1, 2), ("f", -1, 3)]
     df = spark.createDataFrame(rows, "image_id string, bits long, mtime int")
     edges = near_duplicates.group_edges(df, 2)
-    assert edges.count() == 299 + 2
+    assert edges.count() == 299 + 3
     of = lambda e: {tuple(r) for r in connected_components(e, "anchor_id", "duplicate_id").collect()}
     assert of(edges) == of(near_duplicates.hamming_pairs(df, 2)) == of(near_duplicates.group_edges(df, 2, small=0))
     assert near_duplicates.group_edges(df.limit(0), 2).count() == 0
