@@ -50,8 +50,8 @@ class TextIndex:
         names = [b for b, *_ in self.batches()]
         if not names:
             return self.spark.createDataFrame([], f"{schema}, batch string" + (", shard int" if what == "postings" else ""))
-        paths = [f"{self.path}/{what}/batch={n}" for n in names]
-        return self.spark.read.option("basePath", f"{self.path}/{what}").parquet(*paths)
+        schema = f"{schema}, batch string" + (", shard int" if what == "postings" else "")
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{what}").parquet(*[f"{self.path}/{what}/batch={n}" for n in names])
 
     def documents(self) -> DataFrame:
         return self._read("documents", f"key {self.key_type}, length int, block bigint")
@@ -89,28 +89,28 @@ class TextIndex:
 
     def _of(self, terms: list[str]) -> DataFrame:
         """The postings of the terms; only their partitions are read."""
-        shards = [r.s for r in self.spark.createDataFrame([(t,) for t in terms], "t string").select(_shard(F.col("t"), self.shards).alias("s")).distinct().collect()]
+        shards = sorted(set(self.spark.range(1).select(F.array(*[_shard(F.lit(t), self.shards) for t in terms])).first()[0]))
         return self.postings().filter(F.col("shard").isin(shards) & F.col("term").isin(terms))
 
     def search(self, terms: Sequence[str], k: int = 10) -> DataFrame:
         """key, score of the k best documents that hold a term, ties by key."""
         return self._search(terms, k)[0]
 
-    def _search(self, terms: Sequence[str], k: int) -> tuple[DataFrame, int, int]:
-        """search(), how many blocks hold a term, and how many of them are scored."""
-        nothing = self.spark.createDataFrame([], f"key {self.key_type}, score double"), 0, 0
+    def _search(self, terms: Sequence[str], k: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+        """search(), the blocks that hold a term with their bounds, and those of them that are scored."""
+        nothing = self.spark.createDataFrame([], f"key {self.key_type}, score double"), None, None
         terms, batches = list(dict.fromkeys(terms)), self.batches()
         n, words = sum(b[1] for b in batches), sum(b[2] for b in batches)
         if not terms or not words or k < 1:
             return nothing
         postings = self._of(terms)
-        heads = stored(postings.select("block", "term", "docs", "most", "shortest"))
+        heads = postings.select("block", "term", "docs", "most", "shortest").persist()
         counts = {r.term: r.df for r in heads.groupBy("term").agg(F.sum("docs").alias("df")).collect()}
         if not counts:
             return nothing
         idf = F.create_map(*[F.lit(x) for t, df in counts.items() for x in (t, math.log(1 + (n - df + 0.5) / (df + 0.5)))])
         gain = lambda tf, length: F.element_at(idf, F.col("term")) * tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * length / F.lit(words / n)))
-        bounds = stored(heads.groupBy("block").agg(F.sum(gain(F.col("most"), F.col("shortest"))).alias("bound")))
+        bounds = heads.groupBy("block").agg(F.sum(gain(F.col("most"), F.col("shortest"))).alias("bound"))
 
         def best(blocks: list[int] | DataFrame) -> DataFrame:
             kept = postings.filter(F.col("block").isin(blocks)) if isinstance(blocks, list) else postings.join(blocks, "block", "left_semi")
@@ -121,4 +121,4 @@ class TextIndex:
         bar = first[-1].score if len(first) == k else -math.inf
         left = bounds.filter(F.col("bound") >= bar - SLACK).select("block")
         some = [r.block for r in left.limit(LISTED_BLOCKS + 1).collect()]
-        return best(some if len(some) <= LISTED_BLOCKS else left), bounds.count(), left.count()
+        return best(some if len(some) <= LISTED_BLOCKS else left), bounds, left
