@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from medialens.functions.frames import ship
 from medialens.functions.geometry import box, priority
 from medialens.functions.text import basename
 from medialens.operators.graph import top_per
@@ -167,6 +168,7 @@ def image_details(wanted: DataFrame, images: DataFrame, assignments: DataFrame,
     near = others.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(F.col("p.distance").alias("distance"), "other_id", F.col("p.role").alias("role"), "status", "primary_path"))).alias("near_duplicates"))
     marks = mine(region_labels).withColumn("region", F.struct("image_id", "idx"))
     told = [_entries(marks, level, best, ["display_name", "score"], None, name, "region") for level, name in (("object", "object_labels"), ("cluster", "cluster_labels"))]
+    ship(regions.sparkSession)
     boxes = mine(regions).withColumns({"region": F.struct("image_id", "idx"), "priority": priority(box(), F.col("score"))}).join(told[0], "region", "left").join(told[1], "region", "left")
     boxes = boxes.withColumn("raw_label", F.coalesce("raw_label", F.lit("(raw)")))
     nested = boxes.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("idx", "x_min", "y_min", "x_max", "y_max", "raw_label", "score", "detector", "priority", *[F.coalesce(c, F.array().cast(boxes.schema[c].dataType)).alias(c) for c in ("object_labels", "cluster_labels")]))).alias("regions"))
