@@ -202,9 +202,11 @@ def canonical_only(images: DataFrame, groups: DataFrame) -> DataFrame:
     return images.join(groups.filter(~F.col("is_canonical")).select("image_id"), "image_id", "left_anti")
 
 
-def neighbours(pairs: DataFrame, image_ids: DataFrame | None = None) -> DataFrame:
-    """image_id, other_id, distance: both directions of each pair, the smaller distance where there are several."""
-    both = pairs.select(F.col("anchor_id").alias("image_id"), F.col("duplicate_id").alias("other_id"), "distance").union(pairs.select("duplicate_id", "anchor_id", "distance"))
+def neighbours(pairs: DataFrame, image_ids: DataFrame | None = None, unique: bool = False) -> DataFrame:
+    """image_id, other_id, distance: both directions of each pair, the smaller distance where there are several. `unique` says that no two images
+    have several, as those of hamming_pairs() have not where each image is listed once; then no pair is shuffled."""
+    way = lambda a, b: F.struct(F.col(a).alias("image_id"), F.col(b).alias("other_id"), "distance")
+    both = pairs.select(F.inline(F.array(way("anchor_id", "duplicate_id"), way("duplicate_id", "anchor_id"))))
     if image_ids is not None:
         both = both.join(image_ids.select("image_id"), "image_id", "left_semi")
-    return both.groupBy("image_id", "other_id").agg(F.min("distance").alias("distance"))
+    return both if unique else both.groupBy("image_id", "other_id").agg(F.min("distance").alias("distance"))

@@ -162,9 +162,11 @@ def image_details(wanted: DataFrame, images: DataFrame, assignments: DataFrame,
     objects = _entries(labels, "object", best, ["display_name", "label_key", "score", "source"], None, "object_labels")
     found = _entries(labels, "cluster", [F.desc("created_at"), F.col("label_key")], ["display_name", "label_key", "score", "source"], None, "cluster_labels")
     said = mine(captions).groupBy("image_id").agg(F.min(F.struct("model_name", "caption")).alias("c")).select("image_id", F.col("c.caption").alias("caption"), F.col("c.model_name").alias("caption_model"))
-    sides = [pairs.select(F.col(a).alias("image_id"), F.col(b).alias("other_id"), "distance", F.lit(role).alias("role")) for a, b, role in (("anchor_id", "duplicate_id", "anchor"), ("duplicate_id", "anchor_id", "duplicate"))]
-    others = mine(sides[0].unionByName(sides[1])).groupBy("image_id", "other_id").agg(F.min(F.struct("distance", "role")).alias("p"))
-    others = others.join(images.select(F.col("image_id").alias("other_id"), "status", "primary_path"), "other_id")
+    way = lambda a, b, role: F.struct(F.col(a).alias("image_id"), F.col(b).alias("other_id"), "distance", F.lit(role).alias("role"))
+    sides = mine(pairs.select(F.inline(F.array(way("anchor_id", "duplicate_id", "anchor"), way("duplicate_id", "anchor_id", "duplicate")))))
+    others = sides.join(images.select(F.col("image_id").alias("other_id"), "status", "primary_path"), "other_id")
+    # dealt by image once, for both groupings
+    others = others.repartition("image_id").groupBy("image_id", "other_id", "status", "primary_path").agg(F.min(F.struct("distance", "role")).alias("p"))
     near = others.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(F.col("p.distance").alias("distance"), "other_id", F.col("p.role").alias("role"), "status", "primary_path"))).alias("near_duplicates"))
     marks = mine(region_labels).withColumn("region", F.struct("image_id", "idx"))
     told = [_entries(marks, level, best, ["display_name", "score"], None, name, "region") for level, name in (("object", "object_labels"), ("cluster", "cluster_labels"))]

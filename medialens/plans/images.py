@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from medialens.functions.hashing import hamming_hex, hex64, perceptual_hash, prefix_bucket
 from medialens.functions.pixels import grey_thumbnails
 from medialens.operators import ingest
-from medialens.operators.graph import shared_folder
+from medialens.operators.graph import shared_folder, stored
 from medialens.operators.kept_components import KeptComponents
 from medialens.operators.near_duplicates import canonical_only, hamming_pairs, incremental_pairs, neighbours
 from medialens.plans import surrogates as s
@@ -42,7 +42,7 @@ def banded(spark, sf):
 
 def kept_groups(spark, sf):
     """Groups of near duplicates kept over three batches of changes: pairs, more pairs, and images that go."""
-    near = s.pairs(spark, sf).select(F.col("anchor_id").alias("a"), F.col("duplicate_id").alias("b"), "distance")
+    near = stored(s.pairs(spark, sf).select(F.col("anchor_id").alias("a"), F.col("duplicate_id").alias("b"), "distance"))
     kept = KeptComponents(spark, f"{shared_folder(spark)}/components-{uuid.uuid4().hex}", "string")
     kept.apply(near.filter("distance % 2 = 0"))
     kept.apply(near.filter("distance % 2 = 1"))
@@ -82,5 +82,5 @@ QUERIES = {
     "groups_kept_over_batches": (kept_groups, f"WITH RECURSIVE {PAIRS}, e AS (SELECT anchor_id AS a, duplicate_id AS b FROM pairs JOIN img x ON x.image_id = anchor_id JOIN img y ON y.image_id = duplicate_id WHERE x.vec_id % 7 <> 0 AND y.vec_id % 7 <> 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), "
     "reach(node, other) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM reach r JOIN u ON r.other = u.a) SELECT node, min(other) AS component FROM reach GROUP BY node"),
     "canonical_only": (canonical, f"WITH RECURSIVE {GROUPS} SELECT image_id, label FROM img WHERE image_id NOT IN (SELECT image_id FROM grp WHERE NOT is_canonical)"),
-    "near_duplicate_neighbours": (lambda spark, sf: neighbours(s.pairs(spark, sf)), f"WITH {PAIRS} SELECT anchor_id AS image_id, duplicate_id AS other_id, distance FROM pairs UNION ALL SELECT duplicate_id, anchor_id, distance FROM pairs"),
+    "near_duplicate_neighbours": (lambda spark, sf: neighbours(s.pairs(spark, sf), unique=True), f"WITH {PAIRS} SELECT anchor_id AS image_id, duplicate_id AS other_id, distance FROM pairs UNION ALL SELECT duplicate_id, anchor_id, distance FROM pairs"),
 }

@@ -6,6 +6,7 @@ from medialens.functions.vectors import l2_normalize
 from medialens.operators import clusters as c
 from medialens.operators import passes
 from medialens.operators import serving as v
+from medialens.operators.near_duplicates import hamming_pairs
 from medialens.plans import surrogates as s
 from medialens.plans.sql import GROUPS, IMG, PAIRS, PROTO, REG, SCENE
 
@@ -40,7 +41,8 @@ def told(array, *fields):
 
 def page(spark, sf):
     rows = v.page(s.images(spark, sf).select("image_id", "label"), 2, 24)
-    out = v.enriched_page(rows, assignments(spark, sf), s.pairs(spark, sf))
+    near = hamming_pairs(s.hashed(spark, sf), s.HAMMING, delta=rows)  # of all pairs those that touch the page
+    out = v.enriched_page(rows, assignments(spark, sf), near)
     return out.withColumns({"objects": told("objects", "display_name", "score", "source"), "clusters": told("clusters", "display_name", "score")})
 
 
