@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from medialens.functions.frames import ship
-from medialens.operators.clusters import BLOCK
+from medialens.operators.clusters import BLOCK, DIGITS, SPREAD, TILE, nearest
 from medialens.operators.graph import stored
 
 #: Centroids are fitted to so many entries at most (those with the smallest hashes); there are as many as the root of all entries, up to a limit.
@@ -29,11 +29,12 @@ SLACK = 1e-6
 
 @dataclass
 class Index:
-    """entries: rep (smallest id of equal vectors), v, list, angle (to the list's centroid); radii of the lists; probes: lists a query looks into at most."""
+    """entries: rep (smallest id of equal vectors), v, list, angle (to the list's centroid); radii and sizes of the lists; probes: lists a query looks into at most."""
 
     entries: DataFrame
     centroids: np.ndarray
     radii: np.ndarray
+    sizes: np.ndarray
     probes: int
 
 
@@ -83,10 +84,10 @@ def build(units: DataFrame, k: int, threshold: float, recall: float = 0.95) -> I
             yield pa.RecordBatch.from_arrays([batch["rep"], batch["v"], pa.array(near, pa.int32()), pa.array(angles[np.arange(len(near)), near])], names=["rep", "v", "list", "angle"])
 
     entries = stored(distinct.mapInArrow(assign, f"rep {kind}, v array<double>, list int, angle double"))
-    radii = np.full(len(centroids), -np.inf)
-    for r in entries.groupBy("list").agg(F.max("angle").alias("radius")).collect():
-        radii[r["list"]] = r.radius
-    index = Index(entries, centroids, radii, len(centroids))
+    radii, sizes = np.full(len(centroids), -np.inf), np.zeros(len(centroids), np.int64)
+    for r in entries.groupBy("list").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n")).collect():
+        radii[r["list"]], sizes[r["list"]] = r.radius, r.n
+    index = Index(entries, centroids, radii, sizes, len(centroids))
     if recall < 1:
         index.probes = _probes_for(index, sample[:PROBED], k, threshold, recall)
     return index
@@ -112,33 +113,62 @@ def _probes_for(index: Index, queries: np.ndarray, k: int, threshold: float, rec
     return int(np.quantile(need, recall, method="higher"))
 
 
-def _met(index: Index, threshold: float, block: int) -> DataFrame:
-    """list, i, j, asks, rep, v: entries of each list and the queries that look into it, in blocks of about `block` of either."""
+def _room(index: Index, block: int) -> int:
+    """Entries of one side of a tile."""
+    return min(TILE, max(block, -(-int(index.sizes.sum()) // SPREAD)))
+
+
+def _bundles(index: Index, room: int) -> np.ndarray:
+    """For each list, the bundle that it is in: lists with near centroids, together about `room` entries or one larger list."""
+    some = index.centroids[:: max(1, int(len(index.centroids) ** 0.5))]
+    order = np.argsort((index.centroids @ some.T).argmax(1), kind="stable")
+    starts = np.cumsum(index.sizes[order]) - index.sizes[order]
+    bundle = np.empty(len(order), np.int32)
+    bundle[order] = np.unique(starts // room, return_inverse=True)[1]
+    return bundle
+
+
+def _asked(index: Index, threshold: float, bundle: np.ndarray) -> DataFrame:
+    """rep, v, bundle, lists: each entry, once for each bundle that holds lists which it looks into."""
     centroids, radii, probes = index.centroids, index.radii, index.probes
     reach = float(np.arccos(np.clip(threshold, -1, 1)))
     kind = index.entries.schema["rep"].dataType.simpleString()
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = _lists_of(_angles(_matrix(batch["v"]), centroids), radii, reach, probes) if batch.num_rows else []
-            sizes = np.array([len(x) for x in lists], np.int32)
-            values = pa.array(np.concatenate(lists) if lists else [], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch["rep"], batch["v"], pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)], names=["rep", "v", "lists"])
-
-    asked = index.entries.select("rep", "v").mapInArrow(probe, f"rep {kind}, v array<double>, lists array<int>")
-    asked = stored(asked).select("rep", "v", F.explode("lists").alias("list"))
-    parts = lambda rows, name: rows.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
-    shape = F.broadcast(parts(index.entries, "rows").join(parts(asked, "columns"), "list"))  # a row for each list, whose number is bounded
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                lists = _lists_of(_angles(_matrix(some["v"]), centroids), radii, reach, probes)
+                row, of = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists)
+                order = np.lexsort((of, bundle[of], row))
+                row, of = row[order], of[order]
+                starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(row)), bool), (row[1:] != row[:-1]) | (bundle[of[1:]] != bundle[of[:-1]])]))
+                nested = pa.ListArray.from_arrays(pa.array(np.append(starts, len(row)), pa.int32()), pa.array(of, pa.int32()))
+                mine = pa.array(row[starts])
+                yield pa.RecordBatch.from_arrays([some["rep"].take(mine), some["v"].take(mine), pa.array(bundle[of[starts]], pa.int32()), nested], names=["rep", "v", "bundle", "lists"])
+
+    return index.entries.select("rep", "v").mapInArrow(probe, f"rep {kind}, v array<double>, bundle int, lists array<int>")
+
+
+def _met(index: Index, threshold: float, block: int) -> DataFrame:
+    """bundle, i, j, asks, rep, v, lists: the entries of each bundle of lists and those that look into some of them, in tiles of bounded size. An entry asks once for each bundle, not for each list."""
+    room = _room(index, block)
+    bundle = _bundles(index, room)
+    asked = stored(_asked(index, threshold, bundle))
+    number = F.element_at(F.array(*[F.lit(int(x)) for x in bundle]), F.col("list") + 1)
+    held = index.entries.select("rep", "v", F.array("list").alias("lists"), number.alias("bundle"))
+    parts = lambda rows, name: rows.groupBy("bundle").agg(F.ceil(F.count(F.lit(1)) / room).cast("int").alias(name))
+    shape = F.broadcast(parts(held, "rows").join(parts(asked, "columns"), "bundle"))  # a row for each bundle, of which there are no more than lists
     mine = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    held = index.entries.select("rep", "v", "list").join(shape, "list").select("list", mine("rows", "held").alias("i"), every("columns").alias("j"), F.lit(False).alias("asks"), "rep", "v")
-    return held.unionByName(asked.join(shape, "list").select("list", every("rows").alias("i"), mine("columns", "asks").alias("j"), F.lit(True).alias("asks"), "rep", "v"))
+    held = held.join(shape, "bundle").select("bundle", mine("rows", "held").alias("i"), every("columns").alias("j"), F.lit(False).alias("asks"), "rep", "v", "lists")
+    return held.unionByName(asked.join(shape, "bundle").select("bundle", every("rows").alias("i"), mine("columns", "asks").alias("j"), F.lit(True).alias("asks"), "rep", "v", "lists"))
 
 
 def compared_pairs(index: Index, threshold: float) -> int:
     """How many pairs of entries the index compares."""
-    sizes = _met(index, threshold, 1 << 30).groupBy("list").agg(F.sum(F.col("asks").cast("bigint")).alias("a"), F.sum((~F.col("asks")).cast("bigint")).alias("b"))
-    return sizes.agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0
+    asks = _asked(index, threshold, np.zeros(len(index.sizes), np.int32)).select(F.explode("lists").alias("list")).groupBy("list").count().collect()
+    return sum(int(index.sizes[r["list"]]) * r["count"] for r in asks)
 
 
 def knn_edges(units: DataFrame, k: int = 20, threshold: float = 0.78, recall: float = 0.95, index: Index | None = None, block: int = BLOCK) -> DataFrame:
@@ -149,30 +179,37 @@ def knn_edges(units: DataFrame, k: int = 20, threshold: float = 0.78, recall: fl
     index = index or build(units, k, threshold, recall)
     kind = units.schema["id"].dataType.simpleString()
 
-    def compare(group: pa.Table) -> pa.Table:
-        group = group.sort_by("rep").combine_chunks()
-        asks = group["asks"].to_numpy(zero_copy_only=False)
-        v, reps = _matrix(group["v"].combine_chunks()), group["rep"].combine_chunks()
-        left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
-        src, dst, near = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        for at in range(0, len(left) if len(right) else 0, 512):
-            s = v[left[at : at + 512]] @ v[right].T
-            for r in np.flatnonzero((s >= threshold).any(1)):
-                good = np.flatnonzero(s[r] >= threshold)
-                good = good[np.argsort(-s[r][good], kind="stable")][: k + 1]
-                src.append(np.full(len(good), left[at + r]))
-                dst.append(right[good])
-                near.append(s[r][good])
-        pick = lambda x: reps.take(pa.array(np.concatenate(x)))
-        return pa.table({"a": pick(src), "b": pick(dst), "similarity": np.concatenate(near)})
-
-    found = _met(index, threshold, block).groupBy("list", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}, similarity double")
-    best = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile = pa.Table.from_batches(list(batches)).sort_by("rep").combine_chunks()
+        asks = tile["asks"].to_numpy()
+        v, reps, lists = _matrix(tile["v"].combine_chunks()), tile["rep"].combine_chunks().dictionary_encode(), tile["lists"].combine_chunks()
+        node = reps.indices.to_numpy()
+        row, of = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+        order = np.argsort(of, kind="stable")
+        row, cuts = row[order], np.flatnonzero(np.diff(of[order])) + 1
+
+        def found() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            for rows in np.split(row, cuts):
+                left, right = rows[asks[rows]], rows[~asks[rows]]
+                for lo in range(0, len(left), min(block, 512)):
+                    some = left[lo : lo + min(block, 512)]
+                    for at in range(0, len(right), block):
+                        others = right[at : at + block]
+                        s = (v[some] @ v[others].T).ravel()
+                        near = np.flatnonzero(s >= threshold)
+                        yield node[some[near // len(others)]], node[others[near % len(others)]], s[near]
+
+        for a, b, s in nearest(found(), k + 1):
+            yield pa.RecordBatch.from_arrays([reps.dictionary.take(pa.array(a)), reps.dictionary.take(pa.array(b)), pa.array(s)], names=["a", "b", "similarity"])
+
+    found = _met(index, threshold, block).groupBy("bundle", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}, similarity double")
+    nearer = F.desc(F.round("similarity", DIGITS))
+    best = Window.partitionBy("a").orderBy(nearer, "b")
     found = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).drop("n")
     # of each set of equal vectors the k + 1 smallest ids are enough for any k nearest but oneself
     members = stored(units.join(index.entries.select("rep", "v"), "v").select("id", "rep"))
     first = members.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).filter(F.col("n") <= k + 1).select(F.col("rep").alias("b"), F.col("id").alias("dst"))
-    ranked = found.join(first, "b").withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "dst"))).filter(F.col("n") <= k + 1)
+    ranked = found.join(first, "b").withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy(nearer, "dst"))).filter(F.col("n") <= k + 1)
     answers = ranked.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("n", "dst", "similarity"))).alias("near"))
     own = members.join(answers, members["rep"] == answers["a"]).select(F.col("id").alias("src"), F.explode(F.slice(F.filter("near", lambda x: x["dst"] != F.col("id")), 1, k)).alias("e"))
     return own.select("src", "e.dst", "e.similarity")

@@ -57,3 +57,11 @@ def test_edges(spark):
     assert edge_set(vector_index.knn_edges(units.filter("id = 2"), 3, 0.5)) == {}
     with pytest.raises(ValueError, match="needs k"):
         vector_index.knn_edges(units, 0, 0.5)
+
+
+def test_an_entry_asks_once_for_each_bundle_of_lists(spark):
+    """Vectors without clusters look into most lists."""
+    index = vector_index.build(units_of(spark, clustered(2000, 1, seed=7, spread=1.0)), 5, 0.3, recall=1.0)
+    assert vector_index.compared_pairs(index, 0.3) > 20 * 2000
+    assert vector_index._met(index, 0.3, 4096).filter("asks").count() <= 2000
+    assert vector_index._met(index, 0.3, 100).filter("asks").count() <= 2000 * 2 * 10
