@@ -22,6 +22,8 @@ LOBES = 3
 GREY = (299, 587, 114)
 #: Pixels that are resampled together.
 CELLS = 4_000_000
+#: Images that are handed on at once; a batch of Spark's may hold ten thousand.
+SLICE = 256
 
 
 @lru_cache(maxsize=4096)
@@ -61,7 +63,7 @@ def grey(pixels: np.ndarray) -> np.ndarray:
 
 def _resample(batches: Iterator[pa.RecordBatch], width: int, height: int) -> Iterator[pa.RecordBatch]:
     """Of (keys..., width, height, channels, pixels): keys and the resampled grey values, null where the numbers do not fit the size."""
-    for batch in batches:
+    for batch in (some.slice(at, SLICE) for some in batches for at in range(0, some.num_rows, SLICE)):
         wide, high, deep = (np.asarray(batch[c].fill_null(0)) for c in ("width", "height", "channels"))
         column = batch["pixels"]
         offsets, values = np.asarray(column.offsets), column.values

@@ -3,6 +3,7 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 
 from medialens.functions import pixels
@@ -71,3 +72,11 @@ def test_other_sizes_and_edges(spark):
 def test_weights_sum_to_one(source, target):
     first, w = pixels.weights(source, target)
     assert len(first) == target and abs(w.sum(1) - 1).max() < 1e-12
+
+
+def test_a_large_batch_is_handed_on_in_slices():
+    n = 1000
+    batch = pa.RecordBatch.from_pydict({"key": list(range(n)), "width": [2] * n, "height": [2] * n, "channels": [1] * n, "pixels": [[k % 256] * 4 for k in range(n)]})
+    made = list(pixels._resample(iter([batch]), 2, 2))
+    assert max(b.num_rows for b in made) <= 256 and [k for b in made for k in b["key"].to_pylist()] == list(range(n))
+    assert [g[0] for b in made for g in b["grey"].to_pylist()] == [k % 256 for k in range(n)]
