@@ -168,7 +168,7 @@ def group_edges(images: DataFrame, distance: int = DEFAULT_DISTANCE, small: int
     """anchor_id, duplicate_id: edges that connect the same images as hamming_pairs() does. Of n images with one hash there are n - 1 edges, to the one with the
     smallest id, which alone is compared with other hashes; all pairs would be n (n - 1) / 2. Beyond `small` distinct hashes a tile hands on one edge an image at most."""
     distance = distance if distance > 0 else DEFAULT_DISTANCE
-    rows = images.filter("bits IS NOT NULL").select("image_id", F.col("bits").cast("bigint").alias("bits"))
+    rows = images.filter("bits IS NOT NULL AND image_id IS NOT NULL").select("image_id", F.col("bits").cast("bigint").alias("bits"))
     first = stored(rows.groupBy("bits").agg(F.min("image_id").alias("image_id")).withColumn("mtime", F.lit(0)))
     near = hamming_pairs(first, distance, small=small).select("anchor_id", "duplicate_id") if first.limit(small + 1).count() <= small else _tile_trees(first, distance)
     same = rows.withColumnRenamed("image_id", "duplicate_id").join(first.select("bits", F.col("image_id").alias("anchor_id")), "bits").filter("anchor_id <> duplicate_id")

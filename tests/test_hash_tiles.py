@@ -53,3 +53,8 @@ def test_trees_of_tiles_connect_what_the_pairs_connect(spark, small_blocks):
     edges = nd.group_edges(df, 3, small=0)
     assert of(edges) == of(nd.hamming_pairs(df, 3)) and edges.count() < 1500 < nd.hamming_pairs(df, 3).count()
     assert nd.group_edges(df.limit(0), 3, small=-1).count() == 0 == nd.hamming_pairs(df.limit(0), 3, small=-1).count()
+
+
+def test_images_without_an_id_link_nothing(spark):
+    df = spark.createDataFrame([(None, 1, 1), (None, 3, 1), ("a", 2, 1), ("b", 6, 1)], "image_id string, bits long, mtime long")
+    assert rows(nd.group_edges(df, 1, small=0)) == [("a", "b")] and rows(nd.hamming_pairs(df, 1, small=0)) == [("a", "b", 1)]
