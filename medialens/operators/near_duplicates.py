@@ -15,8 +15,8 @@ from medialens.functions.hashing import hamming
 from medialens.operators.graph import connected_components, stored
 
 DEFAULT_DISTANCE = 12
-#: Below so many rows one side is broadcast and all pairs are tested; above, hashes meet in tiles.
-SMALL = 50_000
+#: Below so many rows one side is broadcast and all pairs are tested row by row, which one task may have to do; above, hashes meet in tiles.
+SMALL = 4_096
 #: A tile is two blocks of about BLOCK hashes at most; smaller tables are cut into SPREAD blocks of about LEAST or more, so that many tasks share them.
 BLOCK, SPREAD, LEAST = 65_536, 10, 4_096
 #: Pairs that a tile tests at once, and that it hands on at once.
@@ -177,10 +177,10 @@ def group_edges(images: DataFrame, distance: int = DEFAULT_DISTANCE, small: int
 
 def incremental_pairs(old_pairs: DataFrame, images: DataFrame, dirty: DataFrame, distance: int = DEFAULT_DISTANCE, **options) -> DataFrame:
     """The pairs after a change: those that touch dirty or vanished images are dropped, those of dirty images are computed anew."""
-    alive, changed = images.select(F.col("image_id").alias("id")), dirty.select(F.col("image_id").alias("id"))
+    stays = images.select(F.col("image_id").alias("id")).join(dirty.select(F.col("image_id").alias("id")), "id", "left_anti")
     kept = old_pairs
     for side in ("anchor_id", "duplicate_id"):
-        kept = kept.join(changed, F.col(side) == F.col("id"), "left_anti").join(alive, F.col(side) == F.col("id"), "left_semi")
+        kept = kept.join(stays, F.col(side) == F.col("id"), "left_semi")
     return kept.unionByName(hamming_pairs(images, distance, dirty, **options))
 
 

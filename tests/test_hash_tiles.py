@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from medialens.operators import near_duplicates as nd
 from medialens.operators.graph import connected_components
@@ -58,3 +59,21 @@ def test_trees_of_tiles_connect_what_the_pairs_connect(spark, small_blocks):
 def test_images_without_an_id_link_nothing(spark):
     df = spark.createDataFrame([(None, 1, 1), (None, 3, 1), ("a", 2, 1), ("b", 6, 1)], "image_id string, bits long, mtime long")
     assert rows(nd.group_edges(df, 1, small=0)) == [("a", "b")] and rows(nd.hamming_pairs(df, 1, small=0)) == [("a", "b", 1)]
+
+
+def test_a_table_of_thousands_meets_in_tiles(spark):
+    """Row by row, the pairs of 50,000 hashes took one task a minute."""
+    df = spark.range(5000).select(F.col("id").cast("string").alias("image_id"), F.xxhash64("id").alias("bits"), F.col("id").alias("mtime"))
+    assert "NestedLoop" not in nd.hamming_pairs(df, 12)._jdf.queryExecution().toString()
+    plan = nd.group_edges(df, 12)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "FlatMapGroupsInArrow" in plan
+    assert rows(nd.hamming_pairs(df, 14)) == rows(nd.hamming_pairs(df, 14, small=5000))
+
+
+def test_pairs_after_a_change_meet_their_images_once_a_side(spark):
+    images = spark.createDataFrame([(c, b, 1) for c, b in zip("abcde", (0, 1, 3, 7, 1 << 40))], "image_id string, bits long, mtime long")
+    old = spark.createDataFrame([("a", "b", 1), ("a", "c", 2), ("b", "gone", 1), (None, "a", 1), ("b", "c", 1)], "anchor_id string, duplicate_id string, distance int")
+    found = nd.incremental_pairs(old, images, images.filter("image_id = 'c'"), 2)
+    assert rows(found) == [("a", "b", 1), ("a", "c", 2), ("b", "c", 1), ("c", "d", 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti, (anchor_id" not in plan and "LeftAnti, (duplicate_id" not in plan
