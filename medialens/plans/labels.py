@@ -62,7 +62,7 @@ def rollup(spark, sf):
 
 
 def remapped(spark, sf):
-    hits = s.regions(spark, sf)
+    hits = s.regions(spark, sf, numbered=False)
     black = spark.createDataFrame([("object.p0",)], "source_key string")
     remap = spark.createDataFrame([("object.p0", "object.x"), ("object.p1", "object.x"), ("object.p2", "object.x")], "source_key string, target_key string")
     return lab.blacklist_and_remap(hits, black, remap).groupBy("label_key").agg(F.count(F.lit(1)).alias("n"))
