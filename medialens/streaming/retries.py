@@ -1,6 +1,7 @@
 """Messages worked on with retries: state of each image, a dead-letter table, duplicates told apart within a watermark.
 
-Messages of one image meet in its state, in order of time. What fails waits there and is tried again when event time has passed its due time; after the
+Messages of one image meet in its state, in order of time. States of images are held together in groups by hash, as a call for each image costs
+more than its few messages. What fails waits there and is tried again when event time has passed its due time; after the
 last try it goes to the dead letters. The ids that an image has seen are forgotten once they are older than the watermark, as a message of that age is
 late whatever its id. Outcomes are appended to Parquet files by the exactly-once sink, so a restarted query gives the same table.
 """
@@ -18,17 +19,20 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 MESSAGE = "message_id string, image_id string, sent_at timestamp, payload string"
 OUTCOME = f"{MESSAGE}, attempts int, outcome string, error string"
 
+#: Groups that the images are dealt into, for the life of a checkpoint, and outcomes handed on at once.
+GROUPS, HANDED = 512, 10_000
+
 #: Works on (image_id, payload, attempt); returns what went wrong, or None.
 Handler = Callable[[str | None, str | None, int], str | None]
 
 
 class Worker:
-    """What happens to one image's messages in a batch, or when event time reaches the first due time of its state."""
+    """What happens to the messages of a group of images in a batch, or when event time reaches the first due time of its state."""
 
     def __init__(self, handler: Handler, attempts: int, backoff_ms: int):
         self.handler, self.attempts, self.backoff_ms = handler, attempts, backoff_ms
 
-    def _try(self, image, message: dict, now: int, waiting: list[dict]) -> tuple | None:
+    def _try(self, image, message: dict, now: int, waiting: list[dict], out: list[tuple]) -> None:
         message["attempts"] += 1
         try:
             error = self.handler(image, message["payload"], message["attempts"])
@@ -36,45 +40,53 @@ class Worker:
             error = f"{type(e).__name__}: {e}"
         if error is not None and message["attempts"] < self.attempts:
             waiting.append(message | {"due": max(now, message["at"]) + self.backoff_ms})
-            return None
-        return self._row(image, message, "done" if error is None else "dead", error)
+        else:
+            out.append(self._row(image, message, "done" if error is None else "dead", error))
 
     def _row(self, image, message: dict, outcome: str, error: str | None) -> tuple:
-        return message["id"], image, pd.Timestamp(message["us"], unit="us"), message["payload"], message["attempts"], outcome, error
+        return message["id"], image, message["us"], message["payload"], message["attempts"], outcome, error
 
-    def __call__(self, key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (image,) = key
-        kept = json.loads(state.get[0]) if state.exists else {"seen": {}, "waiting": []}
-        now, seen, waiting, out = max(state.getCurrentWatermarkMs(), 0), kept["seen"], [], []
-        for message in sorted(kept["waiting"], key=lambda m: (m["due"], m["id"])):
+    def _image(self, image, seen: dict, before: list[dict], new: list[tuple], now: int, out: list[tuple]) -> tuple[dict, list[dict]]:
+        """What an image has seen and what waits, after the tries that are due and the new messages (time, id, payload)."""
+        waiting = []
+        for message in sorted(before, key=lambda m: (m["due"], m["id"])):
             if message["due"] > now:
                 waiting.append(message)
-            elif (row := self._try(image, message, now, waiting)) is not None:
-                out.append(row)
+            else:
+                self._try(image, message, now, waiting, out)
+        for us, name, payload in sorted(new, key=lambda r: (r[0], r[1], r[2] is not None, r[2])):
+            sent = us // 1000
+            message = {"id": name, "at": sent, "us": us, "payload": payload, "attempts": 0}
+            if sent < now:
+                out.append(self._row(image, message, "late", None))
+            elif name not in seen:
+                seen[name] = sent
+                self._try(image, message, now, waiting, out)
+        return {k: v for k, v in seen.items() if v >= now}, waiting
+
+    def __call__(self, key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = {image: (seen, waiting) for image, seen, waiting in json.loads(state.get[0])} if state.exists else {}
+        now, new, after, out = max(state.getCurrentWatermarkMs(), 0), {}, [], []
         if not state.hasTimedOut:
-            new = pd.concat(list(frames), ignore_index=True)
-            at = new["sent_at"].astype("datetime64[us]").astype("int64")
-            rows = sorted(zip(at.tolist(), new["message_id"].tolist(), new["payload"].tolist(), strict=True), key=lambda r: (r[0], r[1], r[2] is not None, r[2]))
-            for us, name, payload in rows:
-                sent = us // 1000
-                message = {"id": name, "at": sent, "us": us, "payload": payload, "attempts": 0}
-                if sent < now:
-                    out.append(self._row(image, message, "late", None))
-                elif name not in seen:
-                    seen[name] = sent
-                    if (row := self._try(image, message, now, waiting)) is not None:
-                        out.append(row)
-        seen = {k: v for k, v in seen.items() if v >= now}
-        if seen or waiting:
-            state.update((json.dumps({"seen": seen, "waiting": waiting}),))
-            state.setTimeoutTimestamp(max(now + 1, min([m["due"] for m in waiting] + [v + 1 for v in seen.values()])))
+            for frame in frames:
+                at = frame["sent_at"].astype("datetime64[us]").astype("int64").tolist()
+                for image, *message in zip(frame["image_id"].tolist(), at, frame["message_id"].tolist(), frame["payload"].tolist(), strict=True):
+                    new.setdefault(image, []).append(message)
+        for image in kept | new:
+            seen, waiting = self._image(image, *kept.get(image, ({}, [])), new.get(image, ()), now, out)
+            if seen or waiting:
+                after.append((image, seen, waiting))
+        if after:
+            state.update((json.dumps(after),))
+            state.setTimeoutTimestamp(max(now + 1, min(t for _, seen, waiting in after for t in (*(m["due"] for m in waiting), *(v + 1 for v in seen.values())))))
         elif state.exists:
             state.remove()
-        if out:
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in OUTCOME.split(", ")])
+        for i in range(0, len(out), HANDED):
+            rows = pd.DataFrame(out[i : i + HANDED], columns=[x.split()[0] for x in OUTCOME.split(", ")])
+            yield rows.assign(sent_at=pd.to_datetime(rows["sent_at"], unit="us"))
 
 
-def outcomes(messages: DataFrame, handler: Handler, attempts: int = 3, backoff: str = "1 hour", lateness: str = "1 day") -> DataFrame:
+def outcomes(messages: DataFrame, handler: Handler, attempts: int = 3, backoff: str = "1 hour", lateness: str = "1 day", groups: int = GROUPS) -> DataFrame:
     """OUTCOME rows of a stream of messages (MESSAGE): done, or dead (after so many tries). Messages older than the watermark of the batch before are dropped by Spark;
     one that the watermark passes in its own batch is late and not worked on.
 
@@ -84,7 +96,8 @@ def outcomes(messages: DataFrame, handler: Handler, attempts: int = 3, backoff:
     pause = int(pd.Timedelta(backoff) / pd.Timedelta(milliseconds=1))
     rows = messages.filter("message_id IS NOT NULL AND sent_at IS NOT NULL").withWatermark("sent_at", lateness)
     worker = Worker(handler, attempts, pause)
-    return rows.groupBy("image_id").applyInPandasWithState(worker, OUTCOME, "kept string", "append", GroupStateTimeout.EventTimeTimeout)
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("image_id"), F.lit(groups)).cast("int"))
+    return dealt.groupBy("part").applyInPandasWithState(worker, OUTCOME, "kept string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run(messages: DataFrame, handler: Handler, folder: str, checkpoint: str, **options):

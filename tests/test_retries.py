@@ -113,6 +113,29 @@ def test_errors_of_the_handler_are_kept_and_old_state_goes(spark):
     assert out.iloc[0].tolist()[4:] == [2, "dead", "ValueError: bad pixel"] and not state.exists
 
 
+def test_one_call_works_on_all_images_of_a_group(spark):
+    """Each image apart, with one message id in all; a call for each image took most of the time."""
+    import pandas as pd
+
+    class State:
+        exists = hasTimedOut = False
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+        def update(self, value):
+            self.kept = value
+
+        def setTimeoutTimestamp(self, ms):
+            self.due = ms
+
+    state = State()
+    frame = pd.DataFrame({"message_id": ["m"] * 4, "image_id": ["x", "y", None, "y"], "sent_at": [pd.Timestamp(n, unit="ms") for n in (5, 7, 3, 9)], "payload": ["", "", "", ""]})
+    (out,) = retries.Worker(handler, 3, 1000)((0,), iter([frame[:1], frame[1:]]), state)
+    assert dict(zip(out["image_id"], out["sent_at"], strict=True)) == {i: pd.Timestamp(ms, unit="ms") for i, ms in ((None, 3), ("x", 5), ("y", 7))} and len(out) == 3
+    assert state.due == 4
+
+
 @pytest.mark.parametrize("rows", [[], [(None, "i", 0, "")]])
 def test_nothing_to_do(spark, tmp_path, rows):
     spark.createDataFrame([(m, i, at(h), p) for m, i, h, p in rows], retries.MESSAGE).write.parquet(f"{tmp_path}/in")
