@@ -11,16 +11,20 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from medialens.functions.frames import ship, small_side
 from medialens.operators.graph import stored
 from medialens.sources.snapshot import SnapshotTable
 
-#: Partitions of the terms, documents of a block, and blocks that are scored first.
-SHARDS, BLOCK_DOCS, FIRST_BLOCKS = 64, 256, 16
+#: Partitions of the terms, documents and words of a block (about; a longer document is a block), and blocks that are scored first.
+SHARDS, BLOCK_DOCS, BLOCK_WORDS, FIRST_BLOCKS = 64, 256, 1 << 20, 16
 #: Up to so many blocks are named in the scan's filter, beyond they join.
 LISTED_BLOCKS = 4096
 SLACK = 1e-9
@@ -34,6 +38,29 @@ def _shard(term: Column, shards: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(shards)).cast("int")
 
 
+def _block_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The postings of one block's documents (block, key, length, words); words are parted by spaces, and each document has one."""
+    docs = pa.Table.from_batches(list(batches)).sort_by("key").combine_chunks()
+    words, length = pc.split_pattern(docs["words"].combine_chunks(), " "), docs["length"].to_numpy()
+    terms = words.flatten().dictionary_encode()
+    pairs, tf = np.unique(terms.indices.to_numpy().astype(np.int64) * len(docs) + pc.list_parent_indices(words).to_numpy(), return_counts=True)
+    term, doc = np.divmod(pairs, len(docs))
+    length = length[doc]
+    ends = np.append(np.flatnonzero(np.diff(term, prepend=-1)), len(term))
+    each = pa.StructArray.from_arrays([docs["key"].combine_chunks().take(pa.array(doc)), pa.array(tf), pa.array(length)], names=["key", "tf", "length"])
+    yield pa.RecordBatch.from_arrays(
+        [
+            docs["block"].combine_chunks().take(pa.array(np.zeros(len(ends) - 1, np.int64))),
+            terms.dictionary,
+            pa.array(np.diff(ends)),
+            pa.array(np.maximum.reduceat(tf, ends[:-1]).astype(np.int32)),
+            pa.array(np.minimum.reduceat(length, ends[:-1])),
+            pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), each),
+        ],
+        names=["block", "term", "docs", "most", "shortest", "postings"],
+    )
+
+
 class TextIndex:
     """Postings, documents and totals below a folder that driver and executors share."""
 
@@ -56,15 +83,35 @@ class TextIndex:
     def documents(self) -> DataFrame:
         return self._read("documents", f"key {self.key_type}, length int, block bigint")
 
+    @property
+    def _posted(self) -> str:
+        return f"block bigint, term string, docs bigint, most int, shortest int, postings array<struct<key:{self.key_type},tf:bigint,length:int>>"
+
     def postings(self) -> DataFrame:
-        return self._read("postings", f"block bigint, term string, docs bigint, most int, shortest int, postings array<struct<key:{self.key_type},tf:bigint,length:int>>")
+        return self._read("postings", self._posted)
+
+    def _once(self, rows: DataFrame) -> DataFrame:
+        """rows (key, text) of keys that the index has not, each once; texts are grouped only where a key stands twice."""
+        if self.batches():
+            rows = rows.join(self.documents().select("key"), "key", "left_anti")
+        twice = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
+        if twice.isEmpty():
+            return rows
+        twice = small_side(twice)
+        least = rows.join(twice, "key", "left_semi").groupBy("key").agg(F.min(F.struct("text")).alias("d")).select("key", F.col("d.text").alias("text"))
+        return rows.join(twice, "key", "left_anti").unionByName(least)
+
+    def _blocks(self, placed: DataFrame) -> DataFrame:
+        """The postings of documents (key, length, words, block): these are shuffled by block, and their words counted there."""
+        ship(self.spark)
+        return placed.filter("length > 0").select("block", "key", "length", "words").groupBy("block").applyInArrow(_block_postings, self._posted)
 
     def add(self, docs: DataFrame, key: str, text: str) -> int:
         """Adds the documents whose key the index has not yet (of equal keys the one with the smallest text, null first) and returns how many these are. Null keys are left
         out; a null text is a document without words."""
         rows = docs.select(F.col(key).cast(self.key_type).alias("key"), F.col(text).alias("text")).filter("key IS NOT NULL")
-        rows = rows.groupBy("key").agg(F.min(F.struct("text")).alias("d")).select("key", words_of(F.col("d.text")).alias("words"))
-        rows = stored(rows.join(self.documents().select("key"), "key", "left_anti").withColumn("length", F.size("words")))
+        rows = self._once(rows).select("key", words_of(F.col("text")).alias("words"))
+        rows = stored(rows.select("key", F.size("words").alias("length"), F.array_join("words", " ").alias("words")))
         grade = F.floor(F.log2(F.col("length") + 1) * 8).cast("int")
         grades = rows.groupBy(grade.alias("grade")).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("words")).collect()  # some hundred rows at most
         if not grades:
@@ -72,15 +119,13 @@ class TextIndex:
         known = self.batches()
         first, start = {}, 2**40 * len(known)
         for r in sorted(grades, key=lambda r: r.grade):
-            first[r.grade] = (start, -(-r.n // BLOCK_DOCS))
+            first[r.grade] = (start, max(-(-r.n // BLOCK_DOCS), -(-r.words // BLOCK_WORDS)))
             start += first[r.grade][1]
         pick = lambda k: F.element_at(F.create_map(*[F.lit(x) for g, v in first.items() for x in (g, v[k])]), grade)
         placed = rows.withColumn("block", pick(0) + F.pmod(F.xxhash64("key"), pick(1)))
         batch = f"{len(known):06d}-{uuid.uuid4().hex[:8]}"
         placed.select("key", "length", "block").write.parquet(f"{self.path}/documents/batch={batch}")
-        counted = placed.select("block", "key", "length", F.explode("words").alias("term")).groupBy("block", "term", "key", "length").agg(F.count(F.lit(1)).alias("tf"))
-        blocks = counted.groupBy("block", "term").agg(F.count(F.lit(1)).alias("docs"), F.max("tf").cast("int").alias("most"), F.min("length").alias("shortest"), F.sort_array(F.collect_list(F.struct("key", "tf", "length"))).alias("postings"))
-        blocks = blocks.withColumn("shard", _shard(F.col("term"), self.shards)).repartition("shard", F.pmod("block", F.lit(8))).sortWithinPartitions("shard", "term", "block")
+        blocks = self._blocks(placed).withColumn("shard", _shard(F.col("term"), self.shards)).repartition("shard", F.pmod("block", F.lit(8))).sortWithinPartitions("shard", "term", "block")
         blocks.write.partitionBy("shard").parquet(f"{self.path}/postings/batch={batch}")
         n, words = sum(r.n for r in grades), sum(r.words for r in grades)
         new = self.spark.createDataFrame([*known, (batch, n, words)], "batch string, docs bigint, words bigint")

@@ -75,3 +75,34 @@ def test_a_search_of_a_ready_index_is_fast(spark, sf_dir):
     rows = ready.search(["license", "stupid"], 20).collect()
     print("seconds of a search:", round(time.perf_counter() - began, 2))
     assert len(rows) == 20
+
+
+def test_postings_are_counted_where_their_block_is(spark, tmp_path):
+    """Pairs of document and word were shuffled three times."""
+    made = TextIndex(spark, f"file://{tmp_path}/i", key_type="string")
+    placed = spark.createDataFrame([("b", "a b a", 3, 7), ("a", "b", 1, 7), ("c", "é 1", 2, 8), ("d", "", 0, 8)], "key string, words string, length int, block long")
+    out = made._blocks(placed)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" not in plan
+    assert sorted((r.block, r.term, r.docs, r.most, r.shortest, [tuple(p) for p in r.postings]) for r in out.collect()) == [
+        (7, "a", 1, 2, 3, [("b", 2, 3)]),
+        (7, "b", 2, 1, 1, [("a", 1, 1), ("b", 1, 3)]),
+        (8, "1", 1, 1, 2, [("c", 1, 2)]),
+        (8, "é", 1, 1, 2, [("c", 1, 2)]),
+    ]
+
+
+def test_blocks_are_bounded_by_words_too(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_index, "BLOCK_WORDS", 2000, raising=False)
+    made = TextIndex(spark, f"file://{tmp_path}/i")
+    assert made.add(spark.range(200).select("id", F.repeat(F.lit("a "), 100).alias("text")), "id", "text") == 200
+    words = [r.words for r in made.documents().groupBy("block").agg(F.sum("length").alias("words")).collect()]
+    assert sum(words) == 20_000 and len(words) >= 5 and max(words) < 6000
+
+
+def test_texts_are_grouped_only_where_a_key_stands_twice(spark, tmp_path):
+    made = TextIndex(spark, f"file://{tmp_path}/i")
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "key long, text string")
+    assert "Aggregate" not in made._once(rows)._jdf.queryExecution().optimizedPlan().toString()
+    again = rows.union(spark.createDataFrame([(2, "a b"), (3, "c"), (4, "d")], rows.schema))
+    assert sorted(tuple(r) for r in made._once(again).collect()) == [(1, "a"), (2, "a b"), (3, None), (4, "d")]
