@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from medialens.functions.frames import ship
+from medialens.functions.frames import SMALL, ship
 from medialens.functions.geometry import box, priority
 from medialens.functions.text import basename
 from medialens.operators.graph import top_per
@@ -152,9 +152,12 @@ def image_details(wanted: DataFrame, images: DataFrame, assignments: DataFrame,
 
     Adds logical_name, scene (type, confidence and flags; null without a scene), object_labels by score, cluster_labels with the newest first, caption and caption_model,
     near_duplicates (each other image once, by its smaller distance, as anchor if equal; by distance, then id), and regions in order of index with their priority and labels.
+    Up to SMALL wanted ids are broadcast; all else meets by sorted shuffles, so nothing that grows with the tables passes through the driver.
     """
     ids = wanted.select("image_id").distinct()
-    mine = lambda df: df.join(ids, "image_id", "left_semi")
+    ids = F.broadcast(ids) if ids.limit(SMALL + 1).count() <= SMALL else ids.hint("merge")
+    # a hint holds for the first join above it; without one Spark broadcasts pairs, of which it can't know how many a tile hands on
+    mine = lambda df: df.join(ids, "image_id", "left_semi").hint("merge")
     rows, labels = with_gps(mine(images), mine(metadata)), mine(assignments)
     about = _labelled(rows, labels)
     scene = about.select("image_id", F.when(F.col("scene_type").isNotNull(), F.struct("scene_type", "scene_confidence", *SHOWN_FLAGS)).alias("scene"))
@@ -176,7 +179,7 @@ def image_details(wanted: DataFrame, images: DataFrame, assignments: DataFrame,
     nested = boxes.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("idx", "x_min", "y_min", "x_max", "y_max", "raw_label", "score", "detector", "priority", *[F.coalesce(c, F.array().cast(boxes.schema[c].dataType)).alias(c) for c in ("object_labels", "cluster_labels")]))).alias("regions"))
     out = rows.withColumn("logical_name", basename(F.col("primary_path")))
     for part in (scene, objects, found, said, near, nested):
-        out = out.join(part, "image_id", "left")
+        out = out.join(part.hint("merge"), "image_id", "left")
     return out.withColumns({c: F.coalesce(c, F.array().cast(out.schema[c].dataType)) for c in ("object_labels", "cluster_labels", "near_duplicates", "regions")})
 
 

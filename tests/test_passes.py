@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from medialens.functions.frames import SMALL
 from medialens.operators import clusters, passes, serving
 
 ASSIGNMENTS = "image_id string, label_key string, level string, display_name string, score double, source string, created_at bigint"
@@ -33,6 +34,26 @@ def test_details_of_bare_and_unknown_images(spark):
     assert [(r.idx, r.raw_label, r.object_labels, round(r.priority, 6)) for r in row.regions] == [(1, "(raw)", [], 0.5)]
 
 
+@pytest.mark.parametrize("small", [0, SMALL])
+def test_details_broadcast_few_wanted_ids_and_nothing_else(spark, monkeypatch, small):
+    monkeypatch.setattr(serving, "SMALL", small, raising=False)
+    some = lambda rows, schema: spark.createDataFrame(rows, schema)
+    images = some([(k, f"/x/{k}.jpg", "active", None, None) for k in "abc"], "image_id string, primary_path string, status string, gps_latitude double, gps_longitude double")
+    labels = some([("a", "scene.food", "scene", "Food", 0.9, "c", 1), ("a", "attr.has_text", "attribute", "t", 1.0, "c", 1), ("a", "object.o", "object", "o", 0.5, "c", 1), ("a", "cluster.m", "cluster", "m", 0.4, "c", 1), ("c", "object.o", "object", "o", 0.5, "c", 1)], ASSIGNMENTS)
+    captions = some([("a", "said", "blip"), ("c", "unsaid", "blip")], "image_id string, caption string, model_name string")
+    pairs = some([("a", "b", 3), ("c", "b", 1)], "anchor_id string, duplicate_id string, distance int")
+    regions = some([("a", 0, 0.0, 0.0, 1.0, 1.0, 0.5, None, "d")], "image_id string, idx int, x_min double, y_min double, x_max double, y_max double, score double, raw_label string, detector string")
+    told = some([("a", 0, "object", "O", "object.o", 0.5), ("a", 0, "cluster", "C", "cluster.m", 0.4)], "image_id string, idx int, level string, display_name string, label_key string, score double")
+    out = serving.image_details(some([("a",), ("b",)], "image_id string"), images, labels, captions, pairs, regions, told, some([("a", '{"gps":{"latitude":1,"longitude":2}}')], "image_id string, payload string"))
+    a, b = sorted(out.collect(), key=lambda r: r.image_id)
+    assert (a.gps_latitude, a.scene.scene_type, a.scene.has_text, a.caption, [x.display_name for x in a.object_labels + a.cluster_labels]) == (1.0, "food", True, "said", ["o", "m"])
+    assert [(x.raw_label, x.object_labels[0].display_name, x.cluster_labels[0].display_name) for x in a.regions] == [("(raw)", "O", "C")] and [x.other_id for x in a.near_duplicates] == ["b"]
+    assert (b.scene, b.caption, b.regions, [(x.other_id, x.distance) for x in b.near_duplicates]) == (None, None, [], [("c", 1), ("a", 3)])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.split("== Initial Plan ==")[0].splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
+    assert all("LeftSemi" in line for line in joins) and bool(joins) == (small > 0)
+
+
 def test_a_method_is_reset_without_the_others(spark):
     vectors = spark.createDataFrame([(f"i{k}#{j}", [1.0, k / 10, j / 50]) for k in range(3) for j in range(3)], "id string, v array<double>")
     units = clusters.unit_vectors(vectors, "id", "v")
